@@ -9,6 +9,7 @@ from haulwise.session import cut_lineage
 RESET = 0.15
 ITERATIONS = 10
 PAGERANK_CUT_EVERY = 5
+SEEN_CUT_EVERY = 8
 
 
 def _fingerprint(links: DataFrame) -> tuple[int, int]:
@@ -115,6 +116,8 @@ def hop_distances(edges: DataFrame, targets: DataFrame, directed: bool = True, m
             break
         reached = reached.unionByName(frontier.withColumn("hop_distance", F.lit(hops)))
         seen = seen.unionByName(frontier)
+        if hops % SEEN_CUT_EVERY == 0:
+            seen = cut_lineage(seen)
     return reached
 
 

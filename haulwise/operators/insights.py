@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from haulwise.functions.costs import edge_costs, impact_score, node_criticality
-from haulwise.functions.grading import congestion_rank, criticality_weight, resolve_congestion
+from haulwise.functions.grading import CONGESTION_RANK, criticality_weight, resolve_congestion
 
 TOP_N = 8
 # Scores are compared after rounding, so equal scores tie in every engine and fall to the explicit tiebreaks.
@@ -22,7 +22,8 @@ def score_edges(
     level = resolve_congestion("congestion_level", "effective_avg_delay_minutes", "total_minutes")
     resolved = costed.withColumn("congestion_level", level)
     if min_congestion.lower() not in ("all", "any"):
-        resolved = resolved.filter(congestion_rank("congestion_level") >= congestion_rank(F.lit(min_congestion)))
+        least_rank = CONGESTION_RANK.get(min_congestion.lower(), 0)
+        resolved = resolved.filter(F.col("congestion_level").isin(*[k for k, r in CONGESTION_RANK.items() if r >= least_rank]))
     impact = impact_score(
         F.col("total_minutes"), F.col("congestion_level"), F.col("live_sample_count"), F.col("distance_km"), profile
     )

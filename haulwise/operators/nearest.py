@@ -66,7 +66,7 @@ def grid_search(
     """
     per_query = Window.partitionBy(*keys)
     order = [F.asc("_class"), F.asc("_score"), F.asc("point_id")]
-    pending, found = queries, []
+    pending, found = cut_lineage(queries), []
     while True:
         cells, salts = 1 << level, GLOBE_SALTS if level == 0 else 1
         row, column = _cell(F.col("plat"), F.col("plon"), F.lit(cells))
@@ -92,7 +92,7 @@ def grid_search(
             break
         written = cut_lineage(answers).filter("_final")
         found.append(written)
-        pending = cut_lineage(pending.join(written.select(*keys).distinct(), keys, "left_anti"))
+        pending = pending.join(written.filter("position = 1"), keys, "left_anti")
         if pending.isEmpty():
             break
         level = max(0, level - LEVEL_STEP)

@@ -144,7 +144,7 @@ def route_totals(legs: DataFrame) -> DataFrame:
     }
     return legs.groupBy("source", "target", "rank").agg(
         *[F.round(F.sum(c), WEIGHT_DECIMALS).alias(name) for name, c in total.items()],
-        F.round(F.avg("uncertainty_index"), WEIGHT_DECIMALS).alias("uncertainty_score"),
+        F.avg("uncertainty_index").alias("uncertainty_score"),
         F.count(F.lit(1)).alias("hops"),
     )
 

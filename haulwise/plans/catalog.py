@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulwise.plans import cleaning_queries, metric_queries  # noqa: F401 - registration
+from haulwise.plans import cleaning_queries, metric_queries, network_queries, system_queries  # noqa: F401 - registration
 from haulwise.plans.registry import CHECKS, QUERIES
 
 

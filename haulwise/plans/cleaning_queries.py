@@ -34,7 +34,8 @@ SELECT n % 43 = 0 AS cut, event_id, CASE WHEN n % 47 <> 0 THEN vehicle_id END AS
   CASE WHEN n % 41 = 0 THEN 0.0 ELSE speed_kmh END AS speed_kmh,
   CASE WHEN n % 5 <> 0 THEN delay_minutes END AS delay_minutes,
   date_trunc('second', event_timestamp) AS event_timestamp, n,
-  strftime(event_timestamp, CASE WHEN n % 40 = 0 THEN '%Y-%m-%d %H:%M:%S' ELSE '%Y-%m-%dT%H:%M:%SZ' END) AS event_time
+  CASE WHEN n % 40 = 0 THEN strftime(event_timestamp, '%Y-%m-%d %H:%M:%S')
+    ELSE strftime(event_timestamp, '%Y-%m-%dT%H:%M:%SZ') END AS event_time
 FROM (SELECT *, CAST(substr(event_id, 9) AS BIGINT) AS n FROM telemetry))"""
 
 
