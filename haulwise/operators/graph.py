@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from haulwise.session import cut_lineage
+from haulwise.session import cut_and_measure, cut_lineage
 
 RESET = 0.15
 ITERATIONS = 10
@@ -12,11 +12,12 @@ PAGERANK_CUT_EVERY = 5
 SEEN_CUT_EVERY = 8
 
 
-def _fingerprint(links: DataFrame) -> tuple[int, int]:
-    row = links.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
-    ).first()
-    return row["n"], int(row["s"] or 0)
+def _write_links(links: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """Write a (u, v) table and return it with its row count and an order-free hash sum."""
+    written, figures = cut_and_measure(
+        links, n=F.count(F.lit(1)), total=F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    )
+    return written, (figures["n"], int(figures["total"]))
 
 
 def _hang_on_smallest(neighbours: DataFrame) -> DataFrame:
@@ -32,12 +33,11 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     seen, which shortens every tree until each vertex hangs on the smallest id of its component. The vertex sets of a
     step are reduced by a partial minimum, so the neighbours of a hub are never gathered in one place.
     """
-    links = cut_lineage(
+    links, before = _write_links(
         edges.filter(F.col("src") != F.col("dst"))
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         .distinct()
     )
-    before = _fingerprint(links)
     while True:
         both_ways = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _hang_on_smallest(both_ways).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -49,8 +49,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             .filter(F.col("u") != F.col("v"))
             .distinct()
         )
-        links = cut_lineage(small)
-        after = _fingerprint(links)
+        links, after = _write_links(small)
         if after == before:
             break
         before = after
@@ -111,8 +110,9 @@ def hop_distances(edges: DataFrame, targets: DataFrame, directed: bool = True, m
     while max_hops is None or hops < max_hops:
         hops += 1
         stepped = frontier.join(steps, F.col("source_id") == F.col("at")).select(F.col("before").alias("source_id"), "target_id")
-        frontier = cut_lineage(stepped.distinct().join(seen, ["source_id", "target_id"], "left_anti"))
-        if frontier.isEmpty():
+        fresh = stepped.distinct().join(seen, ["source_id", "target_id"], "left_anti")
+        frontier, figures = cut_and_measure(fresh, n=F.count(F.lit(1)))
+        if not figures["n"]:
             break
         reached = reached.unionByName(frontier.withColumn("hop_distance", F.lit(hops)))
         seen = seen.unionByName(frontier)

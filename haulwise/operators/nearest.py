@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from haulwise.functions.geo import EARTH_RADIUS_KM, angle_diff, bearing_deg, haversine_km
 from haulwise.operators.hotkeys import first_per_key
-from haulwise.session import cut_lineage
+from haulwise.session import cut_and_measure, cut_lineage
 
 FINEST_LEVEL = 18
 LEVEL_STEP = 2
@@ -66,7 +66,8 @@ def grid_search(
     """
     per_query = Window.partitionBy(*keys)
     order = [F.asc("_class"), F.asc("_score"), F.asc("point_id")]
-    pending, found = cut_lineage(queries), []
+    pending, figures = cut_and_measure(queries, n=F.count(F.lit(1)))
+    open_queries, found = figures["n"], []
     while True:
         cells, salts = 1 << level, GLOBE_SALTS if level == 0 else 1
         row, column = _cell(F.col("plat"), F.col("plon"), F.lit(cells))
@@ -90,11 +91,13 @@ def grid_search(
         if level == 0:
             found.append(answers)
             break
-        written = cut_lineage(answers).filter("_final")
+        written, figures = cut_and_measure(answers, solved=F.count_if(F.col("_final") & (F.col("position") == 1)))
+        written = written.filter("_final")
         found.append(written)
-        pending = pending.join(written.filter("position = 1"), keys, "left_anti")
-        if pending.isEmpty():
+        open_queries -= figures["solved"]
+        if not open_queries:
             break
+        pending = pending.join(written.filter("position = 1"), keys, "left_anti")
         level = max(0, level - LEVEL_STEP)
     return reduce(DataFrame.unionByName, found).drop("_final")
 

@@ -8,7 +8,7 @@ from haulwise.functions.costs import THIRDS, edge_costs, on_time_probability, ro
 from haulwise.functions.grading import impact_level
 from haulwise.operators.graph import both_directions, degrees
 from haulwise.operators.hotkeys import first_per_key
-from haulwise.session import cut_lineage
+from haulwise.session import cut_and_measure, cut_lineage
 
 MAX_HOPS = 6
 MAX_ROUTES = 6
@@ -35,37 +35,43 @@ def weighted_edges(
     return arcs.groupBy("src", "dst").agg(cheapest.alias("a")).select("src", "dst", "a.*")
 
 
-def _grow(frontier: DataFrame, arcs: DataFrame) -> DataFrame:
-    """Extend every partial path by one arc to a node it has not visited."""
-    return frontier.join(arcs, F.col("node") == F.col("arc_from")).filter(~F.array_contains("path", F.col("arc_to"))).select(
-        "origin", F.col("arc_to").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"),
-        F.concat("path", F.array("arc_to")).alias("path"),
-    )
-
-
-def cheapest_paths(arcs: DataFrame, origins: DataFrame, max_hops: int = MAX_HOPS, weight: str = "routing_weight_minutes") -> DataFrame:
-    """(origin, node, cost, path): cheapest path of at most ``max_hops`` arcs from each origin to each node it reaches.
+def _cheapest(arcs: DataFrame, origins: DataFrame, max_hops: int) -> DataFrame:
+    """(way, origin, node, cost, path) for searches on several arc sets at once.
 
-    Relaxation in rounds over all origins at once; only labels that improved move on. Ties go to the first path in node
-    order.
+    ``arcs`` are (way, arc_from, arc_to, weight), ``origins`` (way, origin). Relaxation in rounds over all origins; only
+    labels that improved move on. Ties go to the first path in node order.
     """
-    arcs = cut_lineage(arcs.select(F.col("src").alias("arc_from"), F.col("dst").alias("arc_to"), F.col(weight).alias("weight")))
-    best = origins.select(F.col("id").alias("origin")).distinct().select(
-        "origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.array("origin").alias("path")
-    ).withColumn("fresh", F.lit(True))
-    best = cut_lineage(best)
+    best = origins.distinct().select(
+        "way", "origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.array("origin").alias("path"),
+        F.lit(True).alias("fresh"),
+    )
     for _ in range(max_hops):
-        grown = _grow(best.filter("fresh"), arcs).withColumn("fresh", F.lit(True))
-        label = F.struct("cost", "path", "fresh")
-        merged = best.withColumn("fresh", F.lit(False)).unionByName(grown)
-        best = cut_lineage(
-            merged.groupBy("origin", "node").agg(F.min(label).alias("l")).select("origin", "node", "l.cost", "l.path", "l.fresh")
+        grown = best.filter("fresh").join(
+            arcs.withColumnRenamed("way", "_way"), (F.col("way") == F.col("_way")) & (F.col("node") == F.col("arc_from"))
+        ).filter(~F.array_contains("path", F.col("arc_to"))).select(
+            "way", "origin", F.col("arc_to").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"),
+            F.concat("path", F.array("arc_to")).alias("path"), F.lit(True).alias("fresh"),
         )
-        if best.filter("fresh").isEmpty():
+        merged = best.withColumn("fresh", F.lit(False)).unionByName(grown)
+        label = F.min(F.struct("cost", "path", "fresh")).alias("l")
+        round_best = merged.groupBy("way", "origin", "node").agg(label).select("way", "origin", "node", "l.cost", "l.path", "l.fresh")
+        best, figures = cut_and_measure(round_best, improved=F.count_if("fresh"))
+        if not figures["improved"]:
             break
     return best.drop("fresh")
 
 
+def _arcs_of(arcs: DataFrame, way: str, weight: str, reverse: bool = False) -> DataFrame:
+    a, b = ("dst", "src") if reverse else ("src", "dst")
+    return arcs.select(F.lit(way).alias("way"), F.col(a).alias("arc_from"), F.col(b).alias("arc_to"), F.col(weight).alias("weight"))
+
+
+def cheapest_paths(arcs: DataFrame, origins: DataFrame, max_hops: int = MAX_HOPS, weight: str = "routing_weight_minutes") -> DataFrame:
+    """(origin, node, cost, path): cheapest path of at most ``max_hops`` arcs from each origin to each node it reaches."""
+    steps = cut_lineage(_arcs_of(arcs, "ahead", weight))
+    return _cheapest(steps, origins.select(F.lit("ahead").alias("way"), F.col("id").alias("origin")), max_hops).drop("way")
+
+
 def best_route(arcs: DataFrame, od: DataFrame, max_hops: int = MAX_HOPS, weight: str = "routing_weight_minutes") -> DataFrame:
     """(source, target, cost, path) of the cheapest route of each pair; pairs out of reach have no row."""
     paths = cheapest_paths(arcs, od.select(F.col("source").alias("id")), max_hops, weight)
@@ -87,11 +93,15 @@ def k_routes(
     k = max(1, min(int(k or 3), MAX_ROUTES))
     pairs = cut_lineage(od.select("source", "target").filter(F.col("source") != F.col("target")).distinct())
     arcs = cut_lineage(arcs.select("src", "dst", F.col(weight).alias("w")))
-    ahead = cheapest_paths(arcs, pairs.select(F.col("source").alias("id")), max_hops, "w")
-    back = cheapest_paths(
-        arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"), pairs.select(F.col("target").alias("id")), max_hops, "w"
+    steps = cut_lineage(_arcs_of(arcs, "ahead", "w").unionByName(_arcs_of(arcs, "back", "w", reverse=True)))
+    ends = pairs.select(F.lit("ahead").alias("way"), F.col("source").alias("origin")).unionByName(
+        pairs.select(F.lit("back").alias("way"), F.col("target").alias("origin"))
+    )
+    paths = _cheapest(steps, ends, max_hops)
+    ahead = paths.filter("way = 'ahead'").drop("way")
+    rest = paths.filter("way = 'back'").select(
+        F.col("origin").alias("target"), "node", F.col("cost").alias("rest"), F.reverse("path").alias("tail")
     )
-    rest = back.select(F.col("origin").alias("target"), F.col("node"), F.col("cost").alias("rest"), F.reverse("path").alias("tail"))
 
     # Routes that follow a cheapest path, take one arc and follow a cheapest path again.
     first_half = pairs.join(ahead.withColumnRenamed("origin", "source"), "source").join(arcs, F.col("node") == F.col("src"))
@@ -105,24 +115,24 @@ def k_routes(
         ranked.groupBy("source", "target").agg(F.when(F.count(F.lit(1)) == k, F.max("cost")).alias("bound"))
     )
 
-    steps = arcs.select(F.col("src").alias("arc_from"), F.col("dst").alias("arc_to"), "w")
+    forward = arcs.select(F.col("src").alias("arc_from"), F.col("dst").alias("arc_to"), "w")
     frontier = bounds.select(
         "source", "target", "bound", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.array("source").alias("path")
     )
     complete = None
-    for hop in range(1, max_hops + 1):
-        grown = frontier.join(steps, F.col("node") == F.col("arc_from")).filter(~F.array_contains("path", F.col("arc_to"))).select(
+    for _ in range(max_hops):
+        grown = frontier.join(forward, F.col("node") == F.col("arc_from")).filter(~F.array_contains("path", F.col("arc_to"))).select(
             "source", "target", "bound", F.col("arc_to").alias("node"), (F.col("cost") + F.col("w")).alias("cost"),
             F.concat("path", F.array("arc_to")).alias("path"),
         )
         promising = grown.join(rest.select("target", "node", "rest"), ["target", "node"]).filter(
             F.col("bound").isNull() | (F.col("cost") + F.col("rest") <= F.col("bound") + 1e-9)
         ).drop("rest")
-        promising = cut_lineage(promising)
+        promising, figures = cut_and_measure(promising, moving=F.count_if(F.col("node") != F.col("target")))
         arrived = promising.filter(F.col("node") == F.col("target")).select("source", "target", "cost", "path")
         complete = arrived if complete is None else complete.unionByName(arrived)
         frontier = promising.filter(F.col("node") != F.col("target"))
-        if frontier.isEmpty():
+        if not figures["moving"]:
             break
     return first_per_key(complete, ["source", "target"], [F.asc("cost"), F.asc("path")], k, rank="rank")
 

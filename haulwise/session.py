@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Runtime settings every job of this package relies on. All can be changed on a live session.
 RUNTIME_CONF = {
@@ -52,7 +52,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The next round of a loop then starts from files that outlive any executor, and Catalyst sees their true size,
     so its own broadcast decision rests on a measured number.
     """
+    return cut_and_measure(df)[0]
+
+
+def cut_and_measure(df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+    """``cut_lineage`` that also returns aggregate figures, taken while the rows are written instead of by a second job."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if figures:
+        observation = Observation()
+        df.observe(observation, *[column.alias(name) for name, column in figures.items()]).write.parquet(path)
+        measured = observation.get
+    else:
+        df.write.parquet(path)
+        measured = {}
+    return spark.read.schema(df.schema).parquet(path), measured
