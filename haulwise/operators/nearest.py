@@ -17,7 +17,7 @@ from haulwise.operators.hotkeys import first_per_key
 from haulwise.session import cut_and_measure, cut_lineage
 
 FINEST_LEVEL = 18
-LEVEL_STEP = 2
+LEVEL_STEP = 3
 CODE_BASE = 1 << 20
 GLOBE_SALTS = 16
 TURN_LIMIT_DEG = 115

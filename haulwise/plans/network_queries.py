@@ -377,25 +377,25 @@ def corridor_input(v: Views) -> DataFrame:
 
 
 CORRIDOR = f"""ends AS (SELECT s.latitude AS slat, s.longitude AS slon, t.latitude AS tlat, t.longitude AS tlon
-  FROM warehouses s, warehouses t WHERE s.warehouse_id = 'W1' AND t.warehouse_id = 'W10'),
+  FROM warehouses s, warehouses t WHERE s.warehouse_id = 'W1' AND t.warehouse_id = 'W5'),
 tagged AS (SELECT fleet.*, from_id, to_id, nearest_id, {parts.segment_km('latitude', 'longitude', 'slat', 'slon', 'tlat', 'tlon')} AS corridor_km,
-  CASE WHEN nearest_id = 'W1' THEN 'W10' WHEN nearest_id = 'W10' THEN 'W1' WHEN bearing IS NULL THEN
-    CASE WHEN {parts.km('latitude', 'longitude', 'slat', 'slon')} <= {parts.km('latitude', 'longitude', 'tlat', 'tlon')} THEN 'W10' ELSE 'W1' END
+  CASE WHEN nearest_id = 'W1' THEN 'W5' WHEN nearest_id = 'W5' THEN 'W1' WHEN bearing IS NULL THEN
+    CASE WHEN {parts.km('latitude', 'longitude', 'slat', 'slon')} <= {parts.km('latitude', 'longitude', 'tlat', 'tlon')} THEN 'W5' ELSE 'W1' END
     WHEN {parts.turn('bearing', parts.bearing('latitude', 'longitude', 'slat', 'slon'))}
-      <= {parts.turn('bearing', parts.bearing('latitude', 'longitude', 'tlat', 'tlon'))} THEN 'W1' ELSE 'W10' END AS next_id
+      <= {parts.turn('bearing', parts.bearing('latitude', 'longitude', 'tlat', 'tlon'))} THEN 'W1' ELSE 'W5' END AS next_id
   FROM fleet JOIN routes USING (vehicle_id) JOIN nearest USING (vehicle_id), ends)"""
 
 
 @query("c20_corridor_filter", check_sql(*FLEET_VIEWS, extra=f"{FLEET},\n{CORRIDOR}", body="""
-SELECT 'both' AS ends_given, vehicle_id FROM tagged WHERE corridor_km <= 400 AND from_id IN ('W1', 'W10') AND to_id = 'W10'
+SELECT 'both' AS ends_given, vehicle_id FROM tagged WHERE corridor_km <= 400 AND from_id IN ('W1', 'W5') AND to_id = 'W5'
 UNION ALL SELECT 'source', vehicle_id FROM tagged WHERE from_id = 'W1'
-UNION ALL SELECT 'target', vehicle_id FROM tagged WHERE to_id = 'W10'"""))
+UNION ALL SELECT 'target', vehicle_id FROM tagged WHERE to_id = 'W5'"""))
 def c20(v):
     rows, nodes = corridor_input(v), points_of(v)
-    both = eta.corridor_filter(rows, nodes, "W1", "W10", max_km=400)
+    both = eta.corridor_filter(rows, nodes, "W1", "W5", max_km=400)
     tag = lambda df, name: df.select(F.lit(name).alias("ends_given"), "vehicle_id")
     return tag(both, "both").unionByName(tag(eta.corridor_filter(rows, nodes, source="W1"), "source")).unionByName(
-        tag(eta.corridor_filter(rows, nodes, target="W10"), "target")
+        tag(eta.corridor_filter(rows, nodes, target="W5"), "target")
     )
 
 
@@ -403,7 +403,7 @@ def c20(v):
 def i40(v):
     nodes = points_of(v)
     end = lambda node: nodes.filter(F.col("id") == node).agg(F.first(F.struct("id", "latitude", "longitude"))).scalar()
-    rows = fleet(v).join(nearest.nearest_node(latest_of(v), nodes), "vehicle_id").withColumns({"_s": end("W1"), "_t": end("W10")})
+    rows = fleet(v).join(nearest.nearest_node(latest_of(v), nodes), "vehicle_id").withColumns({"_s": end("W1"), "_t": end("W5")})
     return eta.corridor_next(rows, F.col("_s"), F.col("_t")).select("vehicle_id", F.col("corridor_next_id").alias("next_id"))
 
 
