@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from haulwise import schemas
 from haulwise.functions.times import age_seconds, day_bucket, parse_timestamp
@@ -12,17 +12,24 @@ DELAY_ROUTING_MINUTES = 5
 FRESH_SECONDS = 900
 
 
+def _parsed(text: Column, schema: T.StructType) -> Column:
+    """The fields of a JSON text as columns, each text parsed once.
+
+    The generator keeps later filters above the parsing; as a plain projection they would be pushed below it and parse
+    every text again for each condition.
+    """
+    return F.inline(F.array(F.from_json(text, schema)))
+
+
 def parse_events(df: DataFrame, value: str = "value", keep_raw: bool = False) -> DataFrame:
     """One JSON text per row to event columns; text that is not a JSON object gives all-NULL columns."""
-    parsed = F.from_json(F.col(value).cast("string"), schemas.EVENT_RAW).alias("e")
-    raw = [F.col(value).cast("string").alias("raw_value")] if keep_raw else []
-    return df.select(*raw, parsed).select(*(["raw_value"] if keep_raw else []), "e.*")
+    text = F.col(value).cast("string")
+    return df.select(*([text.alias("raw_value")] if keep_raw else []), _parsed(text, schemas.EVENT_RAW))
 
 
 def parse_weather(df: DataFrame, value: str = "value") -> DataFrame:
-    """Eight fields by JSON path, so that a number and a quoted number both arrive as text."""
-    text = F.col(value).cast("string")
-    return df.select(*[F.get_json_object(text, f"$.{f.name}").alias(f.name) for f in schemas.WEATHER_RAW])
+    """Eight weather fields as text, so that a number and a quoted number arrive alike."""
+    return df.select(_parsed(F.col(value).cast("string"), schemas.WEATHER_RAW))
 
 
 def _typed(df: DataFrame, kinds: dict[str, str]) -> dict[str, Column]:
