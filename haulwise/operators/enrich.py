@@ -8,10 +8,14 @@ from haulwise.functions.grading import congestion_pressure
 from haulwise.operators.hotkeys import join_dimension
 
 
+def enrich_warehouses(events: DataFrame, warehouses: DataFrame) -> DataFrame:
+    places = warehouses.withColumnsRenamed({"latitude": "warehouse_latitude", "longitude": "warehouse_longitude"})
+    return join_dimension(events, places, "warehouse_id")
+
+
 def enrich_events(events: DataFrame, warehouses: DataFrame, vehicles: DataFrame) -> DataFrame:
     """Left joins to both masters. Works on a stream too: the masters are the static side."""
-    places = warehouses.withColumnsRenamed({"latitude": "warehouse_latitude", "longitude": "warehouse_longitude"})
-    return join_dimension(join_dimension(events, places, "warehouse_id"), vehicles, "vehicle_id")
+    return join_dimension(enrich_warehouses(events, warehouses), vehicles, "vehicle_id")
 
 
 def vertices_with_coords(vertices: DataFrame, warehouses: DataFrame) -> DataFrame:

@@ -19,15 +19,19 @@ def raw_eta(km: Column, speed: Column, delay: Column) -> Column:
 
 
 def infer_route(vehicles: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(vehicle_id, from_id, to_id, label): the plan where both ends are known nodes, else nearest node to likely next."""
+    """(vehicle_id, from_id, to_id, label): the plan where both ends are known nodes, else nearest node to likely next.
+
+    A ``nearest_id`` already on the vehicles is used, otherwise it is searched for the vehicles without a plan.
+    """
     known = nodes.select("id")
     planned = vehicles.select("vehicle_id", "planned_origin", "planned_destination")
     for end in ("planned_origin", "planned_destination"):
         planned = join_dimension(planned, known.withColumnRenamed("id", end), end, "left_semi")
     planned = planned.select("vehicle_id", F.col("planned_origin").alias("from_id"), F.col("planned_destination").alias("to_id"))
     open_rows = vehicles.join(planned.select("vehicle_id"), "vehicle_id", "left_anti")
-    near = nearest_node(open_rows, nodes).select("vehicle_id", "nearest_id")
-    placed = open_rows.join(near, "vehicle_id", "left").withColumn("warehouse_id", F.coalesce("nearest_id", "warehouse_id"))
+    if "nearest_id" not in vehicles.columns:
+        open_rows = open_rows.join(nearest_node(open_rows, nodes).select("vehicle_id", "nearest_id"), "vehicle_id", "left")
+    placed = open_rows.withColumn("warehouse_id", F.coalesce("nearest_id", "warehouse_id"))
     ahead = next_node(placed, nodes).select("vehicle_id", "next_id")
     guessed = placed.join(ahead, "vehicle_id", "left").select(
         "vehicle_id", F.col("nearest_id").alias("from_id"), F.col("next_id").alias("to_id")

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from haulwise.functions.grading import heuristic_delay
 from haulwise.functions.times import iso_text
 from haulwise.operators import cleaning, enrich, latest, metrics, snapshots
 from haulwise.plans.fixtures import check_sql, table, TABLES
@@ -128,9 +129,13 @@ def e1(v):
 
 
 def delay_by_warehouse(v: Views):
-    """Clean, deduplicate, enrich and average: the batch path from telemetry to 15-minute metrics."""
-    events = metrics.dedup_events(cleaning.clean_events(v("telemetry")))
-    return metrics.delay_metrics(enrich.enrich_events(events, v("warehouses"), v("vehicles")))
+    """Clean, deduplicate, enrich and average: the batch path from telemetry to 15-minute metrics.
+
+    Only the columns of the metric are carried through the dedup shuffle.
+    """
+    needed = v("telemetry").select("event_id", "vehicle_id", "warehouse_id", "delay_minutes", "speed_kmh", "event_timestamp")
+    events = metrics.dedup_events(cleaning.clean_events(needed))
+    return metrics.delay_metrics(enrich.enrich_warehouses(events, v("warehouses")))
 
 
 @query("e2_delay_windows", check_sql("telemetry", extra=WINDOWS, body="SELECT * FROM windows"))
@@ -206,6 +211,13 @@ def e20(v):
     return v("telemetry").select("vehicle_id", "warehouse_id").distinct()
 
 
+@query("e17_rmse", check_sql("telemetry", body="""
+SELECT round(sqrt(avg(pow(delay_minutes - CASE WHEN speed_kmh < 30 THEN 14 WHEN speed_kmh < 50 THEN 8 ELSE 3 END, 2))), 6) AS rmse FROM telemetry"""))
+def e17(v):
+    scored = v("telemetry").select(F.col("delay_minutes").alias("label"), heuristic_delay("speed_kmh").alias("prediction"))
+    return rounded(metrics.rmse(scored), "rmse")
+
+
 # Windows -----------------------------------------------------------------------------------------------------------
 
 @query("f1_latest_state", check_sql("telemetry", extra=LATEST, body="SELECT * FROM latest"))

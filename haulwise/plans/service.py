@@ -118,7 +118,7 @@ class Service:
         nodes = enrich.vertices_with_coords(self.vertices, self.warehouses).filter("latitude IS NOT NULL")
         rows = cut_lineage(self._planned_fleet().join(latest.latest_heading(self.telemetry), "vehicle_id", "left"))
         placed = rows.filter("latitude IS NOT NULL AND longitude IS NOT NULL")
-        tagged = rows.join(eta.infer_route(placed, nodes), "vehicle_id", "left").join(
-            nearest.nearest_node(placed, nodes), "vehicle_id", "left"
-        )
+        near = cut_lineage(placed.join(nearest.nearest_node(placed, nodes), "vehicle_id", "left"))
+        routes = eta.infer_route(near, nodes)
+        tagged = rows.join(near.select("vehicle_id", "nearest_id", "nearest_km"), "vehicle_id", "left").join(routes, "vehicle_id", "left")
         return eta.corridor_filter(tagged, nodes, source, target)

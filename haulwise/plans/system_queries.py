@@ -13,11 +13,11 @@ from haulwise.plans.fixtures import check_sql
 from haulwise.plans.metric_queries import FACTOR, LATEST, WINDOWS, latest_of
 from haulwise.plans.network_queries import LIVE_VIEWS, live_roads, planned_latest
 from haulwise.plans.registry import NOW, Views, now, query, rounded
-from haulwise.session import shared_dir
+from haulwise.session import cut_lineage, shared_dir
 from haulwise.sinks import keyed, tables
 from haulwise.sources import files
 from haulwise.sources.streams import StreamSource
-from haulwise.sources.tables import read_keyed_table
+from haulwise.sources.tables import first_existing, read_keyed_table
 from haulwise.streaming import flows, stateful
 
 
@@ -45,6 +45,25 @@ def a2(v):
     return files.read_master_csv(v.spark, path, schemas.WAREHOUSE)
 
 
+@query("a7_csv_view", check_sql("vehicles", body="SELECT vehicle_id, CAST(capacity_kg AS STRING) AS capacity_kg, status FROM vehicles"))
+def a7(v):
+    path, name = scratch(v), f"export_{uuid.uuid4().hex[:12]}"
+    v("vehicles").write.option("header", True).csv(path)
+    files.csv_view(v.spark, path, name)
+    return v.spark.table(name).select("vehicle_id", "capacity_kg", "status")
+
+
+@query("a11_first_existing", check_sql("telemetry", extra=LATEST, body="SELECT vehicle_id, speed_kmh FROM latest"))
+def a11(v):
+    from haulwise import schemas
+
+    name = f"latest_{uuid.uuid4().hex[:12]}"
+    latest_of(v).createOrReplaceTempView(name)
+    found = first_existing(v.spark, [f"missing_{name}", name], schemas.LATEST_STATE)
+    nothing = first_existing(v.spark, [f"missing_{name}"], schemas.LATEST_STATE)
+    return found.select("vehicle_id", "speed_kmh").unionByName(nothing.select("vehicle_id", "speed_kmh"))
+
+
 @query("a3_read_edges_csv", check_sql("roads", body="SELECT * FROM roads"))
 def a3(v):
     path = scratch(v)
@@ -116,6 +135,34 @@ def a10(v):
     return files.explode_plans(documents).drop("planned_route_nodes")
 
 
+@query("b3_append_or_fallback", check_sql("telemetry", body="SELECT event_id, speed_kmh FROM telemetry UNION ALL SELECT event_id, speed_kmh FROM telemetry"))
+def b3(v):
+    """Two appends: one creates the table, one does not fit and falls back to a folder."""
+    table, fallback = f"appended_{uuid.uuid4().hex[:12]}", scratch(v)
+    rows = v("telemetry").select("event_id", "speed_kmh")
+    tables.append_or_fallback(rows, table, fallback)
+    tables.append_or_fallback(rows.withColumnRenamed("speed_kmh", "speed"), table, fallback)
+    stored = cut_lineage(v.spark.table(table))
+    tables.reset_stream_state(v.spark, [table], [])
+    return stored.unionByName(v.spark.read.parquet(fallback).withColumnRenamed("speed", "speed_kmh"))
+
+
+@query("b7_reload_weather", check_sql("weather", body="""
+SELECT * REPLACE (date_trunc('second', weather_timestamp) AS weather_timestamp) FROM weather"""))
+def b7(v):
+    """Reload twice from an export that holds every row twice: the second load replaces the first."""
+    table = f"weather_{uuid.uuid4().hex[:12]}"
+    text = v("weather").select(
+        F.lit("all").alias("bucket"), *[F.col(c).cast("string").alias(c) for c in v("weather").columns if c != "weather_timestamp"],
+        F.date_format("weather_timestamp", "yyyy-MM-dd HH:mm:ss").alias("weather_timestamp"),
+    )
+    for _ in range(2):
+        tables.reload_weather(text.unionByName(text), table)
+    stored = cut_lineage(v.spark.table(table))
+    tables.reset_stream_state(v.spark, [table], [])
+    return stored.withColumn("weather_timestamp", F.col("weather_timestamp").cast("timestamp_ntz"))
+
+
 @query("b5_upsert_latest", check_sql("telemetry", extra=LATEST, body="SELECT * FROM latest"))
 def b5(v):
     """The newer half of the events first, then the older half: a late batch must not set any vehicle back."""
@@ -201,6 +248,7 @@ SELECT vehicle_id, warehouse_id, route_id, event_timestamp AS last_event_timesta
 def k4(v):
     cfg = config(v, events=land(v, raw_lines(v)))
     flows.run_state_stream(v.spark, cfg, v("warehouses"), v("vehicles")).awaitTermination()
+    tables.reset_stream_state(v.spark, [cfg.events_table], [])
     rows = keyed.read(v.spark, cfg.store("latest_state")).drop("latitude", "longitude")
     return rows.withColumn("last_event_timestamp", F.col("last_event_timestamp").cast("timestamp_ntz"))
 
@@ -210,6 +258,7 @@ SELECT * REPLACE (date_trunc('second', weather_timestamp) AS weather_timestamp)
 def k5(v):
     cfg = config(v, weather=land(v, weather_lines(v)))
     flows.run_weather_stream(v.spark, cfg).awaitTermination()
+    tables.reset_stream_state(v.spark, [cfg.weather_table], [])
     rows = keyed.read(v.spark, cfg.store("weather_recent"))
     return rows.withColumn("weather_timestamp", F.col("weather_timestamp").cast("timestamp_ntz"))
 
