@@ -109,8 +109,11 @@ def k_routes(
     full = F.concat("path", "tail")
     known = joined.select("source", "target", full.alias("path"), (F.col("cost") + F.col("w") + F.col("rest")).alias("cost")).filter(
         (F.size(F.array_distinct("path")) == F.size("path")) & (F.size("path") <= max_hops + 1)
-    ).dropDuplicates(["source", "target", "path"])
-    ranked = first_per_key(known, ["source", "target"], [F.asc("cost"), F.asc("path")], k, rank="n")
+    )
+    # A route shows up once per arc at most, so the k * max_hops cheapest rows of a pair hold its k cheapest such routes.
+    order = [F.asc("cost"), F.asc("path")]
+    trimmed = first_per_key(known, ["source", "target"], order, k * max_hops).dropDuplicates(["source", "target", "path"])
+    ranked = first_per_key(trimmed, ["source", "target"], order, k, rank="n")
     bounds = cut_lineage(
         ranked.groupBy("source", "target").agg(F.when(F.count(F.lit(1)) == k, F.max("cost")).alias("bound"))
     )

@@ -75,15 +75,14 @@ SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst,
   greatest(distance_km, CAST(30 AS DOUBLE)) AS distance_km,
   greatest(avg_delay_minutes, CAST(1 AS DOUBLE)) AS avg_delay_minutes
 FROM {raw_roads} WHERE src <> dst""",
+    # Vans run without a plan.
     "plan_rows": """
 SELECT vehicle_id, o, d, (d * 3 + 7) % n AS e, n, user_id
 FROM (
-  SELECT DISTINCT concat('TRUCK-', CAST(user_id AS STRING)) AS vehicle_id, user_id,
-    user_id % (SELECT count(*) FROM {supplier}) AS o,
-    ((user_id % (SELECT count(*) FROM {supplier})) * 3 + 7) % (SELECT count(*) FROM {supplier}) AS d,
-    (SELECT count(*) FROM {supplier}) AS n
-  FROM {events}
-) AS p WHERE user_id % 4 <> 3""",
+  SELECT vehicle_id, user_id, n, user_id % n AS o, ((user_id % n) * 3 + 7) % n AS d
+  FROM (SELECT vehicle_id, CAST(substr(vehicle_id, 7) AS BIGINT) AS user_id, (SELECT count(*) FROM {supplier}) AS n
+    FROM {vehicles} WHERE vehicle_type = 'truck') AS v
+) AS p""",
     "plans": """
 SELECT vehicle_id, concat('W', CAST(o AS STRING)) AS planned_origin, concat('W', CAST(d AS STRING)) AS planned_destination,
   concat('W', CAST(o AS STRING)) AS planned_route_origin, concat('W', CAST(e AS STRING)) AS planned_route_destination,

@@ -430,8 +430,9 @@ KNN = f"""near AS (SELECT src, dst, km AS distance_km, rn AS position FROM (
   FROM warehouses a JOIN warehouses b ON a.warehouse_id <> b.warehouse_id) WHERE rn <= 4)"""
 
 RULES = """numbered AS (SELECT s_suppkey AS i, (SELECT count(*) FROM supplier) AS n FROM supplier),
-forbidden AS (SELECT src, dst FROM near WHERE position = 2 AND CAST(substr(src, 2) AS BIGINT) % 6 = 1),
-required AS (SELECT concat('W', CAST(i AS STRING)) AS src, concat('W', CAST((i + 10) % n AS STRING)) AS dst FROM numbered WHERE i % 10 = 0),
+forbidden AS (SELECT src, dst FROM near JOIN warehouses ON src = warehouse_id WHERE position = 2 AND criticality = 'low'),
+required AS (SELECT concat('W', CAST(i AS STRING)) AS src, concat('W', CAST((i + 10) % n AS STRING)) AS dst FROM numbered
+  JOIN warehouses ON warehouse_id = concat('W', CAST(i AS STRING)) WHERE criticality = 'high'),
 chain AS (SELECT country AS chain_id, row_number() OVER (PARTITION BY country ORDER BY warehouse_id) AS place, warehouse_id AS id FROM warehouses),
 shortcuts AS (SELECT src, dst FROM near JOIN chain a ON a.id = src JOIN chain b ON b.id = dst AND a.chain_id = b.chain_id WHERE abs(a.place - b.place) <> 1),
 pairs AS (
@@ -443,13 +444,13 @@ ruled AS (SELECT * FROM pairs UNION SELECT least(src, dst), greatest(src, dst) F
 
 
 def rules_of(v: Views, neighbours: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    number = F.expr("CAST(substr(src, 2) AS BIGINT)")
-    forbidden = neighbours.filter(F.col("position") == 2).filter(number % 6 == 1).select("src", "dst")
+    """No road to the second neighbour of a low-criticality warehouse; one from each high-criticality warehouse to the
+    tenth after it; the warehouses of a country form a chain."""
+    places = v("warehouses").select(F.col("warehouse_id").alias("src"), "criticality")
+    forbidden = neighbours.join(places.filter("criticality = 'low'"), "src").filter("position = 2").select("src", "dst")
     n = v("supplier").agg(F.count(F.lit(1))).scalar()
-    required = v("supplier").filter("s_suppkey % 10 = 0").select(
-        F.concat(F.lit("W"), F.col("s_suppkey").cast("string")).alias("src"),
-        F.concat(F.lit("W"), ((F.col("s_suppkey") + 10) % n).cast("string")).alias("dst"),
-    )
+    number = F.expr("CAST(substr(src, 2) AS BIGINT)")
+    required = places.filter("criticality = 'high'").select("src", F.concat(F.lit("W"), ((number + 10) % n).cast("string")).alias("dst"))
     chain = v("warehouses").select(F.col("country").alias("chain_id"), F.col("warehouse_id").alias("position"), F.col("warehouse_id").alias("id"))
     return forbidden, required, chain
 

@@ -222,7 +222,7 @@ def config(v: Views, **folders: str) -> flows.FlowConfig:
     tag = uuid.uuid4().hex[:12]
     return flows.FlowConfig(
         events=sources.get("events", nowhere), weather=sources.get("weather", nowhere), root=root, once=True,
-        events_table=f"events_{tag}", weather_table=f"weather_{tag}",
+        events_table=f"events_{tag}", weather_table=f"weather_{tag}", state_partitions=v.spark.sparkContext.defaultParallelism,
     )
 
 
@@ -286,9 +286,10 @@ def b12(v):
 
 def run_to_parquet(v: Views, stream: DataFrame) -> DataFrame:
     path, checkpoint = scratch(v), scratch(v)
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True
-    ).start().awaitTermination()
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    with flows.state_partitions(v.spark, v.spark.sparkContext.defaultParallelism):
+        started = writer.trigger(availableNow=True).start()
+    started.awaitTermination()
     return v.spark.read.parquet(path)
 
 

@@ -1,6 +1,6 @@
 """Keyed upsert on bucketed Parquet, for stores without a table format.
 
-Rows live in ``bucket=n`` folders by a hash of their key. An upsert reads only the buckets its batch touches, keeps the
+Rows live in ``bucket=...`` folders by a hash of their key, or by day and hash where the day is part of the key. An upsert reads only the buckets its batch touches, keeps the
 best row per key and swaps those buckets. The merged rows are first written completely to a staging folder; if the swap
 is interrupted the next upsert finishes it from there, so no bucket is ever lost. The merge takes the maximum by an
 order, which makes it independent of batch order and safe to repeat.
@@ -14,11 +14,12 @@ from haulwise.operators.hotkeys import first_per_key
 from haulwise.sinks.tables import path_exists, remove_path
 
 BUCKETS = 64
+BUCKETS_PER_DAY = 4
 FILES_PER_BUCKET = 4
 
 
 def _bucket(keys: list[str], buckets: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("string")
 
 
 def _swap(spark: SparkSession, staging: str, path: str, keys: list[str]) -> None:
@@ -28,14 +29,17 @@ def _swap(spark: SparkSession, staging: str, path: str, keys: list[str]) -> None
     remove_path(spark, staging)
 
 
-def upsert(batch: DataFrame, path: str, keys: list[str], order: list[Column], buckets: int = BUCKETS) -> None:
-    """Merge ``batch`` into the table at ``path``: of each key the first row in ``order`` stays."""
+def upsert(batch: DataFrame, path: str, keys: list[str], order: list[Column], bucket: Column | None = None) -> None:
+    """Merge ``batch`` into the table at ``path``: of each key the first row in ``order`` stays.
+
+    ``bucket`` must be a function of the keys; by default a hash of them into ``BUCKETS`` folders.
+    """
     spark, staging = batch.sparkSession, f"{path.rstrip('/')}_staging"
     if path_exists(spark, f"{staging}/_SUCCESS"):
         _swap(spark, staging, path, keys)
-    fresh = first_per_key(batch, keys, order).withColumn("bucket", _bucket(keys, buckets)).persist()
+    fresh = first_per_key(batch, keys, order).withColumn("bucket", _bucket(keys, BUCKETS) if bucket is None else bucket).persist()
     try:
-        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # folder names only
         if not touched:
             return
         merged = fresh
@@ -64,6 +68,8 @@ def upsert_weather(batch: DataFrame, path: str) -> None:
 
 
 def upsert_windows(batch: DataFrame, path: str) -> None:
-    """Window metrics by (window, warehouse); the more complete update wins."""
+    """Window metrics by (window, warehouse); the more complete update wins. Folders go by day, so old days stay untouched."""
+    keys = ["window_start", "warehouse_id"]
+    day = F.concat_ws("-", F.date_format("window_start", "yyyyMMdd"), _bucket(keys, BUCKETS_PER_DAY))
     order = [F.col(c).desc_nulls_last() for c in ("event_count", "last_event_timestamp", "avg_delay_minutes", "avg_speed_kmh")]
-    upsert(batch, path, ["window_start", "warehouse_id"], order)
+    upsert(batch, path, keys, order, day)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,11 @@ WATERMARK = "20 minutes"
 
 @dataclass(frozen=True)
 class FlowConfig:
-    """Folders and tables of the flows. ``once`` processes what is there and stops; otherwise the queries keep running."""
+    """Folders and tables of the flows. ``once`` processes what is there and stops; otherwise the queries keep running.
+
+    ``state_partitions`` sets how many state stores a new stream gets (a checkpoint keeps its number for good); None takes
+    the session's shuffle partitions.
+    """
 
     events: StreamSource
     weather: StreamSource
@@ -29,6 +35,7 @@ class FlowConfig:
     weather_table: str = "weather_observations_streaming"
     once: bool = False
     trigger_seconds: int = 15
+    state_partitions: int | None = None
 
     def checkpoint(self, name: str) -> str:
         return f"{self.root}/checkpoints/{name}"
@@ -50,10 +57,23 @@ def clean_weather_stream(raw: DataFrame) -> DataFrame:
     return stream_dedup(clean_weather(parse_weather(raw)), "weather_event_id", "weather_timestamp")
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None) -> Iterator[None]:
+    """Streams started inside get ``n`` shuffle partitions; a running stream keeps its own copy of the settings."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    if n:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def _start(df: DataFrame, cfg: FlowConfig, name: str, mode: str, write) -> StreamingQuery:
     writer = df.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", cfg.checkpoint(name)).foreachBatch(write)
     writer = writer.trigger(availableNow=True) if cfg.once else writer.trigger(processingTime=f"{cfg.trigger_seconds} seconds")
-    return writer.start()
+    with state_partitions(df.sparkSession, cfg.state_partitions):
+        return writer.start()
 
 
 def run_window_stream(spark: SparkSession, cfg: FlowConfig) -> StreamingQuery:

@@ -8,13 +8,18 @@ worked off in event order; only the last value stays in memory.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# The functions below travel to the Python workers by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed values of the stabiliser.
 RESYNC_MINUTES, RESYNC_SHARE = 45.0, 0.5
 HOLD_SECONDS = 2.0
