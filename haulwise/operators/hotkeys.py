@@ -84,7 +84,9 @@ def rank_by_key(
 
 def global_index(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """Number all rows 1..n in ``order`` without a single-task window: a range-sorted write, then per-part offsets."""
-    parts = cut_lineage(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    # Exact copies of a row are told apart by where they come from, so that the sort can spread them over tasks.
+    marked = df.withColumn("_from", F.monotonically_increasing_id())
+    parts = cut_lineage(marked.orderBy(*order, "_from").drop("_from").withColumn("_id", F.monotonically_increasing_id()))
     parts = parts.withColumn("_part", F.shiftright("_id", 33))
     # One row per sorted part: as many rows as the sort had partitions.
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))

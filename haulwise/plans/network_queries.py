@@ -53,7 +53,8 @@ SELECT (SELECT count(*) FROM moves) AS vehicles_considered, (SELECT count(*) FRO
   count(*) FILTER (WHERE live_sample_count > 0) AS edges_with_live_samples, count(*) AS total_edges,
   count(*) FILTER (WHERE live_sample_count > 0) / count(*) AS live_coverage_ratio FROM live"""))
 def e9(v):
-    return telemetry.live_summary(live_roads(v), planned_latest(v))
+    fleet = cut_lineage(planned_latest(v))
+    return telemetry.live_summary(telemetry.apply_live_telemetry(v("roads"), fleet), fleet)
 
 
 # Cost model and insights -------------------------------------------------------------------------------------------

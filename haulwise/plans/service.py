@@ -35,6 +35,7 @@ class Service:
     mode: str = "auto"
     zone: str = "Europe/Madrid"
     clock: tuple[bool, int] = field(init=False)
+    fleet: DataFrame | None = field(init=False, default=None)
 
     def __post_init__(self) -> None:
         self.clock = local_clock(self.now, self.mode, self.zone)
@@ -46,8 +47,12 @@ class Service:
         return metrics.weather_factor(self.weather).select("weather_factor").scalar()
 
     def _fleet(self) -> DataFrame:
-        derived = latest.latest_state(self.telemetry)
-        return latest.fleet_latest(derived if self.stored_latest is None else self.stored_latest, derived, self.vehicles)
+        """One row per vehicle, derived once per service: the event history is read a single time."""
+        if self.fleet is None:
+            derived = cut_lineage(latest.latest_state(self.telemetry))
+            stored = derived if self.stored_latest is None else self.stored_latest
+            self.fleet = cut_lineage(latest.fleet_latest(stored, derived, self.vehicles))
+        return self.fleet
 
     def _planned_fleet(self) -> DataFrame:
         return enrich.attach_plans(self._fleet(), self.plans)

@@ -11,7 +11,7 @@ from haulwise.plans import check_parts as parts
 from haulwise.plans.cleaning_queries import RAW, raw_lines, weather_lines
 from haulwise.plans.fixtures import check_sql
 from haulwise.plans.metric_queries import FACTOR, LATEST, WINDOWS, latest_of
-from haulwise.plans.network_queries import LIVE_VIEWS, live_roads, planned_latest
+from haulwise.plans.network_queries import LIVE_VIEWS, planned_latest
 from haulwise.plans.registry import NOW, Views, now, query, rounded
 from haulwise.session import cut_lineage, shared_dir
 from haulwise.sinks import keyed, tables
@@ -407,8 +407,9 @@ SELECT score >= 55 AS recommended, CAST(score AS INT) AS score, 0.0::DOUBLE AS c
   round(weather_factor, 6) AS weather_factor, round(ratio, 6) AS live_coverage_ratio, n AS edges_with_live_samples,
   round(age, 6) AS latest_event_age_minutes FROM points"""))
 def m1(v):
-    overview = metrics.overview_latest(enrich.attach_status(latest_of(v), v("vehicles")))
-    live = telemetry.live_summary(live_roads(v), planned_latest(v))
+    fleet = cut_lineage(enrich.attach_status(planned_latest(v), v("vehicles")))
+    overview = metrics.overview_latest(fleet)
+    live = telemetry.live_summary(telemetry.apply_live_telemetry(v("roads"), fleet), fleet)
     state = v.spark.range(1).select(
         F.expr("TIMESTAMP_NTZ '2024-01-20 11:59:00'").alias("last_success_at"), F.lit(True).alias("last_recommendation")
     )

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from haulwise import schemas
-from haulwise.operators.cleaning import warehouse_aliases
+from haulwise.operators.cleaning import clean_events, warehouse_aliases
+from haulwise.operators.hotkeys import global_index
+from haulwise.session import cut_lineage
 
 
 def read_events_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -40,8 +42,6 @@ def read_recent_files(spark: SparkSession, path: str, max_files: int, max_rows:
     paths = newest_files(spark, path, max_files)
     if not paths:
         return spark.createDataFrame([], schemas.EVENT_RAW).withColumn("event_timestamp", F.lit(None).cast("timestamp"))
-    from haulwise.operators.cleaning import clean_events
-
     rows = spark.read.schema(schemas.EVENT_RAW).option("mode", "DROPMALFORMED").json(paths)
     newest = clean_events(rows).orderBy(F.desc("event_timestamp"), F.desc("event_id")).limit(max_rows)
     return newest.orderBy("event_timestamp", "event_id")
@@ -99,26 +99,24 @@ def explode_plans(documents: DataFrame, vertices: DataFrame | None = None, value
     })
 
 
-def _translate(flat: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Replace aliases in the four end columns and, stop by stop, in the node list (a few stops per vehicle)."""
-    ends = ["planned_origin", "planned_destination", "planned_route_origin", "planned_route_destination"]
-    out = flat
-    for c in ends:
+def _translate(plans: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Replace aliases in the four end columns and, stop by stop, in the node list (a few stops per plan)."""
+    numbered = cut_lineage(plans.withColumn("_row", F.monotonically_increasing_id()))
+    out = numbered
+    for c in ("planned_origin", "planned_destination", "planned_route_origin", "planned_route_destination"):
         table = aliases.select(F.col("alias").alias(c), F.col("canonical_id").alias("_id"))
         out = out.join(table, c, "left").withColumn(c, F.coalesce("_id", c)).drop("_id")
-    stops = flat.select("vehicle_id", F.posexplode("planned_route_nodes").alias("pos", "alias")).join(aliases, "alias", "left")
-    lists = stops.groupBy("vehicle_id").agg(
+    stops = numbered.select("_row", F.posexplode("planned_route_nodes").alias("pos", "alias")).join(aliases, "alias", "left")
+    lists = stops.groupBy("_row").agg(
         F.sort_array(F.collect_list(F.struct("pos", F.coalesce("canonical_id", "alias").alias("node")))).alias("_stops")
     )
-    return out.join(lists, "vehicle_id", "left").withColumn(
+    return out.join(lists, "_row", "left").withColumn(
         "planned_route_nodes", F.coalesce(F.transform("_stops", lambda s: s["node"]), "planned_route_nodes")
-    ).drop("_stops").select(*flat.columns)
+    ).select(*plans.columns)
 
 
 def weather_event_id(snapshots: DataFrame) -> DataFrame:
     """Deterministic id of a flattened snapshot: time without punctuation, source, place in newest-first order."""
-    from haulwise.operators.hotkeys import global_index
-
     indexed = global_index(
         snapshots, [F.desc("observed_at"), F.asc("source"), F.asc("temperature_c"), F.asc("precipitation_mm"), F.asc("wind_kmh")], "_n"
     )

@@ -115,9 +115,9 @@ def test_plan_documents_with_aliases(spark):
     vertices = spark.createDataFrame([("AAA",), ("BBB",), ("CCC",)], "id string")
     doc = {"t1": {"origin": "WH1", "destination": "WH2", "planned_route_nodes": ["WH1", " ", "WH2", "CCC"]}, "t2": {"origin": "WH3"},
            "t3": {"origin": "X", "destination": "Y", "planned_route_label": " "}}
-    found = files.explode_plans(spark.createDataFrame([(json.dumps(doc),)], "value string"), vertices)
+    found = files.explode_plans(spark.createDataFrame([(json.dumps(doc),)] * 2, "value string"), vertices)
     assert rows(found, "vehicle_id", "planned_origin", "planned_route_destination", "planned_route_label") == [
-        ("t1", "AAA", "CCC", "AAA -> BBB -> CCC"), ("t3", "X", "Y", "X -> Y")]
+        ("t1", "AAA", "CCC", "AAA -> BBB -> CCC")] * 2 + [("t3", "X", "Y", "X -> Y")] * 2
 
 
 def test_table_sinks(spark, folder):
