@@ -41,6 +41,16 @@ def append_or_fallback(df: DataFrame, table: str, fallback: str) -> str:
         return "fallback"
 
 
+def without_stored(batch: DataFrame, table: str, key: str, ts: str) -> DataFrame:
+    """Rows of a batch whose key the table does not hold yet; only stored rows as new as the batch's oldest are read."""
+    spark = batch.sparkSession
+    if not spark.catalog.tableExists(table):
+        return batch
+    oldest = batch.agg(F.min(ts).alias("oldest")).scalar()
+    stored = spark.table(table).filter(F.col(ts) >= oldest).select(key)
+    return batch.join(stored, key, "left_anti")
+
+
 def publish_masters(spark: SparkSession, folder: str, database: str) -> None:
     for name, schema in (("warehouses", schemas.WAREHOUSE), ("vehicles", schemas.VEHICLE)):
         save_table(read_master_csv(spark, f"{folder}/{name}.csv", schema), f"{database}.master_{name}")

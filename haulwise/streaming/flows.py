@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -14,7 +14,7 @@ from haulwise.operators.enrich import enrich_events
 from haulwise.operators.latest import latest_state
 from haulwise.operators.metrics import delay_windows
 from haulwise.sinks import keyed
-from haulwise.sinks.tables import append_or_fallback
+from haulwise.sinks.tables import append_or_fallback, without_stored
 from haulwise.sources.streams import StreamSource, read_event_stream
 
 WATERMARK = "20 minutes"
@@ -76,6 +76,20 @@ def _start(df: DataFrame, cfg: FlowConfig, name: str, mode: str, write) -> Strea
         return writer.start()
 
 
+def _append_once(table: str, fallback: str, key: str, ts: str) -> Callable[[DataFrame], None]:
+    """An append that a restart cannot double. Only the first batch after a start can be a replay of one that was already
+    written, so only that one is compared with the table."""
+    started = False
+
+    def append(batch: DataFrame) -> None:
+        nonlocal started
+        rows = batch if started else without_stored(batch, table, key, ts).select(*batch.columns)
+        append_or_fallback(rows, table, fallback)
+        started = True
+
+    return append
+
+
 def run_window_stream(spark: SparkSession, cfg: FlowConfig) -> StreamingQuery:
     """15-minute windows in update mode; each update replaces the row of its window."""
     windows = delay_windows(clean_event_stream(read_event_stream(spark, cfg.events)))
@@ -85,11 +99,12 @@ def run_window_stream(spark: SparkSession, cfg: FlowConfig) -> StreamingQuery:
 def run_state_stream(spark: SparkSession, cfg: FlowConfig, warehouses: DataFrame, vehicles: DataFrame) -> StreamingQuery:
     """Enriched events to their table, and the newest of each vehicle to the latest-state store."""
     enriched = enrich_events(clean_event_stream(read_event_stream(spark, cfg.events)), warehouses, vehicles)
+    append = _append_once(cfg.events_table, cfg.store("fallback/events"), "event_id", "event_timestamp")
 
     def fan_out(batch: DataFrame, _: int) -> None:
         batch.persist()
         try:
-            append_or_fallback(batch, cfg.events_table, cfg.store("fallback/events"))
+            append(batch)
             keyed.upsert_latest(latest_state(batch), cfg.store("latest_state"))
         finally:
             batch.unpersist()
@@ -98,10 +113,12 @@ def run_state_stream(spark: SparkSession, cfg: FlowConfig, warehouses: DataFrame
 
 
 def run_weather_stream(spark: SparkSession, cfg: FlowConfig) -> StreamingQuery:
+    append = _append_once(cfg.weather_table, cfg.store("fallback/weather"), "weather_event_id", "weather_timestamp")
+
     def fan_out(batch: DataFrame, _: int) -> None:
         batch.persist()
         try:
-            append_or_fallback(batch, cfg.weather_table, cfg.store("fallback/weather"))
+            append(batch)
             keyed.upsert_weather(batch, cfg.store("weather_recent"))
         finally:
             batch.unpersist()

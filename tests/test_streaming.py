@@ -87,6 +87,18 @@ def test_state_stream_never_goes_back(spark, folder):
     assert rows(stored, "event_id", "warehouse_name") == [("e1", None), ("e2", "One"), ("e3", "One")]
 
 
+def test_replayed_batch_is_not_appended_twice(spark, folder):
+    put(folder, 0, FILES[0])
+    cfg = config(folder, "replay")
+    warehouses, vehicles = spark.createDataFrame([], schemas.WAREHOUSE), spark.createDataFrame([], schemas.VEHICLE)
+    flows.run_state_stream(spark, cfg, warehouses, vehicles).awaitTermination()
+    for name in os.listdir(f"{cfg.checkpoint('latest_state')}/commits"):  # as if the driver died right before the commit
+        os.remove(f"{cfg.checkpoint('latest_state')}/commits/{name}")
+    put(folder, 1, [line("e9", "c", 3)])
+    flows.run_state_stream(spark, cfg, warehouses, vehicles).awaitTermination()
+    assert rows(spark.table(cfg.events_table), "event_id") == [("e1",), ("e2",), ("e9",)]
+
+
 def test_router_and_weather(spark, folder):
     put(folder, 0, [line("e1", "a", 0, delay=4), line("e2", "a", 1, delay=5), "{broken"])
     cfg = config(folder, "x")
