@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from haulwise.llm.decontamination import find_contamination
+from haulwise.llm.line_dedup import drop_repeated_lines
 from haulwise.llm.registry import query, table
 
 DECONTAMINATION_SQL = r"""
@@ -39,3 +40,22 @@ def contamination_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
     )
+
+
+LINE_DEDUP_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, l[i] AS line,
+         translate(trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS r(i)
+), frequent AS (SELECT k FROM lines WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (f.k IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN frequent f ON lines.k = f.k GROUP BY doc_id
+"""
+
+
+@query("op6_line_dedup", LINE_DEDUP_SQL)
+def line_dedup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document less the lines that ten or more documents have."""
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
