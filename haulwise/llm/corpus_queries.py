@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from haulwise.llm.decontamination import find_contamination
 from haulwise.llm.line_dedup import drop_repeated_lines
+from haulwise.llm.quality import fit_quality, score_quality
 from haulwise.llm.registry import query, table
 
 DECONTAMINATION_SQL = r"""
@@ -59,3 +60,10 @@ def line_dedup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document less the lines that ten or more documents have."""
     kept = drop_repeated_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op5_quality")
+def quality_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every whole document, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
