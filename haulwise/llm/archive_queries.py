@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from haulwise.llm import scratch, warc
 from haulwise.llm.registry import query, table
+from haulwise.llm.transport import read_streams, to_streams
 
 WARC_SQL = """
 WITH rows AS (
@@ -25,3 +26,10 @@ def archive_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "warc")
     index = warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.read_records(index, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_transport_streams")
+def stream_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document stored as a transport stream and read back."""
+    stored = scratch.written(to_streams(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "streams", codec="zstd")
+    return read_streams(stored)

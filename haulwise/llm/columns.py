@@ -15,13 +15,13 @@ def without(df: DataFrame, names) -> DataFrame:
     return df.select(*[F.col(f"`{name}`") for name in df.columns if name.lower() not in taken])
 
 
-def append_columns(df: DataFrame, inputs: list[Column], new: str, start: Callable[[], Callable[..., list[pa.Array]]]) -> DataFrame:
+def append_columns(df: DataFrame, inputs: list[Column], new: str, start: Callable[[], Callable[..., list[pa.Array]]], drop=()) -> DataFrame:
     """``df`` plus the columns of the schema text ``new``; a column of ``df`` with such a name is replaced.
 
-    ``start()`` runs once per task and returns a function from the Arrow arrays of ``inputs`` to the new arrays.
+    Columns in ``drop`` do not pass through. ``start()`` runs once per task and returns a function from the Arrow arrays of ``inputs`` to the new arrays.
     """
     added = StructType.fromDDL(new)
-    kept = without(df, added.fieldNames())
+    kept = without(df, [*added.fieldNames(), *drop])
     packed = df.select(*[F.col(f"`{name}`") for name in kept.columns], *[column.alias(f"_llm_in_{n}") for n, column in enumerate(inputs)])
     width, schema = len(kept.columns), StructType([*kept.schema.fields, *added.fields])
     names = schema.fieldNames()
