@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from haulwise.llm.decontamination import find_contamination
 from haulwise.llm.line_dedup import drop_repeated_lines
+from haulwise.llm.pii import base_only, counts, find_personal_data, listed
 from haulwise.llm.quality import fit_quality, score_quality
 from haulwise.llm.registry import query, table
 
@@ -67,3 +68,11 @@ def quality_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every whole document, learned from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op2_pii")
+def personal_data_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole document."""
+    found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    spans = F.col("spans")
+    return found.select("doc_id", *[n.alias(name) for name, n in counts(spans).items()], F.sha2(listed(base_only(spans)), 256).alias("base_sha256"), listed(spans).alias("spans"))
