@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from haulwise.llm.decontamination import find_contamination
 from haulwise.llm.line_dedup import drop_repeated_lines
+from haulwise.llm.near_duplicates import find_near_duplicates
 from haulwise.llm.pii import base_only, counts, find_personal_data, listed
 from haulwise.llm.quality import fit_quality, score_quality
 from haulwise.llm.registry import query, table
@@ -76,3 +77,30 @@ def personal_data_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
     spans = F.col("spans")
     return found.select("doc_id", *[n.alias(name) for name, n in counts(spans).items()], F.sha2(listed(base_only(spans)), 256).alias("base_sha256"), listed(spans).alias("spans"))
+
+
+NEAR_DUPLICATE_SQL = r"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS gram
+  FROM doc_words, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS r(i) WHERE len(w) > 0
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+half AS (
+  SELECT s.a, s.b FROM shared s JOIN sizes x ON s.a = x.doc_id JOIN sizes y ON s.b = y.doc_id WHERE 10 * s.n >= 8 * (x.n + y.n - s.n)
+  UNION ALL
+  SELECT x.doc_id, y.doc_id FROM doc_words x JOIN doc_words y ON x.text = y.text AND x.doc_id < y.doc_id WHERE len(x.w) = 0
+), links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT d.doc_id, (SELECT min(other) FROM reach r WHERE r.doc_id = d.doc_id) AS class_id, (SELECT count(*) FROM links l WHERE l.a = d.doc_id) AS n_links
+FROM documents d
+"""
+
+
+@query("op8_near_duplicates", NEAR_DUPLICATE_SQL)
+def near_duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every whole document and its number of links."""
+    return find_near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
