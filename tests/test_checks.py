@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry_module
 from tests.conftest import SMALLEST
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")
