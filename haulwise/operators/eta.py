@@ -21,26 +21,31 @@ def raw_eta(km: Column, speed: Column, delay: Column) -> Column:
 def infer_route(vehicles: DataFrame, nodes: DataFrame) -> DataFrame:
     """(vehicle_id, from_id, to_id, label): the plan where both ends are known nodes, else nearest node to likely next.
 
-    A ``nearest_id`` already on the vehicles is used, otherwise it is searched for the vehicles without a plan.
+    The label of a vehicle without any known end is its ``route_id`` where it has one, else "-". A ``nearest_id`` already on the vehicles is used, otherwise it is searched for the vehicles without a plan.
     """
     known = nodes.select("id")
     planned = vehicles.select("vehicle_id", "planned_origin", "planned_destination")
     for end in ("planned_origin", "planned_destination"):
         planned = join_dimension(planned, known.withColumnRenamed("id", end), end, "left_semi")
-    planned = planned.select("vehicle_id", F.col("planned_origin").alias("from_id"), F.col("planned_destination").alias("to_id"))
+    nothing = F.lit(None).cast("string").alias("route_id")
+    planned = planned.select(
+        "vehicle_id", F.col("planned_origin").alias("from_id"), F.col("planned_destination").alias("to_id"), nothing
+    )
     open_rows = vehicles.join(planned.select("vehicle_id"), "vehicle_id", "left_anti")
     if "nearest_id" not in vehicles.columns:
         open_rows = open_rows.join(nearest_node(open_rows, nodes).select("vehicle_id", "nearest_id"), "vehicle_id", "left")
     placed = open_rows.withColumn("warehouse_id", F.coalesce("nearest_id", "warehouse_id"))
     ahead = next_node(placed, nodes).select("vehicle_id", "next_id")
     guessed = placed.join(ahead, "vehicle_id", "left").select(
-        "vehicle_id", F.col("nearest_id").alias("from_id"), F.col("next_id").alias("to_id")
+        "vehicle_id", F.col("nearest_id").alias("from_id"), F.col("next_id").alias("to_id"),
+        "route_id" if "route_id" in placed.columns else nothing,
     )
     both = planned.unionByName(guessed)
     unknown = F.lit("?")
+    named = F.concat(F.coalesce("from_id", unknown), F.lit(" -> "), F.coalesce("to_id", unknown))
     return both.withColumn(
-        "label", F.concat(F.coalesce("from_id", unknown), F.lit(" -> "), F.coalesce("to_id", unknown))
-    )
+        "label", F.when(F.col("from_id").isNull() & F.col("to_id").isNull(), F.coalesce("route_id", F.lit("-"))).otherwise(named)
+    ).drop("route_id")
 
 
 def remaining_stops(vehicles: DataFrame, stops: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from haulwise.functions.costs import THIRDS, edge_costs, on_time_probability, route_weather_factor
@@ -10,8 +13,7 @@ from haulwise.operators.graph import both_directions, degrees
 from haulwise.operators.hotkeys import first_per_key
 from haulwise.session import cut_and_measure, cut_lineage
 
-MAX_HOPS = 6
-MAX_ROUTES = 6
+ROUTES = 3
 # Weights are rounded before they are added up, so that equal routes cost the same wherever they are summed.
 WEIGHT_DECIMALS = 6
 COST_COLUMNS = (
@@ -35,18 +37,26 @@ def weighted_edges(
     return arcs.groupBy("src", "dst").agg(cheapest.alias("a")).select("src", "dst", "a.*")
 
 
-def _cheapest(arcs: DataFrame, origins: DataFrame, max_hops: int) -> DataFrame:
+def _passable(avoid: list[str] | None, *ends: str) -> Column:
+    """Whether a route may run through ``node``: avoided nodes are left out, except as one of the named ends."""
+    if not avoid:
+        return F.lit(True)
+    return reduce(lambda a, b: a | b, [F.col("node") == F.col(end) for end in ends], ~F.col("node").isin(*avoid))
+
+
+def _cheapest(arcs: DataFrame, origins: DataFrame, max_hops: int | None, avoid: list[str] | None = None) -> DataFrame:
     """(way, origin, node, cost, path) for searches on several arc sets at once.
 
     ``arcs`` are (way, arc_from, arc_to, weight), ``origins`` (way, origin). Relaxation in rounds over all origins; only
-    labels that improved move on. Ties go to the first path in node order.
+    labels that improved move on, until none improves or the caller's number of hops is used up. Ties go to the first path
+    in node order.
     """
     best = origins.distinct().select(
         "way", "origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.array("origin").alias("path"),
         F.lit(True).alias("fresh"),
     )
-    for _ in range(max_hops):
-        grown = best.filter("fresh").join(
+    for _ in itertools.count() if max_hops is None else range(max_hops):
+        grown = best.filter(F.col("fresh") & _passable(avoid, "origin")).join(
             arcs.withColumnRenamed("way", "_way"), (F.col("way") == F.col("_way")) & (F.col("node") == F.col("arc_from"))
         ).filter(~F.array_contains("path", F.col("arc_to"))).select(
             "way", "origin", F.col("arc_to").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"),
@@ -66,53 +76,66 @@ def _arcs_of(arcs: DataFrame, way: str, weight: str, reverse: bool = False) -> D
     return arcs.select(F.lit(way).alias("way"), F.col(a).alias("arc_from"), F.col(b).alias("arc_to"), F.col(weight).alias("weight"))
 
 
-def cheapest_paths(arcs: DataFrame, origins: DataFrame, max_hops: int = MAX_HOPS, weight: str = "routing_weight_minutes") -> DataFrame:
-    """(origin, node, cost, path): cheapest path of at most ``max_hops`` arcs from each origin to each node it reaches."""
+def cheapest_paths(
+    arcs: DataFrame, origins: DataFrame, max_hops: int | None = None, weight: str = "routing_weight_minutes", avoid: list[str] | None = None
+) -> DataFrame:
+    """(origin, node, cost, path): cheapest path from each origin to each node it reaches, of any length unless ``max_hops``
+    limits it, with no node of ``avoid`` between its ends."""
     steps = cut_lineage(_arcs_of(arcs, "ahead", weight))
-    return _cheapest(steps, origins.select(F.lit("ahead").alias("way"), F.col("id").alias("origin")), max_hops).drop("way")
+    return _cheapest(steps, origins.select(F.lit("ahead").alias("way"), F.col("id").alias("origin")), max_hops, avoid).drop("way")
 
 
-def best_route(arcs: DataFrame, od: DataFrame, max_hops: int = MAX_HOPS, weight: str = "routing_weight_minutes") -> DataFrame:
+def best_route(
+    arcs: DataFrame, od: DataFrame, max_hops: int | None = None, weight: str = "routing_weight_minutes", avoid: list[str] | None = None
+) -> DataFrame:
     """(source, target, cost, path) of the cheapest route of each pair; pairs out of reach have no row."""
-    paths = cheapest_paths(arcs, od.select(F.col("source").alias("id")), max_hops, weight)
+    paths = cheapest_paths(arcs, od.select(F.col("source").alias("id")), max_hops, weight, avoid)
     return od.select("source", "target").distinct().join(
         paths.select(F.col("origin").alias("source"), F.col("node").alias("target"), "cost", "path"), ["source", "target"]
     )
 
 
 def k_routes(
-    arcs: DataFrame, od: DataFrame, k: int = 3, max_hops: int = MAX_HOPS, weight: str = "routing_weight_minutes"
+    arcs: DataFrame, od: DataFrame, k: int = ROUTES, max_hops: int | None = None, weight: str = "routing_weight_minutes",
+    avoid: list[str] | None = None,
 ) -> DataFrame:
-    """(source, target, rank, cost, path): the ``k`` (1 to 6) cheapest simple routes of each pair, none lost.
+    """(source, target, rank, cost, path): the ``k`` cheapest simple routes of each pair, none lost.
+
+    Routes may have any number of hops unless ``max_hops`` limits it; a node of ``avoid`` is an end of a route or not on it.
 
     1. Cheapest paths from every source and, over reversed arcs, to every target. The latter never exceed what a partial
        path still has to pay.
     2. Joining both over each arc gives real routes; the k-th cheapest of a pair is an upper bound for its answers.
     3. Partial paths grow hop by hop and stay only while their cost plus the cheapest rest is within the bound.
     """
-    k = max(1, min(int(k or 3), MAX_ROUTES))
+    if k < 1:
+        raise ValueError("k counts from 1")
     pairs = cut_lineage(od.select("source", "target").filter(F.col("source") != F.col("target")).distinct())
     arcs = cut_lineage(arcs.select("src", "dst", F.col(weight).alias("w")))
     steps = cut_lineage(_arcs_of(arcs, "ahead", "w").unionByName(_arcs_of(arcs, "back", "w", reverse=True)))
     ends = pairs.select(F.lit("ahead").alias("way"), F.col("source").alias("origin")).unionByName(
         pairs.select(F.lit("back").alias("way"), F.col("target").alias("origin"))
     )
-    paths = _cheapest(steps, ends, max_hops)
+    paths = _cheapest(steps, ends, max_hops, avoid)
     ahead = paths.filter("way = 'ahead'").drop("way")
     rest = paths.filter("way = 'back'").select(
         F.col("origin").alias("target"), "node", F.col("cost").alias("rest"), F.reverse("path").alias("tail")
     )
 
     # Routes that follow a cheapest path, take one arc and follow a cheapest path again.
-    first_half = pairs.join(ahead.withColumnRenamed("origin", "source"), "source").join(arcs, F.col("node") == F.col("src"))
-    joined = first_half.select("source", "target", "cost", "path", F.col("dst").alias("node"), "w").join(rest, ["target", "node"])
+    first_half = pairs.join(ahead.withColumnRenamed("origin", "source"), "source").filter(_passable(avoid, "source"))
+    first_half = first_half.join(arcs, F.col("node") == F.col("src"))
+    joined = first_half.select("source", "target", "cost", "path", F.col("dst").alias("node"), "w").filter(_passable(avoid, "target"))
+    joined = joined.join(rest, ["target", "node"])
     full = F.concat("path", "tail")
     known = joined.select("source", "target", full.alias("path"), (F.col("cost") + F.col("w") + F.col("rest")).alias("cost")).filter(
-        (F.size(F.array_distinct("path")) == F.size("path")) & (F.size("path") <= max_hops + 1)
+        F.size(F.array_distinct("path")) == F.size("path")
     )
-    # A route shows up once per arc at most, so the k * max_hops cheapest rows of a pair hold its k cheapest such routes.
+    if max_hops is not None:
+        known = known.filter(F.size("path") <= max_hops + 1)
+    # A route shows up once per arc of it. The copies are merged before the shuffle; only the k cheapest per task move on.
     order = [F.asc("cost"), F.asc("path")]
-    trimmed = first_per_key(known, ["source", "target"], order, k * max_hops).dropDuplicates(["source", "target", "path"])
+    trimmed = known.groupBy("source", "target", "path").agg(F.min("cost").alias("cost"))
     ranked = first_per_key(trimmed, ["source", "target"], order, k, rank="n")
     bounds = cut_lineage(
         ranked.groupBy("source", "target").agg(F.when(F.count(F.lit(1)) == k, F.max("cost")).alias("bound"))
@@ -123,11 +146,11 @@ def k_routes(
         "source", "target", "bound", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.array("source").alias("path")
     )
     complete = None
-    for _ in range(max_hops):
+    for _ in itertools.count() if max_hops is None else range(max_hops):
         grown = frontier.join(forward, F.col("node") == F.col("arc_from")).filter(~F.array_contains("path", F.col("arc_to"))).select(
             "source", "target", "bound", F.col("arc_to").alias("node"), (F.col("cost") + F.col("w")).alias("cost"),
             F.concat("path", F.array("arc_to")).alias("path"),
-        )
+        ).filter(_passable(avoid, "target"))
         promising = grown.join(rest.select("target", "node", "rest"), ["target", "node"]).filter(
             F.col("bound").isNull() | (F.col("cost") + F.col("rest") <= F.col("bound") + 1e-9)
         ).drop("rest")
@@ -208,7 +231,7 @@ def route_summary(
 
 
 def rank_candidates(routes: DataFrame) -> DataFrame:
-    """Gap of each candidate to the first of its pair, in minutes and in weight. A pair has at most six candidates."""
+    """Gap of each candidate to the first of its pair, in minutes and in weight. A pair has k candidates."""
     w = Window.partitionBy("source", "target").orderBy("rank")
     return routes.withColumns({
         "delta_vs_best_minutes": F.col("estimated_travel_minutes") - F.first("estimated_travel_minutes").over(w),
@@ -230,7 +253,7 @@ def trivial_routes(od: DataFrame, like: DataFrame, weather_factor: Column | floa
     return same.select(*[special.get(c, F.lit(0)).cast(types[c]).alias(c) for c in like.columns])
 
 
-def route_catalog(edges: DataFrame, od: DataFrame, n: int = 20, max_hops: int = MAX_HOPS) -> DataFrame:
+def route_catalog(edges: DataFrame, od: DataFrame, n: int = 20, max_hops: int | None = None) -> DataFrame:
     """The ``n`` (at least 6, at most 20) most useful routes among the pairs of a demand table.
 
     Cheapest path by km + 9 * delay, one per pair of ends whichever way it is asked for; ranked by demand, centrality,

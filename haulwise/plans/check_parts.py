@@ -130,13 +130,25 @@ ARCS = """rounded AS (SELECT src, dst, distance_km, avg_delay_minutes, round(bas
 arcs AS MATERIALIZED (SELECT * FROM rounded UNION ALL SELECT dst AS src, src AS dst, * EXCLUDE (src, dst) FROM rounded)"""
 
 
-def walks(origins: str, weight: str = "w", max_hops: int = 6) -> str:
-    """``walks``: every simple path of at most ``max_hops`` arcs from the ids selected by ``origins``."""
-    return f"""walks(origin, node, cost, path) AS (
-  SELECT id, id, 0.0::DOUBLE, [id] FROM ({origins})
+def walks(weight: str = "w", k: int = 3) -> str:
+    """``walks``: every simple path from a source of ``od_pairs`` that can be among the ``k`` cheapest of one of its pairs.
+
+    The k-th cheapest path of at most six arcs costs at least as much as the k-th cheapest of any length, so paths may have
+    any length but not cost more than that. A pair with fewer short paths sets no limit.
+    """
+    grow = f"""SELECT p.origin, dst, cost + {weight}, list_append(path, dst){{most}} FROM {{name}} p JOIN arcs ON node = src
+  WHERE NOT list_contains(path, dst) AND {{limit}}"""
+    return f"""short_walks(origin, node, cost, path) AS (
+  SELECT DISTINCT source, source, 0.0::DOUBLE, [source] FROM od_pairs
   UNION ALL
-  SELECT origin, dst, cost + {weight}, list_append(path, dst) FROM walks JOIN arcs ON node = src
-  WHERE NOT list_contains(path, dst) AND len(path) <= {max_hops})"""
+  {grow.format(most='', name='short_walks', limit='len(path) <= 6')}),
+most AS MATERIALIZED (SELECT origin, max(bound) AS most FROM (
+  SELECT source AS origin, target, CASE WHEN count(cost) >= {k} THEN list_sort(list(cost))[{k}] ELSE 'infinity'::DOUBLE END AS bound
+  FROM od_pairs LEFT JOIN short_walks ON origin = source AND node = target WHERE source <> target GROUP BY ALL) GROUP BY origin),
+walks(origin, node, cost, path, most) AS (
+  SELECT origin, origin, 0.0::DOUBLE, [origin], most FROM most
+  UNION ALL
+  {grow.format(most=', most', name='walks', limit=f'cost + {weight} <= most + 1e-9')})"""
 
 
 ROUTES = """routes AS (SELECT * FROM (SELECT source, target, cost, path,

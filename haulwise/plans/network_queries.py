@@ -575,7 +575,7 @@ def g6(v):
 # Routing -----------------------------------------------------------------------------------------------------------
 
 ROUTE_VIEWS = (*NET_VIEWS, "od_pairs")
-ROUTING = f"{parts.LIVE},\n{parts.costs('balanced')},\n{parts.ARCS},\n{parts.walks('SELECT DISTINCT source AS id FROM od_pairs')},\n{parts.ROUTES}"
+ROUTING = f"{parts.LIVE},\n{parts.costs('balanced')},\n{parts.ARCS},\n{parts.walks()},\n{parts.ROUTES}"
 
 
 def arcs_of(v: Views, profile: str = "balanced", **options) -> DataFrame:
@@ -663,7 +663,7 @@ def e16(v):
 
 CATALOG_SQL = f"""one_way AS (SELECT src, dst, distance_km, distance_km + 9 * avg_delay_minutes AS w FROM roads),
 arcs AS MATERIALIZED (SELECT * FROM one_way UNION ALL SELECT dst, src, distance_km, w FROM one_way),
-{parts.walks('SELECT DISTINCT source AS id FROM od_pairs')},
+{parts.walks(k=1)},
 best AS (SELECT source, target, path FROM (SELECT source, target, path, row_number() OVER (PARTITION BY source, target ORDER BY cost, path) AS rn
   FROM od_pairs JOIN walks ON origin = source AND node = target WHERE source <> target) WHERE rn = 1),
 once AS (SELECT source, target, path FROM (SELECT *, row_number() OVER (PARTITION BY least(path, list_reverse(path)) ORDER BY source, target) AS rn FROM best) WHERE rn = 1),

@@ -100,13 +100,16 @@ class Service:
 
     def best_routes(
         self, od: DataFrame, profile: str = "balanced", weights: tuple = THIRDS, alternatives: int = 3, avoid: list[str] | None = None,
-        max_hops: int = routing.MAX_HOPS,
+        max_hops: int | None = None,
     ) -> DataFrame:
-        """Ranked candidates of every (source, target) pair, zero-cost rows for pairs with equal ends."""
+        """Ranked candidates of every (source, target) pair, zero-cost rows for pairs with equal ends.
+
+        Nodes of ``avoid`` are not passed through; a pair that starts or ends at one keeps its routes.
+        """
         day, hour = self.clock
         factor = self._factor()
-        arcs = cut_lineage(routing.weighted_edges(self._live_edges(), profile, factor, weights, day, hour, avoid))
-        found = routing.route_summary(routing.k_routes(arcs, od, alternatives, max_hops), arcs, factor, weights, profile)
+        arcs = cut_lineage(routing.weighted_edges(self._live_edges(), profile, factor, weights, day, hour))
+        found = routing.route_summary(routing.k_routes(arcs, od, alternatives, max_hops, avoid=avoid), arcs, factor, weights, profile)
         return found.unionByName(routing.trivial_routes(od, found, factor))
 
     def retrain_status(self) -> DataFrame:

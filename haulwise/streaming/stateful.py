@@ -30,8 +30,13 @@ CAP_SPEED, CAP_BASE, CAP_LOW, CAP_HIGH = 16.0, 1.6, 2.0, 8.0
 IDLE_MS = 6 * 3600 * 1000
 
 
-def next_eta(previous: tuple[float, str, float] | None, raw: float, destination: str, at: float) -> tuple[float, bool]:
-    """Stable minutes after one raw estimate, and whether the state moves on. ``previous`` is (minutes, destination, time)."""
+def next_eta(previous: tuple[float, str, float] | None, raw: float | None, destination: str, at: float) -> tuple[float | None, bool]:
+    """Stable minutes after one raw estimate, and whether the state moves on. ``previous`` is (minutes, destination, time).
+
+    Without an estimate, as for a standing vehicle, there is no stable one either and the state stays as it is.
+    """
+    if raw is None or math.isnan(raw):
+        return None, False
     if previous is None:
         return raw, True
     minutes, where, updated = previous
@@ -69,10 +74,12 @@ def _stabilize(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterato
         if moved:
             previous = (stable, where, at)
         out.append(stable)
-    state.update(previous)
-    _expire_when_idle(state, int(previous[2] * 1000))
+    if previous is not None:
+        state.update(previous)
+        _expire_when_idle(state, int(previous[2] * 1000))
     yield pd.DataFrame({
-        "vehicle_id": key[0], "event_id": rows["event_id"], "event_timestamp": rows["event_timestamp"], "eta_minutes": out,
+        "vehicle_id": key[0], "event_id": rows["event_id"], "event_timestamp": rows["event_timestamp"],
+        "eta_minutes": pd.array(out, dtype="Float64"),
     })
 
 
@@ -95,12 +102,16 @@ def great_circle_km(lat1: float, lon1: float, lat2: float, lon2: float) -> float
     return 2 * 6371.0 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
 
 
+def _missing(value: float | None) -> bool:
+    return value is None or math.isnan(value)
+
+
 def limited(previous: tuple[float, float] | None, lat: float, lon: float, speed: float) -> tuple[float, float]:
     """The next shown position: towards the new one, but no farther than the cap for its speed."""
     if previous is None:
         return lat, lon
     jump = great_circle_km(*previous, lat, lon)
-    cap = max(CAP_LOW, min(CAP_HIGH, (speed or 0.0) / CAP_SPEED + CAP_BASE))
+    cap = max(CAP_LOW, min(CAP_HIGH, (0.0 if _missing(speed) else speed) / CAP_SPEED + CAP_BASE))
     if jump <= cap:
         return lat, lon
     share = cap / jump
@@ -115,13 +126,17 @@ def _limit(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd
     shown = tuple(state.get) if state.exists else None
     out = []
     for lat, lon, speed in zip(rows["latitude"], rows["longitude"], rows["speed_kmh"]):
+        if _missing(lat) or _missing(lon):
+            out.append((lat, lon))  # passed through as it is; the next position is measured from the last known one
+            continue
         shown = limited(shown, lat, lon, speed)
         out.append(shown)
-    state.update(shown)
-    _expire_when_idle(state, int(_epoch(rows["event_timestamp"])[-1] * 1000))
+    if shown is not None:
+        state.update(shown)
+        _expire_when_idle(state, int(_epoch(rows["event_timestamp"])[-1] * 1000))
     yield pd.DataFrame({
         "vehicle_id": key[0], "event_id": rows["event_id"], "event_timestamp": rows["event_timestamp"],
-        "latitude": [p[0] for p in out], "longitude": [p[1] for p in out],
+        **{name: pd.array([None if _missing(p[i]) else p[i] for p in out], dtype="Float64") for i, name in enumerate(("latitude", "longitude"))},
     })
 
 

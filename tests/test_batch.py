@@ -189,3 +189,14 @@ def test_wide_categories_are_hashed(spark):
     assert learning.wide_categories(features, 10) == {"vehicle_id"}
     model = learning.pipeline_for(SMALL[2], {"vehicle_id"}).fit(features)
     assert model.transform(features).filter("prediction IS NULL").isEmpty()
+
+
+def test_model_log_takes_the_newest_whole_line(spark):
+    lines = [
+        (1, "INFO: Model => baseline_rmse=6.1 | tuned_baseline_rmse=6.2 | enhanced_rmse=6 | selected=enhanced_rf | selected_rmse=6.05"),
+        (2, "12:00 baseline_rmse=7.1|tuned_baseline_rmse=7.25 |enhanced_rmse= 7 | selected=tuned_rf | selected_rmse=7.0 done"),
+        (3, "baseline_rmse=1 | tuned_baseline_rmse=2 | enhanced_rmse=3 | selected=x"), (4, "baseline_rmse=a | tuned"), (5, None), (6, ""),
+    ]
+    frame = spark.createDataFrame(lines, "line_no int, line string")
+    assert tuple(drift.parse_model_log(frame).first()) == (7.1, 7.25, 7.0, "tuned_rf", 7.0)
+    assert drift.parse_model_log(frame.filter("line_no > 2")).count() == 0

@@ -18,11 +18,41 @@ NODES = [
     ("MUR", 37.9922, -1.1307), ("GIJ", 43.5322, -5.6611), ("CAC", 39.4765, -6.3722),
 ]
 HIGH = ("MAD", "BCN", "LIS")
-EDGES = """MAL SEV 157.3 4, MAD VLL 161.9 5, ALM MUR 174.5 5, ALM MAL 174.8 5, MUR VAL 176.9 5, BIO GIJ 222.3 5, GIJ VLL 222.6 5,
-ACO GIJ 222.8 5, BIO VLL 231.6 5, CAC SEV 234.6 5, BIO ZAR 245.7 5, ACO OPO 245.8 5, VAL ZAR 246.1 5, CAC MAD 250.3 5, CAC LIS 253.1 5,
-BCN ZAR 256.2 5, CAC OPO 267.5 6, MAD ZAR 272.9 6, LIS OPO 274.3 6, CAC VLL 279.1 6, MAD VAL 302.6 6, BCN VAL 303.1 6, LIS SEV 313.5 6,
-BIO MAD 322.8 6, OPO VLL 330.2 6, MAD MUR 349.0 6, ACO VLL 357.0 6, GIJ OPO 359.4 6, MAD SEV 390.2 7, MAD MAL 415.6 7, BCN BIO 468.4 7,
-LIS MAL 470.8 7"""
+EDGES = [
+    ("MAL", "SEV", 157.3, 4.0),
+    ("MAD", "VLL", 161.9, 5.0),
+    ("ALM", "MUR", 174.5, 5.0),
+    ("ALM", "MAL", 174.8, 5.0),
+    ("MUR", "VAL", 176.9, 5.0),
+    ("BIO", "GIJ", 222.3, 5.0),
+    ("GIJ", "VLL", 222.6, 5.0),
+    ("ACO", "GIJ", 222.8, 5.0),
+    ("BIO", "VLL", 231.6, 5.0),
+    ("CAC", "SEV", 234.6, 5.0),
+    ("BIO", "ZAR", 245.7, 5.0),
+    ("ACO", "OPO", 245.8, 5.0),
+    ("VAL", "ZAR", 246.1, 5.0),
+    ("CAC", "MAD", 250.3, 5.0),
+    ("CAC", "LIS", 253.1, 5.0),
+    ("BCN", "ZAR", 256.2, 5.0),
+    ("CAC", "OPO", 267.5, 6.0),
+    ("MAD", "ZAR", 272.9, 6.0),
+    ("LIS", "OPO", 274.3, 6.0),
+    ("CAC", "VLL", 279.1, 6.0),
+    ("MAD", "VAL", 302.6, 6.0),
+    ("BCN", "VAL", 303.1, 6.0),
+    ("LIS", "SEV", 313.5, 6.0),
+    ("BIO", "MAD", 322.8, 6.0),
+    ("OPO", "VLL", 330.2, 6.0),
+    ("MAD", "MUR", 349.0, 6.0),
+    ("ACO", "VLL", 357.0, 6.0),
+    ("GIJ", "OPO", 359.4, 6.0),
+    ("MAD", "SEV", 390.2, 7.0),
+    ("MAD", "MAL", 415.6, 7.0),
+    ("BCN", "BIO", 468.4, 7.0),
+    ("LIS", "MAL", 470.8, 7.0),
+]
+# The rules of that network.
 FORBIDDEN = [("BCN", "MUR"), ("ACO", "BIO"), ("VAL", "ALM")]
 REQUIRED = [("BCN", "VAL"), ("VAL", "MUR"), ("ACO", "GIJ"), ("GIJ", "BIO"), ("MAD", "SEV"), ("MAD", "MAL")]
 CHAIN = ["CAC", "SEV", "MAL", "ALM", "MUR"]
@@ -30,12 +60,6 @@ PAGERANK = dict(VLL=2.2892, ZAR=2.0594, SEV=1.6529, VAL=1.4079, OPO=1.1988, MAL=
                 LIS=0.5734, ACO=0.4901, ALM=0.4901, BCN=0.4901, CAC=0.4901)
 
 
-def edge_list():
-    for part in EDGES.split(","):
-        src, dst, km, delay = part.split()
-        yield src, dst, float(km), float(delay)
-
-
 @pytest.fixture(scope="module")
 def nodes(spark):
     return spark.createDataFrame(NODES, "id string, latitude double, longitude double")
@@ -43,14 +67,14 @@ def nodes(spark):
 
 @pytest.fixture(scope="module")
 def edges(spark):
-    return spark.createDataFrame(list(edge_list()), "src string, dst string, distance_km double, avg_delay_minutes double")
+    return spark.createDataFrame(EDGES, "src string, dst string, distance_km double, avg_delay_minutes double")
 
 
 def test_network_from_positions_and_rules(spark, nodes):
     pairs = "src string, dst string"
     chain = spark.createDataFrame([("south", i, n) for i, n in enumerate(CHAIN)], "chain_id string, position int, id string")
     built = network.build_network(nodes, spark.createDataFrame(FORBIDDEN, pairs), spark.createDataFrame(REQUIRED, pairs), chain, k=4)
-    assert rows(built) == sorted(edge_list(), key=repr)
+    assert rows(built) == sorted(EDGES, key=repr)
 
 
 def test_network_grows_k_until_connected(spark):
@@ -108,14 +132,16 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     assert {found[n] for n in names if not n.startswith("c")} == {"h0000"}
 
 
-def brute_routes(weights, source, target, k, max_hops):
+def brute_routes(weights, source, target, k, max_hops, avoid=()):
     found = []
 
     def walk(path, cost):
         if path[-1] == target:
             found.append((round(cost, 6), path))
             return
-        if len(path) > max_hops:
+        if max_hops is not None and len(path) > max_hops:
+            return
+        if len(path) > 1 and path[-1] in avoid:
             return
         for (a, b), w in weights.items():
             if a == path[-1] and b not in path:
@@ -125,8 +151,8 @@ def brute_routes(weights, source, target, k, max_hops):
     return sorted(found)[:k]
 
 
-@pytest.mark.parametrize("seed,max_hops", [(1, 6), (2, 4), (3, 3)])
-def test_k_routes_equal_brute_force(spark, seed, max_hops):
+@pytest.mark.parametrize("seed,max_hops,avoid", [(1, None, []), (2, 4, []), (3, 3, []), (4, None, ["n1", "n5"])])
+def test_k_routes_equal_brute_force(spark, seed, max_hops, avoid):
     rng = random.Random(seed)
     names = [f"n{i}" for i in range(9)]
     weights = {}
@@ -138,18 +164,37 @@ def test_k_routes_equal_brute_force(spark, seed, max_hops):
     pairs = [(rng.choice(names), rng.choice(names)) for _ in range(12)]
     od = spark.createDataFrame(pairs, "source string, target string")
     got = {}
-    for r in routing.k_routes(arcs, od, 4, max_hops, "w").collect():
+    for r in routing.k_routes(arcs, od, 4, max_hops, "w", avoid).collect():
         got.setdefault((r["source"], r["target"]), []).append((r["rank"], round(r["cost"], 6), list(r["path"])))
-    best = {(r["source"], r["target"]): list(r["path"]) for r in routing.best_route(arcs, od, max_hops, "w").collect()}
+    best = {(r["source"], r["target"]): list(r["path"]) for r in routing.best_route(arcs, od, max_hops, "w", avoid).collect()}
     for source, target in set(pairs):
         if source == target:
             continue
-        expected = brute_routes(weights, source, target, 4, max_hops)
+        expected = brute_routes(weights, source, target, 4, max_hops, avoid)
         assert [(c, p) for _, c, p in sorted(got.get((source, target), []))] == expected
         if expected:
             assert best[source, target] == expected[0][1]
 
 
+def test_routes_of_many_hops(spark):
+    """A ladder of 13 rungs: its ends are 12 hops apart and more, and a separate pair stays out of reach."""
+    weights = {}
+    for i in range(12):
+        for side in "ab":
+            weights[f"{side}{i:02d}", f"{side}{i + 1:02d}"] = 1.0 if side == "a" else 1.25
+    weights |= {(f"a{i:02d}", f"b{i:02d}"): 2.0 for i in range(13)} | {("x", "y"): 1.0}
+    weights |= {(b, a): w for (a, b), w in weights.items()}
+    arcs = spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "src string, dst string, w double")
+    pairs = [("a00", "a12"), ("a00", "b12"), ("b03", "b11"), ("a00", "a01"), ("a00", "x"), ("x", "y")]
+    od = spark.createDataFrame(pairs, "source string, target string")
+    found = {(r["source"], r["target"], r["rank"]): (r["cost"], len(r["path"])) for r in routing.k_routes(arcs, od, 2, weight="w").collect()}
+    assert found["a00", "a12", 1] == (12.0, 13) and found["a00", "b12", 1] == (14.0, 14) and found["b03", "b11", 1] == (10.0, 9)
+    assert {key[:2] for key in found} == {*pairs} - {("a00", "x")}
+    assert ("a00", "a12", 2) in found and routing.k_routes(arcs, od, 9, weight="w").groupBy("source", "target").count().agg(F.max("count")).first()[0] == 9
+    with pytest.raises(ValueError):
+        routing.k_routes(arcs, od, 0)
+
+
 def test_costs_are_positive_and_symmetric(edges):
     from haulwise.functions.costs import PROFILES
 

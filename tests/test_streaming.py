@@ -208,3 +208,12 @@ def test_latest_state_of_stream_equals_batch(spark, folder):
     raw = spark.read.text(f"{folder}/in")
     state = latest.latest_state(metrics.dedup_events(cleaning.clean_events(cleaning.parse_events(raw))))
     assert rows(state, "vehicle_id", "warehouse_id") == [("a", "W2"), ("b", "W1"), ("c", "W1")]
+
+
+def test_missing_values_leave_the_state_alone():
+    from haulwise.streaming.stateful import limited, next_eta
+
+    before = (20.0, "B", 0.0)
+    assert next_eta(before, None, "B", 60.0) == (None, False) and next_eta(before, float("nan"), "B", 60.0) == (None, False)
+    assert next_eta(None, None, "B", 60.0) == (None, False)
+    assert limited((40.0, -3.0), 40.001, -3.0, float("nan")) == (40.001, -3.0)
