@@ -32,7 +32,7 @@ from haulwise.operators.graph import connected_components
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 32, 8, 0.9999
 # A block holds so many n-grams, where each document counts for some more.
-BLOCK_WEIGHT, WEIGHT_PER_DOCUMENT = 1_000_000, 500
+BLOCK_WEIGHT, WEIGHT_PER_DOCUMENT = 250_000, 250
 MATRIX_COLUMNS = 4096
 MAX_CACHED_WORDS = 200_000
 GRAMS_AT_ONCE = 2048
