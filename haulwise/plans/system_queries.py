@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from haulwise.operators import cleaning, drift, enrich, latest, learning, metrics, quality, telemetry
 from haulwise.plans import check_parts as parts
@@ -362,24 +362,27 @@ def l2(v):
     return rounded(learning.score_frame(events_in_context(v)).select("vehicle_id", *FEATURES), "distance_to_warehouse_km", "hour_sin")
 
 
-# Smaller forests for the registered runs; the defaults of learning.CANDIDATES are for production.
-SMALL_FORESTS = (
-    learning.Candidate("baseline_rf", 4, 4), learning.Candidate("tuned_baseline_rf", 6, 5), learning.Candidate("enhanced_rf", 5, 5, True),
-)
-
-
-@query("l6_train_delay_models")
+@query("l6_train_delay_models", check_sql("telemetry", body="""
+SELECT unnest(['baseline_rf', 'tuned_baseline_rf', 'enhanced_rf']) AS candidate, TRUE AS fitted, TRUE AS selected_is_best"""))
 def l6(v):
-    """Fit, evaluate and select; (candidate, rmse, selected)."""
-    trained = learning.train_delay_models(learning.ml_features(events_in_context(v)), SMALL_FORESTS)
-    return learning.metrics_frame(v.spark, trained)
+    """Fit, evaluate and select among the three production forests."""
+    trained = learning.train_delay_models(learning.ml_features(events_in_context(v)))
+    smallest = F.min("rmse").over(Window.partitionBy())
+    return learning.metrics_frame(v.spark, trained).select(
+        "candidate", F.col("rmse").isNotNull().alias("fitted"), (F.col("selected") == (F.col("rmse") == smallest)).alias("selected_is_best")
+    )
 
 
-@query("l8_score_latest")
+@query("l8_score_latest", check_sql("telemetry", extra=LATEST, body="""
+SELECT vehicle_id, warehouse_id, last_event_timestamp, TRUE AS level_agrees FROM latest"""))
 def l8(v):
+    """The newest event of every vehicle with the prediction of a forest of the first production size."""
     context = events_in_context(v)
-    trained = learning.train_delay_models(learning.ml_features(context), SMALL_FORESTS[:1])
-    return learning.score(trained.models[trained.selected], learning.score_frame(context))
+    trained = learning.train_delay_models(learning.ml_features(context), learning.CANDIDATES[:1])
+    scored = learning.score(trained.models[trained.selected], learning.score_frame(context))
+    predicted = F.col("predicted_delay_minutes")
+    level = F.when(predicted >= 10, "high").when(predicted >= 5, "medium").otherwise("low")
+    return scored.select("vehicle_id", "warehouse_id", "last_event_timestamp", (F.col("risk_level") == level).alias("level_agrees"))
 
 
 @query("l9_score_heuristic", check_sql("telemetry", extra=LATEST, body="""

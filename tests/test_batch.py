@@ -181,12 +181,11 @@ def test_local_clock():
     assert local_clock(friday, zone="UTC") == (True, 22)
 
 
-def test_wide_categories_are_hashed(spark):
+def test_named_categories_are_hashed(spark):
     data = [(f"e{i}", datetime(2024, 1, 1), f"W{i % 3}", "van", "R1", f"T{i}", *[float(i % 7)] * 16, float(i % 5)) for i in range(60)]
     names = (["event_id", "event_timestamp"] + learning.BASE_CATEGORIES + learning.CONTEXT_CATEGORIES + learning.BASE_NUMBERS
              + learning.CONTEXT_NUMBERS + ["label"])
     features = spark.createDataFrame(data, names)
-    assert learning.wide_categories(features, 10) == {"vehicle_id"}
     model = learning.pipeline_for(SMALL[2], {"vehicle_id"}).fit(features)
     assert model.transform(features).filter("prediction IS NULL").isEmpty()
 
