@@ -93,6 +93,13 @@ def overview_latest(latest: DataFrame, ts: str = "last_event_timestamp") -> Data
     )
 
 
+def current_weather(weather: DataFrame, now: Column, minutes: int, ts: str = "weather_timestamp") -> DataFrame:
+    """The readings of the last ``minutes`` up to the newest one that is not after ``now``."""
+    known = weather.filter(F.col(ts) <= now)
+    newest = known.agg(F.max(ts).alias("newest")).scalar()
+    return known.filter(F.timestamp_diff("SECOND", F.col(ts), newest) < 60 * minutes)
+
+
 def weather_factor(weather: DataFrame) -> DataFrame:
     """One row: the network-wide weather factor (0 without observations) and its level."""
     severe = F.bool_or(~F.coalesce("weather_code", F.lit("0")).isin("0", "1"))

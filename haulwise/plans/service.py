@@ -18,7 +18,8 @@ class Service:
     """Inputs of the query surface. ``now`` is explicit, so every answer can be repeated.
 
     ``telemetry`` holds cleaned events, ``stored_latest`` the serving copy of the latest state (None: derive it),
-    ``weather`` cleaned observations, ``snapshots`` stored insight rows, ``retrain_state`` the model's run state.
+    ``weather`` cleaned observations, ``landed_weather`` the same from a second source (used where the first is older by more
+    than ``weather_margin_seconds``). The weather factor counts the readings of the last ``weather_minutes``. ``snapshots`` stored insight rows, ``retrain_state`` the model's run state.
     """
 
     telemetry: DataFrame
@@ -32,6 +33,9 @@ class Service:
     stored_latest: DataFrame | None = None
     snapshots: DataFrame | None = None
     retrain_state: DataFrame | None = None
+    landed_weather: DataFrame | None = None
+    weather_minutes: int = 30
+    weather_margin_seconds: int = 120
     mode: str = "auto"
     zone: str = "Europe/Madrid"
     clock: tuple[bool, int] = field(init=False)
@@ -43,15 +47,25 @@ class Service:
     def _now(self) -> Column:
         return F.lit(self.now.replace(tzinfo=None)).cast("timestamp_ntz")
 
+    def _weather(self) -> DataFrame:
+        """The observations of the better source."""
+        if self.landed_weather is None:
+            return self.weather
+        return latest.prefer_fresh(self.weather, self.landed_weather, "weather_timestamp", self.weather_margin_seconds).drop("source_used")
+
+    def _weather_factor(self) -> DataFrame:
+        return metrics.weather_factor(metrics.current_weather(self._weather(), self._now(), self.weather_minutes))
+
     def _factor(self) -> Column:
-        return metrics.weather_factor(self.weather).select("weather_factor").scalar()
+        return self._weather_factor().select("weather_factor").scalar()
 
     def _fleet(self) -> DataFrame:
         """One row per vehicle, derived once per service: the event history is read a single time."""
         if self.fleet is None:
             derived = cut_lineage(latest.latest_state(self.telemetry))
             stored = derived if self.stored_latest is None else self.stored_latest
-            self.fleet = cut_lineage(latest.fleet_latest(stored, derived, self.vehicles))
+            rows = latest.fleet_latest(stored, derived, self.vehicles)
+            self.fleet = cut_lineage(cleaning.normalize_warehouse_id(rows, self.vertices))
         return self.fleet
 
     def _planned_fleet(self) -> DataFrame:
@@ -63,7 +77,7 @@ class Service:
     def overview(self) -> DataFrame:
         """Fleet figures, weather factor and live coverage in one row."""
         live = telemetry.live_summary(self._live_edges(), self._planned_fleet())
-        weather = metrics.weather_factor(self.weather)
+        weather = self._weather_factor()
         return (
             metrics.overview_latest(self._fleet())
             .withColumns({"_w": weather.select(F.struct("*")).scalar(), "_l": live.select(F.struct("*")).scalar()})
@@ -74,12 +88,13 @@ class Service:
         return cleaning.newest(self._planned_fleet(), "last_event_timestamp", limit, "vehicle_id")
 
     def vehicle_history(self, vehicle: str | None = None, points: int = 120) -> DataFrame:
-        return enrich.attach_plans(latest.vehicle_history(self.telemetry, vehicle, points), self.plans).orderBy(
+        rows = cleaning.normalize_warehouse_id(latest.vehicle_history(self.telemetry, vehicle, points), self.vertices)
+        return enrich.attach_plans(rows, self.plans).orderBy(
             "vehicle_id", "event_timestamp", "event_id"
         )
 
     def latest_weather(self, limit: int = 20) -> DataFrame:
-        return cleaning.newest(metrics.dedup_weather(self.weather), "weather_timestamp", limit, "weather_event_id")
+        return cleaning.newest(metrics.dedup_weather(self._weather()), "weather_timestamp", limit, "weather_event_id")
 
     def network(self, profile: str = "balanced", min_congestion: str = "all") -> dict[str, DataFrame]:
         """Vertices with positions, live edges, rankings and the snapshot rows to store."""
@@ -115,7 +130,7 @@ class Service:
     def retrain_status(self) -> DataFrame:
         overview = metrics.overview_latest(self._fleet())
         live = telemetry.live_summary(self._live_edges(), self._planned_fleet())
-        return drift.retrain_advice(overview, metrics.weather_factor(self.weather), live, self.retrain_state, self._now())
+        return drift.retrain_advice(overview, self._weather_factor(), live, self.retrain_state, self._now())
 
     def edge_cost_table(self, profile: str = "balanced") -> DataFrame:
         day, hour = self.clock

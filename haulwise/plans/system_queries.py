@@ -275,13 +275,15 @@ def k13(v):
     ).select(F.col("table_name").alias("route"), F.col("row_count").alias("line_count"))
 
 
-@query("b12_archive_raw", check_sql("telemetry", extra=RAW, body="SELECT cut, count(*) AS line_count FROM raw GROUP BY cut"))
+@query("b12_archive_raw", check_sql("telemetry", extra=RAW, body="SELECT cut, count(*) AS line_count, TRUE AS named FROM raw GROUP BY cut"))
 def b12(v):
     source, path, checkpoint = land(v, raw_lines(v)), scratch(v), scratch(v)
     for _ in range(2):  # the second run finds nothing new
         tables.archive_raw(v.spark.readStream.text(source), path, checkpoint).awaitTermination()
     cut = ~F.endswith("value", F.lit("}"))
-    return v.spark.read.parquet(path).groupBy(cut.alias("cut")).agg(F.count(F.lit(1)).alias("line_count"))
+    return v.spark.read.parquet(path).groupBy(cut.alias("cut")).agg(
+        F.count(F.lit(1)).alias("line_count"), F.bool_and(F.col("source_file").rlike("^part-.*")).alias("named")
+    )
 
 
 def run_to_parquet(v: Views, stream: DataFrame) -> DataFrame:

@@ -74,8 +74,9 @@ def ensure_schema(spark: SparkSession, database: str, zone: str = "Europe/Madrid
 
 
 def archive_raw(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Bronze copy of raw lines by ingest day; the checkpoint makes it exactly once per source file."""
-    stamped = stream.withColumns({"ingested_at": F.current_timestamp(), "ingest_date": F.current_date()})
+    """Bronze copy of raw lines by ingest day, each with its source file; the checkpoint makes it exactly once per source file."""
+    source = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    stamped = stream.withColumns({"source_file": source, "ingested_at": F.current_timestamp(), "ingest_date": F.current_date()})
     return (
         stamped.writeStream.format("parquet").partitionBy("ingest_date").option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -116,10 +116,13 @@ def _translate(plans: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def weather_event_id(snapshots: DataFrame) -> DataFrame:
-    """Deterministic id of a flattened snapshot: time without punctuation, source, place in newest-first order."""
-    indexed = global_index(
-        snapshots, [F.desc("observed_at"), F.asc("source"), F.asc("temperature_c"), F.asc("precipitation_mm"), F.asc("wind_kmh")], "_n"
-    )
+    """Deterministic id of a flattened snapshot: time without punctuation, source, place in newest-first order.
+
+    Readings of one time and source are ordered by all their columns, so only exact copies of a row can change places.
+    """
+    first = ["source", "temperature_c", "precipitation_mm", "wind_kmh"]
+    rest = sorted(set(snapshots.columns) - {"observed_at", *first})
+    indexed = global_index(snapshots, [F.desc("observed_at"), *[F.asc(c) for c in [*first, *rest]]], "_n")
     stamp = F.regexp_replace(F.date_format("observed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "[-:.]", "")
     label = F.concat(
         F.lit("snap_"), stamp, F.lit("_"), F.regexp_replace("source", " ", "_"), F.lit("_"), (F.col("_n") - 1).cast("string")
