@@ -181,7 +181,9 @@ def find_personal_data(docs: DataFrame, text: str = "text", kinds: tuple[Kind, .
     df = next_stage(df, "size", lambda name, match, gap, step: _block_sizes(step))
     df = next_stage(df, "place", lambda name, match, gap, step, size: _places(step, size))
     df = next_stage(df, "span", lambda name, match, gap, step, size, place: _confirmed(by_name[name], step, place), EMPTY)
-    return df.withColumn("spans", F.concat(*[F.col(of["span"]) for of in own.values()])).drop(*names)
+    # A later filter on spans must not pull all stages into itself: it is not pushed below a generator.
+    whole_list = F.concat(*[F.col(of["span"]) for of in own.values()])
+    return df.select("*", F.explode(F.array(whole_list)).alias("spans")).drop(*names)
 
 
 def redact(text: Column, spans: Column) -> Column:
