@@ -2,8 +2,8 @@
 
 The ``tokenizers`` library spends most of its time on normalising with offsets, which nobody needs here. For files whose
 normaliser and splitter are the lower-casing word kind (`WORD_NORMALIZER`, `WORD_SPLITTER`), texts of plain Latin characters
-are therefore lower-cased and split into words here, and only words not met before go through the library's model, joined
-by blanks. All other texts, and all other files, go through the library whole. Both ways give the same ids.
+are therefore lower-cased and split here, and only words not met before go through the library's model, joined by blanks. What
+lies between two blanks is looked up as a whole, since most of it has been met before. All other texts, and all other files, go through the library whole. Both ways give the same ids.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ WORD_SPLITTER = {
 # Characters whose lower case, composition and class are beyond doubt: ASCII and the Latin-1 letters, signs of French and German print.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xc0-\xffŒœ–—‘’“”…\xab\xbb\xa1\xbf]*")
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-MAX_CACHED_WORDS = 300_000
-MAX_CACHED_CHARS = 64
+MAX_CACHED = 300_000
+SINGLE_SIGNS = frozenset(".,;:!?)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -42,6 +42,14 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in itself} | {b: chr(0x100 + n) for n, b in enumerate(others)}
 
 
+def _words(piece: str) -> list[str]:
+    if piece.isalpha():
+        return [piece]
+    if piece[-1] in SINGLE_SIGNS and piece[:-1].isalpha():
+        return [piece[:-1], piece[-1]]
+    return WORDS.findall(piece)
+
+
 class Encoder:
     """Callable: list of texts to one bytes object of little-endian unsigned 32-bit ids per text."""
 
@@ -58,6 +66,7 @@ class Encoder:
             and rules.get("post_processor") is None and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>"
             and not model.get("continuing_subword_prefix")
         )
+        self.met: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
         if self.by_word:
             lean = Tokenizer(self.whole.model)
@@ -69,20 +78,29 @@ class Encoder:
             self.letters = _byte_letters()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = [self._words(text) for text in texts]
+        split: list[list[str] | None] = [self._pieces(text) for text in texts]
         if self.by_word:
-            self._learn(set().union(*[words for words in split if words is not None]))
-        known = self.known.__getitem__
-        out = [self._whole(text) if words is None else b"".join(map(known, words)) for text, words in zip(texts, split, strict=True)]
-        if len(self.known) > MAX_CACHED_WORDS:
-            self.known.clear()
+            self._meet(set().union(*[pieces for pieces in split if pieces is not None]))
+        met = self.met.__getitem__
+        out = [self._whole(text) if pieces is None else b"".join(map(met, pieces)) for text, pieces in zip(texts, split, strict=True)]
+        for cache in (self.met, self.known):
+            if len(cache) > MAX_CACHED:
+                cache.clear()
         return out
 
-    def _words(self, text: str) -> list[str] | None:
-        """The words of a plain text, None for a text that goes through the library whole."""
+    def _pieces(self, text: str) -> list[str] | None:
+        """What lies between the blanks of a plain text in lower case, None for a text that goes through the library whole."""
         if not self.by_word or not PLAIN.fullmatch(text) or any(mark in text for mark in self.marks):
             return None
-        return WORDS.findall(text.lower())
+        return text.lower().split()
+
+    def _meet(self, pieces: set[str]) -> None:
+        """Learn the ids of the pieces not met before, from those of their words."""
+        words = {piece: _words(piece) for piece in pieces if piece not in self.met}
+        self._learn(set().union(*words.values()))
+        known = self.known.__getitem__
+        for piece, of in words.items():
+            self.met[piece] = known(of[0]) if len(of) == 1 else b"".join(map(known, of))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
