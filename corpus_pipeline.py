@@ -14,37 +14,50 @@ from haulwise.llm.scratch import written
 from haulwise.llm.token_queries import tokenizer_file
 
 
+OWN = ("doc_id", "text")
+
+
+def _set_aside(docs: DataFrame) -> DataFrame:
+    """The columns that the operators read, and all others in one, out of reach of columns that an operator adds under their names."""
+    return docs.select(*OWN, F.struct(*[F.col(f"`{name}`") for name in docs.columns if name not in OWN]).alias("_llm_rest"))
+
+
+def _restored(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(name) if name in OWN else F.col(f"_llm_rest.`{name}`").alias(name) for name in columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     small_batches(spark)
     trees = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, trees).filter("predicted = 1").select(*docs.columns)
+    return _restored(score_quality(_set_aside(docs), trees).filter("predicted = 1"), docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, less the lines that ten or more of them have; n_chars follows the text."""
     small_batches(spark)
-    changed = F.col("n_dropped") > 0
-    return (
-        drop_repeated_lines(docs)
-        .withColumns({
+    found, changed = drop_repeated_lines(_set_aside(docs)), F.col("n_dropped") > 0
+    size = F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return _restored(
+        found.withColumns({
             "text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")),
-            "n_chars": F.when(changed, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")),
-        })
-        .select(*docs.columns)
+            "_llm_rest": F.col("_llm_rest").withField("n_chars", F.when(changed, size).otherwise(F.col("_llm_rest.n_chars"))),
+        }),
+        docs.columns,
     )
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
     small_batches(spark)
-    return keep_one_per_class(docs).select(*docs.columns)
+    return _restored(keep_one_per_class(_set_aside(docs)), docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no more than a little of the benchmark."""
     small_batches(spark)
-    return find_contamination(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(*docs.columns)
+    found = find_contamination(_set_aside(docs), table(spark, sf_dir, "benchmark"))
+    return _restored(found.filter(~F.col("contaminated")), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
