@@ -14,6 +14,8 @@ from haulwise.operators.hotkeys import first_per_key
 from haulwise.session import cut_and_measure, cut_lineage
 
 ROUTES = 3
+# The first searches, which only find bounds for the real ones, end after so many hops.
+SHORT_HOPS = 6
 # Weights are rounded before they are added up, so that equal routes cost the same wherever they are summed.
 WEIGHT_DECIMALS = 6
 COST_COLUMNS = (
@@ -44,12 +46,14 @@ def _passable(avoid: list[str] | None, *ends: str) -> Column:
     return reduce(lambda a, b: a | b, [F.col("node") == F.col(end) for end in ends], ~F.col("node").isin(*avoid))
 
 
-def _cheapest(arcs: DataFrame, origins: DataFrame, max_hops: int | None, avoid: list[str] | None = None) -> DataFrame:
+def _cheapest(
+    arcs: DataFrame, origins: DataFrame, max_hops: int | None, avoid: list[str] | None = None, limits: DataFrame | None = None
+) -> DataFrame:
     """(way, origin, node, cost, path) for searches on several arc sets at once.
 
     ``arcs`` are (way, arc_from, arc_to, weight), ``origins`` (way, origin). Relaxation in rounds over all origins; only
     labels that improved move on, until none improves or the caller's number of hops is used up. Ties go to the first path
-    in node order.
+    in node order. ``limits`` (way, origin, most) end a search where a path costs more than ``most``; NULL ends none.
     """
     best = origins.distinct().select(
         "way", "origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.array("origin").alias("path"),
@@ -62,6 +66,9 @@ def _cheapest(arcs: DataFrame, origins: DataFrame, max_hops: int | None, avoid:
             "way", "origin", F.col("arc_to").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"),
             F.concat("path", F.array("arc_to")).alias("path"), F.lit(True).alias("fresh"),
         )
+        if limits is not None:
+            within = F.col("most").isNull() | (F.col("cost") <= F.col("most") + 1e-9)
+            grown = grown.join(limits, ["way", "origin"]).filter(within).drop("most")
         merged = best.withColumn("fresh", F.lit(False)).unionByName(grown)
         label = F.min(F.struct("cost", "path", "fresh")).alias("l")
         round_best = merged.groupBy("way", "origin", "node").agg(label).select("way", "origin", "node", "l.cost", "l.path", "l.fresh")
@@ -89,12 +96,57 @@ def best_route(
     arcs: DataFrame, od: DataFrame, max_hops: int | None = None, weight: str = "routing_weight_minutes", avoid: list[str] | None = None
 ) -> DataFrame:
     """(source, target, cost, path) of the cheapest route of each pair; pairs out of reach have no row."""
-    paths = cheapest_paths(arcs, od.select(F.col("source").alias("id")), max_hops, weight, avoid)
-    return od.select("source", "target").distinct().join(
-        paths.select(F.col("origin").alias("source"), F.col("node").alias("target"), "cost", "path"), ["source", "target"]
+    pairs = od.select("source", "target").distinct()
+    steps = cut_lineage(_arcs_of(arcs, "ahead", weight))
+    origins = pairs.select(F.lit("ahead").alias("way"), F.col("source").alias("origin"))
+
+    def of_pairs(paths: DataFrame, how: str) -> DataFrame:
+        return pairs.join(paths.select(F.col("origin").alias("source"), F.col("node").alias("target"), "cost", "path"), ["source", "target"], how)
+
+    limits = None
+    if max_hops is None:
+        short = of_pairs(_cheapest(steps, origins, SHORT_HOPS, avoid), "left").withColumnRenamed("cost", "bound")
+        limits = cut_lineage(_limits(short, "ahead", "source"))
+    return of_pairs(_cheapest(steps, origins, max_hops, avoid, limits), "inner")
+
+
+def _limits(bounds: DataFrame, way: str, end: str) -> DataFrame:
+    """(way, origin, most): what a search from an end of several pairs has to cover; NULL if one of them has no bound."""
+    most = F.when(F.count_if(F.col("bound").isNull()) == 0, F.max("bound")).alias("most")
+    return bounds.groupBy(F.lit(way).alias("way"), F.col(end).alias("origin")).agg(most)
+
+
+def _rest(paths: DataFrame) -> DataFrame:
+    """(target, node, rest, tail): the cheapest way from a node to a target."""
+    return paths.filter("way = 'back'").select(
+        F.col("origin").alias("target"), "node", F.col("cost").alias("rest"), F.reverse("path").alias("tail")
     )
 
 
+def _bounds(
+    pairs: DataFrame, arcs: DataFrame, paths: DataFrame, k: int, max_hops: int | None, avoid: list[str] | None
+) -> DataFrame:
+    """(source, target, bound): the cost of the k-th cheapest known route of each pair, NULL where fewer are known."""
+    ahead, rest = paths.filter("way = 'ahead'").drop("way"), _rest(paths)
+    # Routes that follow a cheapest path, take one arc and follow a cheapest path again.
+    first_half = pairs.join(ahead.withColumnRenamed("origin", "source"), "source").filter(_passable(avoid, "source"))
+    first_half = first_half.join(arcs, F.col("node") == F.col("src"))
+    joined = first_half.select("source", "target", "cost", "path", F.col("dst").alias("node"), "w").filter(_passable(avoid, "target"))
+    joined = joined.join(rest, ["target", "node"])
+    full = F.concat("path", "tail")
+    known = joined.select("source", "target", full.alias("path"), (F.col("cost") + F.col("w") + F.col("rest")).alias("cost")).filter(
+        F.size(F.array_distinct("path")) == F.size("path")
+    )
+    if max_hops is not None:
+        known = known.filter(F.size("path") <= max_hops + 1)
+    # A route shows up once per arc of it. The copies are merged before the shuffle; only the k cheapest per task move on.
+    order = [F.asc("cost"), F.asc("path")]
+    trimmed = known.groupBy("source", "target", "path").agg(F.min("cost").alias("cost"))
+    ranked = first_per_key(trimmed, ["source", "target"], order, k, rank="n")
+    bounds = ranked.groupBy("source", "target").agg(F.when(F.count(F.lit(1)) == k, F.max("cost")).alias("bound"))
+    return cut_lineage(pairs.join(bounds, ["source", "target"], "left"))
+
+
 def k_routes(
     arcs: DataFrame, od: DataFrame, k: int = ROUTES, max_hops: int | None = None, weight: str = "routing_weight_minutes",
     avoid: list[str] | None = None,
@@ -116,30 +168,13 @@ def k_routes(
     ends = pairs.select(F.lit("ahead").alias("way"), F.col("source").alias("origin")).unionByName(
         pairs.select(F.lit("back").alias("way"), F.col("target").alias("origin"))
     )
-    paths = _cheapest(steps, ends, max_hops, avoid)
-    ahead = paths.filter("way = 'ahead'").drop("way")
-    rest = paths.filter("way = 'back'").select(
-        F.col("origin").alias("target"), "node", F.col("cost").alias("rest"), F.reverse("path").alias("tail")
-    )
-
-    # Routes that follow a cheapest path, take one arc and follow a cheapest path again.
-    first_half = pairs.join(ahead.withColumnRenamed("origin", "source"), "source").filter(_passable(avoid, "source"))
-    first_half = first_half.join(arcs, F.col("node") == F.col("src"))
-    joined = first_half.select("source", "target", "cost", "path", F.col("dst").alias("node"), "w").filter(_passable(avoid, "target"))
-    joined = joined.join(rest, ["target", "node"])
-    full = F.concat("path", "tail")
-    known = joined.select("source", "target", full.alias("path"), (F.col("cost") + F.col("w") + F.col("rest")).alias("cost")).filter(
-        F.size(F.array_distinct("path")) == F.size("path")
-    )
-    if max_hops is not None:
-        known = known.filter(F.size("path") <= max_hops + 1)
-    # A route shows up once per arc of it. The copies are merged before the shuffle; only the k cheapest per task move on.
-    order = [F.asc("cost"), F.asc("path")]
-    trimmed = known.groupBy("source", "target", "path").agg(F.min("cost").alias("cost"))
-    ranked = first_per_key(trimmed, ["source", "target"], order, k, rank="n")
-    bounds = cut_lineage(
-        ranked.groupBy("source", "target").agg(F.when(F.count(F.lit(1)) == k, F.max("cost")).alias("bound"))
-    )
+    limits = None
+    if max_hops is None:
+        short = _bounds(pairs, arcs, _cheapest(steps, ends, SHORT_HOPS, avoid), k, SHORT_HOPS, avoid)
+        limits = cut_lineage(_limits(short, "ahead", "source").unionByName(_limits(short, "back", "target")))
+    paths = _cheapest(steps, ends, max_hops, avoid, limits)
+    bounds = _bounds(pairs, arcs, paths, k, max_hops, avoid)
+    rest = _rest(paths)
 
     forward = arcs.select(F.col("src").alias("arc_from"), F.col("dst").alias("arc_to"), "w")
     frontier = bounds.select(
