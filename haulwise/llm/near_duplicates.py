@@ -3,11 +3,14 @@
 1. Documents with equal sets are one representative. Each representative has ``TREES`` MinHash signatures of ``DEPTH`` values.
 2. Every tree is a prefix trie, held as the sorted list of its signatures: all trees are range-sorted together, and neighbours
    that share a prefix are candidates. The prefix is shortened until a pair at the threshold shares one in some tree with
-   the target recall. Sorting by whole signatures puts the most similar documents side by side, so a popular prefix costs one
-   candidate per document and not all pairs.
+   the target recall. Sorting by whole signatures puts the most similar documents side by side, so neighbours connect most
+   of a popular prefix at the cost of one candidate per document.
 3. Candidates whose whole signatures agree too little for the threshold (by four standard deviations) are dropped, which keeps
    documents that only share a passage apart. What remains falls into connected groups.
-4. Within a group all pairs are compared exactly, by products of 0/1 matrices. A group is cut into blocks of bounded size and
+4. A prefix whose documents are still in several groups then has all their signatures compared across groups, block against
+   block, so that unrelated documents between two similar ones cannot part them. Only a spanning forest of what agrees
+   leaves a task, and joins groups.
+5. Within a group all pairs are compared exactly, by products of 0/1 matrices. A group is cut into blocks of bounded size and
    each pair of blocks is a piece of work of its own, so no task holds a group. Only link counts and a spanning forest of
    the verified links leave a task, never the pairs.
 """
@@ -37,6 +40,8 @@ MATRIX_COLUMNS = 4096
 MAX_CACHED_WORDS = 200_000
 GRAMS_AT_ONCE = 2048
 DEVIATIONS = 4.0
+# Members of a prefix run in one block of signatures.
+RUN_BLOCK = 1024
 
 
 def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> int:
@@ -132,7 +137,7 @@ def _signed(docs: DataFrame, n: int, trees: int, depth: int, prefix: int) -> Dat
 
 
 def _neighbours(reps: DataFrame) -> DataFrame:
-    """(a, b): representatives that are neighbours in a sorted trie and share its prefix.
+    """(a, b, tree, prefix): representatives that are neighbours in a sorted trie and share its prefix.
 
     The tries are range-sorted over all tasks; a prefix of very many documents is spread like any other stretch. The last
     row of a task and the first of the next are compared too: each task hands out its border rows.
@@ -164,9 +169,12 @@ def _neighbours(reps: DataFrame) -> DataFrame:
             before = table[-1:]
             same = (table[1:, :2] == table[:-1, :2]).all(axis=1)
             a, b = table[:-1, 2][same], table[1:, 2][same]
-            nothing = pa.nulls(len(a), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), nothing, nothing, nothing, pa.nulls(len(a), pa.bool_())], names=names
+                [
+                    pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(table[1:, 0][same]), pa.array(table[1:, 1][same]),
+                    pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.bool_()),
+                ],
+                names=names,
             )
         if before is not None:
             yield border(before[0], True)
@@ -175,13 +183,17 @@ def _neighbours(reps: DataFrame) -> DataFrame:
     # Two rows per task.
     one, across = F.struct("tree", "prefix"), Window.orderBy("part", "last")
     borders = found.filter("b IS NULL").withColumns({"_key": F.lag(one).over(across), "_rep": F.lag("a").over(across)}).filter(F.col("_key") == one)
-    borders = borders.filter("a != _rep").select(F.least("a", "_rep").alias("a"), F.greatest("a", "_rep").alias("b"))
-    return found.filter("b IS NOT NULL").select("a", "b").unionByName(borders).distinct()
+    borders = borders.filter("a != _rep").select(F.least("a", "_rep").alias("a"), F.greatest("a", "_rep").alias("b"), "tree", "prefix")
+    return found.filter("b IS NOT NULL").select("a", "b", "tree", "prefix").unionByName(borders)
+
+
+def _least_agreement(threshold: float, values: int) -> float:
+    return values * threshold - DEVIATIONS * math.sqrt(values * threshold * (1 - threshold))
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, threshold: float, values: int) -> DataFrame:
-    """Candidate pairs whose signatures agree about as often as those of a pair at the threshold would."""
-    least = values * threshold - DEVIATIONS * math.sqrt(values * threshold * (1 - threshold))
+    """(src, dst, near) of candidate pairs; near: their signatures agree about as often as those of a pair at the threshold would."""
+    least = _least_agreement(threshold, values)
     marks = reps.select("rep", "signature")
     both = (
         pairs.join(marks.withColumnsRenamed({"rep": "a", "signature": "mark_a"}), "a")
@@ -191,10 +203,100 @@ def _likely(pairs: DataFrame, reps: DataFrame, threshold: float, values: int) ->
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, other = (np.frombuffer(b"".join(batch.column(n).to_pylist()), dtype=np.uint8).reshape(-1, values) for n in ("mark_a", "mark_b"))
-            kept = pa.array((one == other).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["src", "dst"])
+            near = pa.array((one == other).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), near], names=["src", "dst", "near"])
 
-    return both.mapInArrow(agree, "src bigint, dst bigint")
+    return both.mapInArrow(agree, "src bigint, dst bigint, near boolean")
+
+
+def agreements(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values all signatures of two blocks (one per row, a byte per value) have in common."""
+    if len(left) * len(right) <= 2048:
+        return (left[:, None, :] == right[None, :, :]).sum(axis=2)
+    out, columns, others = np.zeros((len(left), len(right)), dtype=np.uint16), np.ascontiguousarray(left.T), np.ascontiguousarray(right.T)
+    for first in range(0, len(columns), 128):
+        part = np.zeros(out.shape, dtype=np.uint8)
+        for one, other in zip(columns[first : first + 128], others[first : first + 128], strict=True):
+            part += (one[:, None] == other).view(np.uint8)
+        out += part
+    return out
+
+
+def _joined_in_runs(neighbours: DataFrame, candidates: DataFrame, components: DataFrame, reps: DataFrame, threshold: float, values: int, run_block: int) -> DataFrame:
+    """(src, dst): components (``components`` has rep and component) with members that share a prefix and whose signatures agree enough.
+
+    Neighbours have been compared already, so only runs of three members or more with neighbours in different components are
+    opened. A component of a block or more has blocks of its own, which are not compared with each other.
+    """
+    run = ["tree", "prefix"]
+
+    def with_component(df: DataFrame, rep: str, name: str) -> DataFrame:
+        known = components.select(F.col("rep").alias(rep), F.col("component").alias(name))
+        return df.join(known, rep, "left").withColumn(name, F.coalesce(name, rep))
+
+    apart = with_component(with_component(candidates.filter("NOT near").select(F.col("src").alias("a"), F.col("dst").alias("b")), "a", "_a"), "b", "_b")
+    several = neighbours.groupBy(*run).count().filter("count > 1").select(*run)
+    opened = neighbours.join(apart.filter("_a != _b").select("a", "b"), ["a", "b"], "left_semi").select(*run).distinct().join(several, run, "left_semi")
+    chains = neighbours.join(opened, run, "left_semi")
+    members = chains.select(*run, F.explode(F.array("a", "b")).alias("rep")).distinct()
+    members = written(with_component(members, "rep", "component"), "runs")
+
+    sized = members.groupBy(*run, "component").count().withColumn("part", F.when(F.col("count") >= run_block, F.col("component")).otherwise(F.lit(-1)))
+    parts = sized.groupBy(*run, "part").agg(F.ceil(F.sum("count") / run_block).cast("int").alias("blocks"))
+    before = Window.partitionBy(*run).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({
+        "first": F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int"), "all_blocks": F.sum("blocks").over(Window.partitionBy(*run)).cast("int"),
+    })
+    places = sized.join(parts, [*run, "part"]).drop("count")
+    placed = members.join(places, [*run, "component"]).withColumn("block", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("blocks"))).cast("int"))
+    own = (F.col("part") >= 0) & (F.col("other") >= F.col("first")) & (F.col("other") < F.col("first") + F.col("blocks"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1))).filter(~own).select(
+        *run, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "component", "rep"
+    )
+    met = met.join(reps.select("rep", "signature"), "rep").drop("rep")
+    key, least = [*run, "low", "high"], _least_agreement(threshold, values)
+
+    def compare(members: list[tuple[int, int, bytes]], low: int, high: int) -> pa.RecordBatch:
+        block, component = np.array([one[0] for one in members]), np.array([one[1] for one in members])
+        marks = np.frombuffer(b"".join(one[2] for one in members), dtype=np.uint8).reshape(-1, values)
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        a, b = np.nonzero((agreements(marks[left], marks[right]) >= least) & (component[left][:, None] != component[right]))
+        joined, at = np.unique(np.concatenate([component[left][a], component[right][b]]), return_inverse=True)
+        links = np.zeros((len(joined), len(joined)), dtype=bool)
+        links[at[: len(a)], at[len(a) :]] = True
+        roots = _roots(links) if len(joined) else joined
+        kept = roots != np.arange(len(joined))
+        return pa.RecordBatch.from_arrays([pa.array(joined[kept], pa.int64()), pa.array(joined[roots][kept], pa.int64())], names=["src", "dst"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for batch in batches:
+            for tree, prefix, low, high, *one in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (tree, prefix, low, high) != current:
+                    if len(held) > 1:
+                        yield compare(held, current[2], current[3])
+                    current, held = (tree, prefix, low, high), []
+                held.append(one)
+        if len(held) > 1:
+            yield compare(held, current[2], current[3])
+
+    return met.repartition(*key).sortWithinPartitions(*key).mapInArrow(join, "src bigint, dst bigint").distinct()
+
+
+def _groups(neighbours: DataFrame, reps: DataFrame, threshold: float, values: int, run_block: int) -> DataFrame:
+    """(rep, component): representatives in groups of those that share a prefix and whose signatures agree enough."""
+    candidates = written(_likely(neighbours.select("a", "b").distinct(), reps, threshold, values), "candidates")
+    pairs = candidates.filter("near").select("src", "dst")
+    touched = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
+    components = written(connected_components(touched, pairs).withColumnRenamed("id", "rep"), "components")
+    edges = written(_joined_in_runs(neighbours, candidates, components, reps, threshold, values, run_block), "joined")
+    if edges.isEmpty():
+        return components
+    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+    joined = written(connected_components(ends, edges).select(F.col("id").alias("component"), F.col("component").alias("joined")), "joined")
+    # A representative that neighbours left alone is a component of its own number.
+    alone = joined.join(components.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("rep"), "component")
+    return components.unionByName(alone).join(joined, "component", "left").select("rep", F.coalesce("joined", "component").alias("component"))
 
 
 def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -301,7 +403,7 @@ def _verified(groups: DataFrame, docs: DataFrame, n: int, threshold: float, bloc
 
 def find_near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", n: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH,
-    recall: float = RECALL, block_weight: int = BLOCK_WEIGHT,
+    recall: float = RECALL, block_weight: int = BLOCK_WEIGHT, run_block: int = RUN_BLOCK,
 ) -> DataFrame:
     """(doc_id, text_key, class_no, class_id, n_links): one row per row of ``docs``.
 
@@ -317,9 +419,7 @@ def find_near_duplicates(
         F.min(F.struct("doc_id", "text_key", "n_grams", "paths", "signature")).alias("one"), F.count(F.lit(1)).alias("rows_of"), F.min("doc_id").alias("first_id")
     )
     reps = written(sets.select(F.monotonically_increasing_id().alias("rep"), "set_key", "one.*", "rows_of", "first_id"), "representatives")
-    pairs = written(_likely(_neighbours(reps), reps, threshold, trees * depth), "candidates")
-    touched = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
-    components = connected_components(touched, pairs).withColumnRenamed("id", "rep")
+    components = _groups(_neighbours(reps), reps, threshold, trees * depth, run_block)
     groups = written(reps.select("rep", "doc_id", "text_key", "n_grams", "rows_of").join(components, "rep"), "groups")
     verified = written(_verified(groups, rows, n, threshold, block_weight), "verified")
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))

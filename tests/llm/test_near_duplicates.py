@@ -113,3 +113,33 @@ def test_links_are_exact():
             assert found[i, j] == (5 * both >= 4 * (len(a) + len(b) - both))
     same = np.array([4, 5, 6, 7, 8])
     assert links_between([same[:4]], [same], Fraction(4, 5))[0, 0] and not links_between([same[:3]], [same[:4]], Fraction(4, 5))[0, 0]
+
+
+@pytest.mark.parametrize("run_block", [1024, 100])
+def test_pairs_of_a_passage_family(spark, run_block):
+    """Documents that are mostly one passage share prefixes but are no near duplicates; the few true pairs among them are found."""
+    from haulwise.llm.near_duplicates import Grams
+
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    passage = [word() for _ in range(104)]
+    # 100 n-grams of the passage and 12 (3 documents, pairwise 100 / 124) or 50 more (at most 100 / 162 with any other).
+    texts = [" ".join([*passage, *[word() for _ in range(own)]]) for own in [12] * 3 + [50] * 2500]
+    rng.shuffle(texts)
+    sets, expected = [Grams(5)(text) for text in texts], collections.Counter()
+    for start in range(0, len(sets), 500):
+        for at, row in enumerate(links_between(sets[start : start + 500], sets, Fraction(4, 5)), start):
+            expected[at] = int(row.sum()) - 1
+    assert sum(expected.values()) == 6
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    assert {r.doc_id: r.n_links for r in find_near_duplicates(docs, run_block=run_block).collect()} == dict(expected)
+
+
+def test_agreements_of_blocks():
+    from haulwise.llm.near_duplicates import agreements
+
+    rng = np.random.default_rng(5)
+    left, right = rng.integers(0, 3, (70, 256)).astype(np.uint8), rng.integers(0, 3, (90, 256)).astype(np.uint8)
+    right[4] = left[3]
+    expected = (left[:, None] == right).sum(axis=2)
+    assert (agreements(left, right) == expected).all() and (agreements(left[:9], right[:9]) == expected[:9, :9]).all() and expected[3, 4] == 256
