@@ -59,6 +59,24 @@ def mod_97(match: Column) -> Column:
     return F.when(size.between(15, 34), F.aggregate(F.sequence(F.lit(1), size), F.lit(0), add) == 1).otherwise(F.lit(False))
 
 
+# Countries by the length of their account numbers.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """Numbers of their country's length; where none is known or fits, as many groups of four as follow and a shorter one."""
+    known = [
+        rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{size // 4 - 1}}}" + (rf"\x20?[A-Z0-9]{{{size % 4}}}" if size % 4 else "")
+        for size, countries in IBAN_LENGTHS.items()
+    ]
+    other = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?"
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join([*known, other])})(?![A-Za-z0-9])"
+
+
 @dataclass(frozen=True)
 class Kind:
     """``hint`` must match somewhere in a text for ``pattern`` to be tried; ``base`` kinds stay whatever their score."""
@@ -81,11 +99,11 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9](?:[\x20-]?[0-9]){12}", luhn, 0.8, "card|visa|payment|credit"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", lambda m: F.char_length(_digits(m)).between(9, 15), 0.7, "phone|call|tel|mobile|fax"),
     Kind(
-        "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", mod_97, 0.8,
+        "iban", _iban_pattern(), "[A-Z]{2}[0-9]{2}", mod_97, 0.8,
         "iban|account|bank", base=False,
     ),
     Kind(
-        "secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,128}+(?![A-Za-z0-9_-])", "(?i)token|secret|passw|key",
+        "secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_-])", "(?i)token|secret|passw|key",
         lambda m: F.char_length(_digits(m)) >= 4, 0.3, "token|secret|passw|key", base=False,
     ),
 )

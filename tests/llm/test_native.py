@@ -106,3 +106,13 @@ def test_native_queries_run_no_python(spark):
     for name in ("op2_pii", "op7_chat"):
         plan = catalog.queries()[name](spark, SMALLEST)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_account_numbers_before_words_and_long_secrets(spark):
+    numbers = ["AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "NO93 8601 1117 947"]
+    rows = [(number, f"bank {number} {after} paid") for number in numbers for after in ("EUR", "BIC", "2024", "and")]
+    rows += [("a1B2c3D4" * 40, f"token {'a1B2c3D4' * 40} end")]
+    found = find_personal_data(spark.createDataFrame(rows, "expected string, text string")).collect()
+    assert len(found) == 17
+    for row in found:
+        assert [row.text[one["start"] : one["end"]] for one in row.spans if one["kind"] in ("iban", "secret")] == [row.expected]
