@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulwise.llm import archive_queries, chat_queries, corpus_queries, token_queries  # noqa: F401 - registration
+from haulwise.llm import archive_queries, chat_queries, corpus_queries, mining_queries, token_queries  # noqa: F401 - registration
 from haulwise.llm.registry import CHECKS, QUERIES
 
 
