@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from haulwise.llm.tokens import encoder
+from haulwise.llm.tokens import encoder, merged
 
 
 @dataclass(frozen=True)
@@ -149,7 +149,7 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(values, of) for values, of in zip(columns, kinds, strict=True)], names=names)
 
         packer, id_type = Packer(limits, cut, place), pa.int64()
-        for batch in batches:
+        for batch in merged(batches, 1):
             id_type = batch.column(0).type
             coded = ids_of(batch.column(1).to_pylist())
             for name, ids, learn in zip(batch.column(0).to_pylist(), coded, batch.column(2).to_pylist(), strict=True):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from haulwise.llm.tokens import encoder
+from haulwise.llm.tokens import encoder, merged
 
 END_ID = 1
 STRIPE_BYTES = 16 << 20
@@ -33,19 +33,20 @@ def write_token_files(
 ) -> None:
     """Encode every whole text, append ``end_id`` and write ORC files in ascending order of id.
 
-    A NULL text is an empty one. NULL ids come first; rows with equal ids are ordered by the text's hash and text, so
+    A NULL text is an empty one. NULL ids come first; rows with equal ids are ordered by their place in the input, so
     repeated rows are all kept and one id that holds many rows is still spread over files. An empty table gives files
     without rows. Other columns are not written. Each row also holds the number of its file part and the number of ids
     before it in that part, from which ``read_token_files`` gets global positions without sorting again.
     """
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    ordered = rows.withColumn("_tie", F.xxhash64("text")).repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text")
+    # The ranges are sampled from ids and places alone, so that the texts are read once.
+    ordered = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, part, before = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for batch in merged(batches, 1):
             coded = [ids + end for ids in ids_of(batch.column(1).to_pylist())]
             ends = np.cumsum([0, *[len(ids) // 4 for ids in coded]])
             values = pa.array(np.frombuffer(b"".join(coded), dtype="<i4"))

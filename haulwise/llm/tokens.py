@@ -2,16 +2,21 @@
 
 The ``tokenizers`` library spends most of its time on normalising with offsets, which nobody needs here. For files whose
 normaliser and splitter are the lower-casing word kind (`WORD_NORMALIZER`, `WORD_SPLITTER`), texts of plain Latin characters
-are therefore lower-cased and split here, and only words not met before go through the library's model, joined by blanks. What
-lies between two blanks is looked up as a whole, since most of it has been met before. All other texts, and all other files, go through the library whole. Both ways give the same ids.
+are therefore lower-cased, split at blanks and coded as indices of their different pieces by Arrow; only a batch's different pieces
+are looked up, and only words not met before go through the library's model, joined by blanks. The ids of all places are then
+gathered by index. All other texts, and all other files, go through the library whole. Both ways give the same ids.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # What the fast way imitates.
 WORD_NORMALIZER = {
@@ -31,7 +36,10 @@ WORD_SPLITTER = {
 # Characters whose lower case, composition and class are beyond doubt: ASCII and the Latin-1 letters, signs of French and German print.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xc0-\xffŒœ–—‘’“”…\xab\xbb\xa1\xbf]*")
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+# Entries of each of the two generations of a cache.
 MAX_CACHED = 300_000
+# Characters of texts that are split at a time, unless one text has more.
+SPLIT_AT_ONCE = 4 << 20
 SINGLE_SIGNS = frozenset(".,;:!?)")
 
 
@@ -43,6 +51,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 def _words(piece: str) -> list[str]:
+    if not piece:
+        return []
     if piece.isalpha():
         return [piece]
     if piece[-1] in SINGLE_SIGNS and piece[:-1].isalpha():
@@ -50,6 +60,28 @@ def _words(piece: str) -> list[str]:
     return WORDS.findall(piece)
 
 
+class Cache:
+    """A mapping that forgets what has not been asked for since it was last full."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.young[key] = found
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        self.young[key] = value
+
+    def trim(self) -> None:
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+
+
 class Encoder:
     """Callable: list of texts to one bytes object of little-endian unsigned 32-bit ids per text."""
 
@@ -66,8 +98,8 @@ class Encoder:
             and rules.get("post_processor") is None and model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>"
             and not model.get("continuing_subword_prefix")
         )
-        self.met: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        # Ids of pieces between blanks and of words.
+        self.met = Cache(MAX_CACHED)
         if self.by_word:
             lean = Tokenizer(self.whole.model)
             lean.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -78,48 +110,111 @@ class Encoder:
             self.letters = _byte_letters()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = [self._pieces(text) for text in texts]
-        if self.by_word:
-            self._meet(set().union(*[pieces for pieces in split if pieces is not None]))
-        met = self.met.__getitem__
-        out = [self._whole(text) if pieces is None else b"".join(map(met, pieces)) for text, pieces in zip(texts, split, strict=True)]
-        for cache in (self.met, self.known):
-            if len(cache) > MAX_CACHED:
-                cache.clear()
+        out: list[bytes] = [b""] * len(texts)
+        plain = []
+        for row, text in enumerate(texts):
+            if self._is_plain(text):
+                plain.append(row)
+            else:
+                out[row] = self._whole(text)
+        for rows in _groups(plain, texts):
+            for row, ids in zip(rows, self._by_piece([texts[row] for row in rows]), strict=True):
+                out[row] = ids
+        self.met.trim()
         return out
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """What lies between the blanks of a plain text in lower case, None for a text that goes through the library whole."""
-        if not self.by_word or not PLAIN.fullmatch(text) or any(mark in text for mark in self.marks):
-            return None
-        return text.lower().split()
-
-    def _meet(self, pieces: set[str]) -> None:
-        """Learn the ids of the pieces not met before, from those of their words."""
-        words = {piece: _words(piece) for piece in pieces if piece not in self.met}
-        self._learn(set().union(*words.values()))
-        known = self.known.__getitem__
-        for piece, of in words.items():
-            self.met[piece] = known(of[0]) if len(of) == 1 else b"".join(map(known, of))
+    def _is_plain(self, text: str) -> bool:
+        return self.by_word and PLAIN.fullmatch(text) is not None and not any(mark in text for mark in self.marks)
+
+    def _by_piece(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts, from those of what lies between their blanks."""
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        coded = split.values.dictionary_encode()
+        ids = self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        places = coded.indices.to_numpy()
+        lengths = sizes[places]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        shift = (np.cumsum(sizes) - sizes)[places] - ends[:-1]
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")
+        raw = flat[np.arange(ends[-1]) + np.repeat(shift, lengths)].tobytes()
+        borders = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [raw[start:end] for start, end in zip(borders, borders[1:], strict=False)]
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different pieces; those not met before come from their words."""
+        young, old = self.met.young.get, self.met.get
+        found = [young(piece) or old(piece) for piece in pieces]
+        new = [row for row, ids in enumerate(found) if ids is None]
+        split = [_words(pieces[row]) for row in new]
+        get = self.met.get
+        # The word of a piece that is one word is that piece, of which it is known that it is new.
+        learned = self._learn({word for of in split for word in of if len(of) == 1 or get(word) is None})
+        for row, of in zip(new, split, strict=True):
+            if len(of) == 1:
+                found[row] = learned[of[0]]
+            else:
+                found[row] = b"".join([learned.get(word) or get(word) for word in of])
+                self.met.put(pieces[row], found[row])
+        return found
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        new = [word for word in words if word not in self.known]
-        if not new:
-            return
-        joined = " ".join(new)
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """The ids of words by the library's model."""
+        if not words:
+            return {}
+        joined = " ".join(words)
         if not joined.isascii():
-            joined = " ".join(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters) for word in new)
+            joined = " ".join([word if word.isascii() else word.encode().decode("latin-1").translate(self.letters) for word in words])
         ids = np.array(self.lean.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-        if len(ends) != len(new):
-            raise ValueError(f"{len(new)} words gave {len(ends)} word ends")
-        raw, start = ids.tobytes(), 0
-        for word, end in zip(new, ends, strict=True):
-            self.known[word] = raw[start:end]
-            start = end
+        if len(ends) != len(words):
+            raise ValueError(f"{len(words)} words gave {len(ends)} word ends")
+        raw = ids.tobytes()
+        learned = {word: raw[start:end] for word, start, end in zip(words, [0, *ends], ends, strict=False)}
+        self.met.young |= learned
+        return learned
+
+
+def _groups(rows: list[int], texts: list[str]) -> Iterator[list[int]]:
+    """Rows in groups of at most SPLIT_AT_ONCE characters, or one text."""
+    group, held = [], 0
+    for row in rows:
+        if group and held + len(texts[row]) > SPLIT_AT_ONCE:
+            yield group
+            group, held = [], 0
+        group.append(row)
+        held += len(texts[row])
+    if group:
+        yield group
+
+
+def merged(batches: Iterator[pa.RecordBatch], text: int, size: int = SPLIT_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Batches put together until their texts (column number ``text``) have ``size`` bytes: the more texts, the fewer pieces are new."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.column(text).nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _groups(rows: list[int], texts: list[str]) -> Iterator[list[int]]:
+    """Rows in groups of at most SPLIT_AT_ONCE characters, or one text."""
+    group, held = [], 0
+    for row in rows:
+        if group and held + len(texts[row]) > SPLIT_AT_ONCE:
+            yield group
+            group, held = [], 0
+        group.append(row)
+        held += len(texts[row])
+    if group:
+        yield group
 
 
 _ENCODERS: dict[str, Encoder] = {}
