@@ -14,8 +14,12 @@ from haulwise.operators.hotkeys import first_per_key
 from haulwise.session import cut_and_measure, cut_lineage
 
 ROUTES = 3
-# The first searches, which only find bounds for the real ones, end after so many hops.
-SHORT_HOPS = 6
+# Hops that balls grow between two estimates of how far they have to reach.
+HOPS_PER_ESTIMATE = 3
+# Hops that partial routes take in one job.
+HOPS_PER_JOB = 3
+# What sums of rounded weights may differ by.
+SLACK = 1e-9
 # Weights are rounded before they are added up, so that equal routes cost the same wherever they are summed.
 WEIGHT_DECIMALS = 6
 COST_COLUMNS = (
@@ -46,36 +50,32 @@ def _passable(avoid: list[str] | None, *ends: str) -> Column:
     return reduce(lambda a, b: a | b, [F.col("node") == F.col(end) for end in ends], ~F.col("node").isin(*avoid))
 
 
-def _cheapest(
-    arcs: DataFrame, origins: DataFrame, max_hops: int | None, avoid: list[str] | None = None, limits: DataFrame | None = None
-) -> DataFrame:
-    """(way, origin, node, cost, path) for searches on several arc sets at once.
-
-    ``arcs`` are (way, arc_from, arc_to, weight), ``origins`` (way, origin). Relaxation in rounds over all origins; only
-    labels that improved move on, until none improves or the caller's number of hops is used up. Ties go to the first path
-    in node order. ``limits`` (way, origin, most) end a search where a path costs more than ``most``; NULL ends none.
-    """
-    best = origins.distinct().select(
+def _starts(origins: DataFrame) -> DataFrame:
+    """Labels of searches (way, origin) before their first hop."""
+    return origins.distinct().select(
         "way", "origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.array("origin").alias("path"),
         F.lit(True).alias("fresh"),
     )
-    for _ in itertools.count() if max_hops is None else range(max_hops):
-        grown = best.filter(F.col("fresh") & _passable(avoid, "origin")).join(
-            arcs.withColumnRenamed("way", "_way"), (F.col("way") == F.col("_way")) & (F.col("node") == F.col("arc_from"))
-        ).filter(~F.array_contains("path", F.col("arc_to"))).select(
-            "way", "origin", F.col("arc_to").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"),
-            F.concat("path", F.array("arc_to")).alias("path"), F.lit(True).alias("fresh"),
-        )
-        if limits is not None:
-            within = F.col("most").isNull() | (F.col("cost") <= F.col("most") + 1e-9)
-            grown = grown.join(limits, ["way", "origin"]).filter(within).drop("most")
-        merged = best.withColumn("fresh", F.lit(False)).unionByName(grown)
-        label = F.min(F.struct("cost", "path", "fresh")).alias("l")
-        round_best = merged.groupBy("way", "origin", "node").agg(label).select("way", "origin", "node", "l.cost", "l.path", "l.fresh")
-        best, figures = cut_and_measure(round_best, improved=F.count_if("fresh"))
-        if not figures["improved"]:
-            break
-    return best.drop("fresh")
+
+
+def _relaxed(best: DataFrame, arcs: DataFrame, avoid: list[str] | None, reach: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """Labels after one more hop of those that improved last, and how many improved now. Ties go to the first path in node order.
+
+    ``reach`` (way, origin, most) drops labels that cost more than ``most``; NULL drops none.
+    """
+    grown = best.filter(F.col("fresh") & _passable(avoid, "origin")).join(
+        arcs.withColumnRenamed("way", "_way"), (F.col("way") == F.col("_way")) & (F.col("node") == F.col("arc_from"))
+    ).filter(~F.array_contains("path", F.col("arc_to"))).select(
+        "way", "origin", F.col("arc_to").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"),
+        F.concat("path", F.array("arc_to")).alias("path"), F.lit(True).alias("fresh"),
+    )
+    merged = best.withColumn("fresh", F.lit(False)).unionByName(grown)
+    if reach is not None:
+        merged = merged.join(reach, ["way", "origin"]).filter(F.col("most").isNull() | (F.col("cost") <= F.col("most") + SLACK)).drop("most")
+    label = F.min(F.struct("cost", "path", "fresh")).alias("l")
+    round_best = merged.groupBy("way", "origin", "node").agg(label).select("way", "origin", "node", "l.cost", "l.path", "l.fresh")
+    best, figures = cut_and_measure(round_best, improved=F.count_if("fresh"))
+    return best, figures["improved"]
 
 
 def _arcs_of(arcs: DataFrame, way: str, weight: str, reverse: bool = False) -> DataFrame:
@@ -89,30 +89,26 @@ def cheapest_paths(
     """(origin, node, cost, path): cheapest path from each origin to each node it reaches, of any length unless ``max_hops``
     limits it, with no node of ``avoid`` between its ends."""
     steps = cut_lineage(_arcs_of(arcs, "ahead", weight))
-    return _cheapest(steps, origins.select(F.lit("ahead").alias("way"), F.col("id").alias("origin")), max_hops, avoid).drop("way")
+    best = _starts(origins.select(F.lit("ahead").alias("way"), F.col("id").alias("origin")))
+    for _ in itertools.count() if max_hops is None else range(max_hops):
+        best, improved = _relaxed(best, steps, avoid)
+        if not improved:
+            break
+    return best.drop("fresh", "way")
 
 
 def best_route(
     arcs: DataFrame, od: DataFrame, max_hops: int | None = None, weight: str = "routing_weight_minutes", avoid: list[str] | None = None
 ) -> DataFrame:
     """(source, target, cost, path) of the cheapest route of each pair; pairs out of reach have no row."""
-    pairs = od.select("source", "target").distinct()
-    steps = cut_lineage(_arcs_of(arcs, "ahead", weight))
-    origins = pairs.select(F.lit("ahead").alias("way"), F.col("source").alias("origin"))
-
-    def of_pairs(paths: DataFrame, how: str) -> DataFrame:
-        return pairs.join(paths.select(F.col("origin").alias("source"), F.col("node").alias("target"), "cost", "path"), ["source", "target"], how)
+    here = od.filter(F.col("source") == F.col("target")).select("source", "target").distinct()
+    staying = here.select("source", "target", F.lit(0.0).alias("cost"), F.array("source").alias("path"))
+    return k_routes(arcs, od, 1, max_hops, weight, avoid).drop("rank").unionByName(staying)
 
-    limits = None
-    if max_hops is None:
-        short = of_pairs(_cheapest(steps, origins, SHORT_HOPS, avoid), "left").withColumnRenamed("cost", "bound")
-        limits = cut_lineage(_limits(short, "ahead", "source"))
-    return of_pairs(_cheapest(steps, origins, max_hops, avoid, limits), "inner")
 
-
-def _limits(bounds: DataFrame, way: str, end: str) -> DataFrame:
-    """(way, origin, most): what a search from an end of several pairs has to cover; NULL if one of them has no bound."""
-    most = F.when(F.count_if(F.col("bound").isNull()) == 0, F.max("bound")).alias("most")
+def _reach(bounds: DataFrame, way: str, end: str) -> DataFrame:
+    """(way, origin, most): half the largest bound of the pairs of an end; NULL if one of them has no bound."""
+    most = F.when(F.count_if(F.col("bound").isNull()) == 0, F.max("bound") / 2).alias("most")
     return bounds.groupBy(F.lit(way).alias("way"), F.col(end).alias("origin")).agg(most)
 
 
@@ -126,10 +122,10 @@ def _rest(paths: DataFrame) -> DataFrame:
 def _bounds(
     pairs: DataFrame, arcs: DataFrame, paths: DataFrame, k: int, max_hops: int | None, avoid: list[str] | None
 ) -> DataFrame:
-    """(source, target, bound): the cost of the k-th cheapest known route of each pair, NULL where fewer are known."""
+    """(source, target, bound): the cost of the k-th cheapest known route of each pair, or the bound it has if lower; NULL where fewer are known."""
     ahead, rest = paths.filter("way = 'ahead'").drop("way"), _rest(paths)
     # Routes that follow a cheapest path, take one arc and follow a cheapest path again.
-    first_half = pairs.join(ahead.withColumnRenamed("origin", "source"), "source").filter(_passable(avoid, "source"))
+    first_half = pairs.drop("bound").join(ahead.withColumnRenamed("origin", "source"), "source").filter(_passable(avoid, "source"))
     first_half = first_half.join(arcs, F.col("node") == F.col("src"))
     joined = first_half.select("source", "target", "cost", "path", F.col("dst").alias("node"), "w").filter(_passable(avoid, "target"))
     joined = joined.join(rest, ["target", "node"])
@@ -143,8 +139,67 @@ def _bounds(
     order = [F.asc("cost"), F.asc("path")]
     trimmed = known.groupBy("source", "target", "path").agg(F.min("cost").alias("cost"))
     ranked = first_per_key(trimmed, ["source", "target"], order, k, rank="n")
-    bounds = ranked.groupBy("source", "target").agg(F.when(F.count(F.lit(1)) == k, F.max("cost")).alias("bound"))
-    return cut_lineage(pairs.join(bounds, ["source", "target"], "left"))
+    bounds = ranked.groupBy("source", "target").agg(F.when(F.count(F.lit(1)) == k, F.max("cost")).alias("_new"))
+    return cut_lineage(pairs.join(bounds, ["source", "target"], "left").withColumn("bound", F.least("bound", "_new")).drop("_new"))
+
+
+def _balls(
+    pairs: DataFrame, arcs: DataFrame, k: int, max_hops: int | None, avoid: list[str] | None
+) -> tuple[DataFrame, DataFrame]:
+    """Cheapest paths around both ends of all pairs, and an upper bound of the cost of each pair's ``k`` cheapest routes.
+
+    A route within the bound has an arc whose start costs at most half of it from the source, and whose end costs at most half
+    of it to the target. So the balls reach half of the bound, which is estimated again as they grow; what lies beyond is
+    dropped. A pair with fewer than ``k`` known routes has no bound, and its ends search on.
+    """
+    steps = cut_lineage(_arcs_of(arcs, "ahead", "w").unionByName(_arcs_of(arcs, "back", "w", reverse=True)))
+    best = _starts(pairs.select(F.lit("ahead").alias("way"), F.col("source").alias("origin")).unionByName(
+        pairs.select(F.lit("back").alias("way"), F.col("target").alias("origin"))
+    ))
+    bounds, reach, hops = pairs.withColumn("bound", F.lit(None).cast("double")), None, 0
+    while True:
+        for _ in range(HOPS_PER_ESTIMATE if max_hops is None else min(HOPS_PER_ESTIMATE, max_hops - hops)):
+            best, improved = _relaxed(best, steps, avoid, reach)
+            hops += 1
+            if not improved:
+                break
+        # A bound stays one when what it rests on has been dropped.
+        bounds = _bounds(bounds, arcs, best.drop("fresh"), k, max_hops, avoid)
+        if not improved or hops == max_hops:
+            return best.drop("fresh"), bounds
+        reach = cut_lineage(_reach(bounds, "ahead", "source").unionByName(_reach(bounds, "back", "target")))
+
+
+def _rests(bounds: DataFrame, arcs: DataFrame, paths: DataFrame) -> DataFrame:
+    """(source, target, node, rest): what is left to pay from a node to the target, for all nodes that routes within the bound can
+    pass. Inside the target's ball it is known; from its rim it is carried on through the source's ball, pair by pair."""
+    within = F.col("bound").isNull() | (F.col("ahead") + F.col("rest") <= F.col("bound") + SLACK)
+    ahead = paths.filter("way = 'ahead'").select(F.col("origin").alias("source"), "node", F.col("cost").alias("ahead"))
+    near = bounds.join(ahead, "source").filter(F.col("bound").isNull() | (F.col("ahead") <= F.col("bound") + SLACK))
+    near = cut_lineage(near)
+    known = bounds.join(_rest(paths).drop("tail"), "target").join(near.drop("bound"), ["source", "target", "node"], "left")
+    # A node outside the source's ball costs more than half of the bound from there.
+    known = known.filter(F.coalesce(within, F.col("rest") <= F.col("bound") / 2 + SLACK)).select(
+        "source", "target", "node", "rest", F.lit(True).alias("fresh"), F.lit(True).alias("settled")
+    )
+    rests = cut_lineage(known)
+
+    def hop(labels: DataFrame) -> DataFrame:
+        return labels.join(arcs, F.col("node") == F.col("dst")).select(
+            "source", "target", F.col("src").alias("node"), (F.col("w") + F.col("rest")).alias("rest"), F.lit(True).alias("fresh"), F.lit(False).alias("settled")
+        ).join(near, ["source", "target", "node"]).filter(within).drop("ahead", "bound")
+
+    while True:
+        grown = hop(rests.filter("fresh"))
+        merged = rests.withColumn("fresh", F.lit(False)).unionByName(grown).unionByName(hop(grown))
+        # What the target's ball holds is final.
+        least = F.min(F.struct(~F.col("settled"), "rest", "fresh", "settled")).alias("l")
+        rests, figures = cut_and_measure(
+            merged.groupBy("source", "target", "node").agg(least).select("source", "target", "node", "l.rest", "l.fresh", "l.settled"),
+            improved=F.count_if("fresh"),
+        )
+        if not figures["improved"]:
+            return rests.select("source", "target", "node", "rest")
 
 
 def k_routes(
@@ -155,47 +210,51 @@ def k_routes(
 
     Routes may have any number of hops unless ``max_hops`` limits it; a node of ``avoid`` is an end of a route or not on it.
 
-    1. Cheapest paths from every source and, over reversed arcs, to every target. The latter never exceed what a partial
-       path still has to pay.
-    2. Joining both over each arc gives real routes; the k-th cheapest of a pair is an upper bound for its answers.
-    3. Partial paths grow hop by hop and stay only while their cost plus the cheapest rest is within the bound.
+    1. Balls around all ends grow until they meet half-way; routes through an arc between them bound the answers of a pair.
+    2. From the rim of the target's ball the exact rest is carried back to the source, over nodes that the bound allows.
+    3. Partial paths grow from the source and stay only while their cost plus the exact rest is within the bound.
     """
     if k < 1:
         raise ValueError("k counts from 1")
     pairs = cut_lineage(od.select("source", "target").filter(F.col("source") != F.col("target")).distinct())
     arcs = cut_lineage(arcs.select("src", "dst", F.col(weight).alias("w")))
-    steps = cut_lineage(_arcs_of(arcs, "ahead", "w").unionByName(_arcs_of(arcs, "back", "w", reverse=True)))
-    ends = pairs.select(F.lit("ahead").alias("way"), F.col("source").alias("origin")).unionByName(
-        pairs.select(F.lit("back").alias("way"), F.col("target").alias("origin"))
-    )
-    limits = None
-    if max_hops is None:
-        short = _bounds(pairs, arcs, _cheapest(steps, ends, SHORT_HOPS, avoid), k, SHORT_HOPS, avoid)
-        limits = cut_lineage(_limits(short, "ahead", "source").unionByName(_limits(short, "back", "target")))
-    paths = _cheapest(steps, ends, max_hops, avoid, limits)
-    bounds = _bounds(pairs, arcs, paths, k, max_hops, avoid)
-    rest = _rest(paths)
+    paths, bounds = _balls(pairs, arcs, k, max_hops, avoid)
+    rests = _rests(bounds, arcs, paths)
 
     forward = arcs.select(F.col("src").alias("arc_from"), F.col("dst").alias("arc_to"), "w")
     frontier = bounds.select(
         "source", "target", "bound", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.array("source").alias("path")
     )
-    complete = None
-    for _ in itertools.count() if max_hops is None else range(max_hops):
-        grown = frontier.join(forward, F.col("node") == F.col("arc_from")).filter(~F.array_contains("path", F.col("arc_to"))).select(
-            "source", "target", "bound", F.col("arc_to").alias("node"), (F.col("cost") + F.col("w")).alias("cost"),
-            F.concat("path", F.array("arc_to")).alias("path"),
-        ).filter(_passable(avoid, "target"))
-        promising = grown.join(rest.select("target", "node", "rest"), ["target", "node"]).filter(
-            F.col("bound").isNull() | (F.col("cost") + F.col("rest") <= F.col("bound") + 1e-9)
-        ).drop("rest")
-        promising, figures = cut_and_measure(promising, moving=F.count_if(F.col("node") != F.col("target")))
-        arrived = promising.filter(F.col("node") == F.col("target")).select("source", "target", "cost", "path")
+    complete, hops = None, 0
+    while True:
+        left = HOPS_PER_JOB if max_hops is None else min(HOPS_PER_JOB, max_hops - hops)
+        for _ in range(left):
+            frontier = _one_hop(frontier, forward, rests, avoid)
+        hops += left
+        if k == 1:
+            # Equal routes are many where weights repeat; the first path in node order is enough.
+            first = F.min(F.struct("cost", "path")).alias("l")
+            frontier = frontier.groupBy("source", "target", "bound", "node").agg(first).select("source", "target", "bound", "node", "l.cost", "l.path")
+        frontier, figures = cut_and_measure(frontier, moving=F.count_if(F.col("node") != F.col("target")))
+        arrived = frontier.filter(F.col("node") == F.col("target")).select("source", "target", "cost", "path")
         complete = arrived if complete is None else complete.unionByName(arrived)
-        frontier = promising.filter(F.col("node") != F.col("target"))
-        if not figures["moving"]:
-            break
-    return first_per_key(complete, ["source", "target"], [F.asc("cost"), F.asc("path")], k, rank="rank")
+        frontier = frontier.filter(F.col("node") != F.col("target"))
+        if not figures["moving"] or hops == max_hops:
+            return first_per_key(complete, ["source", "target"], [F.asc("cost"), F.asc("path")], k, rank="rank")
+
+
+def _one_hop(frontier: DataFrame, forward: DataFrame, rests: DataFrame, avoid: list[str] | None) -> DataFrame:
+    """Partial routes one hop on; those that have arrived stay as they are."""
+    arrived = F.col("node") == F.col("target")
+    on = frontier.withColumn("_from", F.when(~arrived, F.col("node"))).join(forward, F.col("_from") == F.col("arc_from"), "left")
+    moved = on.filter(arrived | (F.col("arc_to").isNotNull() & ~F.array_contains("path", F.col("arc_to")))).select(
+        "source", "target", "bound", F.coalesce("arc_to", "node").alias("node"),
+        F.when(arrived, F.col("cost")).otherwise(F.col("cost") + F.col("w")).alias("cost"),
+        F.when(arrived, F.col("path")).otherwise(F.concat("path", F.array("arc_to"))).alias("path"),
+    ).filter(_passable(avoid, "target"))
+    return moved.join(rests, ["source", "target", "node"]).filter(
+        F.col("bound").isNull() | (F.col("cost") + F.col("rest") <= F.col("bound") + SLACK)
+    ).drop("rest")
 
 
 def route_edges(routes: DataFrame, arcs: DataFrame) -> DataFrame:
