@@ -20,6 +20,8 @@ HOPS_PER_ESTIMATE = 3
 HOPS_PER_JOB = 3
 # What sums of rounded weights may differ by.
 SLACK = 1e-9
+# Share of a catalogue that goes to routes of several hops first.
+LONG_ROUTES = 0.65
 # Weights are rounded before they are added up, so that equal routes cost the same wherever they are summed.
 WEIGHT_DECIMALS = 6
 COST_COLUMNS = (
@@ -347,11 +349,13 @@ def trivial_routes(od: DataFrame, like: DataFrame, weather_factor: Column | floa
     return same.select(*[special.get(c, F.lit(0)).cast(types[c]).alias(c) for c in like.columns])
 
 
-def route_catalog(edges: DataFrame, od: DataFrame, n: int = 20, max_hops: int | None = None) -> DataFrame:
-    """The ``n`` (at least 6, at most 20) most useful routes among the pairs of a demand table.
+def route_catalog(
+    edges: DataFrame, od: DataFrame, n: int = 20, max_hops: int | None = None, long_share: float = LONG_ROUTES
+) -> DataFrame:
+    """The ``n`` most useful routes among the pairs of a demand table (all, if fewer).
 
     Cheapest path by km + 9 * delay, one per pair of ends whichever way it is asked for; ranked by demand, centrality,
-    hops and length; about two thirds go to routes of several hops.
+    hops and length. The best ``long_share`` * ``n`` routes of several hops come first, then direct ones, then the others.
     """
     arcs = both_directions(edges.select("src", "dst", "distance_km", "avg_delay_minutes")).dropDuplicates(["src", "dst"])
     arcs = cut_lineage(arcs.withColumn("weight", F.col("distance_km") + F.col("avg_delay_minutes") * 9))
@@ -378,22 +382,11 @@ def route_catalog(edges: DataFrame, od: DataFrame, n: int = 20, max_hops: int |
         ),
     )
     order = [F.desc("score"), F.desc("hops"), F.asc("total_km"), F.asc("path")]
-    scored = cut_lineage(scored)
-    count = scored.count()
-    target = max(6, min(n, 20, count))
-    multi = scored.filter("hops >= 2").orderBy(*order).limit(max(4, int(target * 0.65)))
-    single = scored.filter("hops = 1").orderBy(*order).limit(target)
-    left = scored.orderBy(*order).limit(2 * target)
-    # At most a few dozen rows from here on: quota by group, then the best of what is left.
-    pool = multi.withColumn("grp", F.lit(0)).unionByName(single.withColumn("grp", F.lit(1))).unionByName(left.withColumn("grp", F.lit(2)))
-    once = first_per_key(pool, ["source", "target"], [F.asc("grp")])
-    place = Window.orderBy(F.asc("grp"), *order)
-    chosen = once.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= target)
-    weight = F.greatest(F.lit(0.15), F.col("score"))
-    cruise = F.least(F.lit(82.0), F.greatest(F.lit(60.0), 61 + F.least(F.lit(16.0), F.col("total_km") / F.col("hops") / 25)))
+    group = F.when((F.col("hops") >= 2) & (F.col("_place") <= int(n * long_share)), 0).when(F.col("hops") == 1, 1).otherwise(2)
+    # Only n rows of each kind can be among the first n, and each task ships no more than those.
+    kinds = first_per_key(scored.withColumn("_long", F.col("hops") >= 2), ["_long"], order, n, rank="_place")
+    chosen = kinds.withColumn("_group", group).orderBy("_group", *order).limit(n)
+    place = F.row_number().over(Window.orderBy("_group", *order))
     return chosen.select(
-        F.concat(F.lit("R"), F.lpad(F.col("place").cast("string"), 2, "0")).alias("route_id"),
-        F.array_join("path", " -> ").alias("path"), "hops", "total_km", "score", F.round(cruise, 1).alias("cruise_speed_kmh"),
-        F.lit(1).alias("dwell_min"), F.when(F.size("path") >= 4, 3).otherwise(2).alias("dwell_max"),
-        (weight / F.sum(weight).over(Window.partitionBy())).alias("weight"),
+        F.concat(F.lit("R"), F.lpad(place.cast("string"), 2, "0")).alias("route_id"), F.array_join("path", " -> ").alias("path"), "hops", "total_km", "score"
     )

@@ -70,7 +70,7 @@ def snapshots_for(snapshots: DataFrame, now: datetime) -> DataFrame:
 
 
 def insights_history(snapshots: DataFrame, profile: str, min_congestion: str, n: int = 10) -> DataFrame:
-    """The leading edge and node of each snapshot, newest ``n`` (1 to 48) snapshots."""
+    """The leading edge and node of each snapshot, newest ``n`` snapshots."""
     rows = snapshots.filter(
         (F.col("profile") == profile) & (F.col("min_congestion") == min_congestion) & (F.col("rank") == 1)
         & F.col("snapshot_time").isNotNull()
@@ -85,4 +85,4 @@ def insights_history(snapshots: DataFrame, profile: str, min_congestion: str, n:
             "top_edge_id": "entity_id", "top_edge_impact_score": "impact_score", "top_edge_level": "congestion_level",
         }),
         *best("node", "criticality_score", {"top_node_id": "entity_id", "top_node_criticality_score": "criticality_score"}),
-    ).orderBy(F.desc("snapshot_time")).limit(max(1, min(int(n), 48)))
+    ).orderBy(F.desc("snapshot_time")).limit(n)

@@ -680,8 +680,6 @@ chosen AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY grp, score DESC,
 
 @query("j12_route_catalog", check_sql("roads", "od_pairs", extra=CATALOG_SQL, recursive=True, body="""
 SELECT concat('R', lpad(CAST(place AS STRING), 2, '0')) AS route_id, array_to_string(path, ' -> ') AS path, hops, total_km,
-  round(score, 6) AS score, round(greatest(60, least(82, 61 + least(16, total_km / hops / 25))), 1) AS cruise_speed_kmh,
-  CAST(1 AS INT) AS dwell_min, CASE WHEN len(path) >= 4 THEN 3 ELSE 2 END AS dwell_max,
-  round(greatest(0.15, score) / sum(greatest(0.15, score)) OVER (), 6) AS weight FROM chosen"""))
+  round(score, 6) AS score FROM chosen"""))
 def j12(v):
-    return rounded(rounded(routing.route_catalog(v("roads"), v("od_pairs")), "weight"), "score", digits=6)
+    return rounded(routing.route_catalog(v("roads"), v("od_pairs")), "score", digits=6)

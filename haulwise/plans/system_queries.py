@@ -75,7 +75,7 @@ def a3(v):
 def a5(v):
     path = scratch(v)
     keyed.upsert_latest(latest_of(v), path)
-    return read_keyed_table(v.spark, path).drop("bucket")
+    return read_keyed_table(v.spark, path)
 
 
 @query("a8_read_recent_files", check_sql("telemetry", extra=RAW, body="""
@@ -378,9 +378,9 @@ def l6(v):
 @query("l8_score_latest", check_sql("telemetry", extra=LATEST, body="""
 SELECT vehicle_id, warehouse_id, last_event_timestamp, TRUE AS level_agrees FROM latest"""))
 def l8(v):
-    """The newest event of every vehicle with the prediction of a forest of the first production size."""
+    """The newest event of every vehicle with the prediction of the best of the three production forests."""
     context = events_in_context(v)
-    trained = learning.train_delay_models(learning.ml_features(context), learning.CANDIDATES[:1])
+    trained = learning.train_delay_models(learning.ml_features(context))
     scored = learning.score(trained.models[trained.selected], learning.score_frame(context))
     predicted = F.col("predicted_delay_minutes")
     level = F.when(predicted >= 10, "high").when(predicted >= 5, "medium").otherwise("low")

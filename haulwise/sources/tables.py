@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
+from haulwise.sinks import keyed
+
 
 def read_keyed_table(spark: SparkSession, name: str, keyspace: str | None = None) -> DataFrame:
-    """A keyed serving table: from a Cassandra connector when a keyspace is named, else from the catalog or a path."""
+    """A keyed serving table: from a Cassandra connector when a keyspace is named, else from the catalog, a keyed store or Parquet files."""
     if keyspace:
         return spark.read.format("org.apache.spark.sql.cassandra").options(keyspace=keyspace, table=name).load()
     if "/" in name:
-        return spark.read.parquet(name)
+        return keyed.read(spark, name) if keyed.is_store(spark, name) else spark.read.parquet(name)
     return spark.table(name)
 
 

@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timedelta
 from itertools import permutations
 
+import pytest
 from pyspark.sql import Window, functions as F
 
 from haulwise.operators.hotkeys import global_index, join_dimension, lag_by_key, rank_by_key
@@ -80,19 +81,58 @@ def test_upsert_in_any_order(spark, folder):
         assert rows(keyed.read(spark, path), "vehicle_id", "warehouse_id") == expected
 
 
-def test_interrupted_swap_is_finished_by_the_next_upsert(spark, folder, monkeypatch):
+@pytest.mark.parametrize("broken_step", ["_commit", "compact"])
+def test_interrupted_upsert_leaves_the_table_whole(spark, folder, monkeypatch, broken_step):
     path = f"{folder}/table"
     keyed.upsert_latest(state(spark, ("a", "W1", 1), ("b", "W1", 1)), path)
     with monkeypatch.context() as broken:
-        broken.setattr(keyed, "_swap", lambda *args: (_ for _ in ()).throw(RuntimeError("executor lost")))
-        try:
+        broken.setattr(keyed, broken_step, lambda *args: (_ for _ in ()).throw(RuntimeError("executor lost")))
+        with pytest.raises(RuntimeError):
             keyed.upsert_latest(state(spark, ("a", "W2", 2)), path)
-        except RuntimeError:
-            pass
+    seen = rows(keyed.read(spark, path), "vehicle_id", "warehouse_id")
+    assert seen == [("a", "W2" if broken_step == "compact" else "W1"), ("b", "W1")]
+    for _ in range(2):  # the batch is replayed
+        keyed.upsert_latest(state(spark, ("a", "W2", 2)), path)
     keyed.upsert_latest(state(spark, ("b", "W3", 3)), path)
     assert rows(keyed.read(spark, path), "vehicle_id", "warehouse_id") == [("a", "W2"), ("b", "W3")]
 
 
+def test_a_batch_writes_its_own_rows_while_history_grows(spark, folder, monkeypatch):
+    monkeypatch.setattr(keyed, "SMALLEST_CLASS", 4)
+    path, written, write_run = f"{folder}/table", [], keyed._write_run
+
+    def counted(rows, *rest):
+        written.append(write_run(rows, *rest))
+        return written[-1]
+
+    monkeypatch.setattr(keyed, "_write_run", counted)
+    expected, held = {}, 0
+    for n in range(24):
+        keyed.upsert_latest(state(spark, *[(f"v{n}-{i}", "W1", n) for i in range(3)], ("hot", f"W{n}", n)), path)
+        expected |= {f"v{n}-{i}": "W1" for i in range(3)} | {"hot": f"W{n}"}
+        own, merges = written[0], written[1:]
+        assert own["rows"] == 4
+        held += sum(run["rows"] for run in merges)
+        written.clear()
+    current = keyed.manifest(spark, path)
+    # A row is rewritten at most once per size class (4, 16, 64), and few runs are open.
+    assert held <= 2 * 24 * 4 and len(current["runs"]) <= 3 * (keyed.RUNS_PER_CLASS - 1)
+    kept = {run["name"] for run in current["runs"] + keyed.manifest(spark, path, 1)["runs"]}
+    assert set(keyed._names(spark, f"{path}/runs")) == kept
+    assert rows(keyed.read(spark, path), "vehicle_id", "warehouse_id") == sorted(expected.items())
+    plan = keyed.read(spark, path).filter("vehicle_id = 'v3-1'")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(vehicle_id), EqualTo(vehicle_id,v3-1)]" in plan
+
+
+def test_null_keys_and_another_order(spark, folder):
+    path = f"{folder}/table"
+    keyed.upsert_latest(state(spark, (None, "W1", 1), (None, "W2", 5), ("a", "W1", 1)), path)
+    keyed.upsert_latest(state(spark, (None, "W3", 3)), path)
+    assert rows(keyed.read(spark, path), "vehicle_id", "warehouse_id") == sorted([(None, "W2"), ("a", "W1")], key=repr)
+    with pytest.raises(ValueError):
+        keyed.upsert(state(spark, ("a", "W1", 1)), path, ["vehicle_id"], ["speed_kmh"])
+
+
 def test_empty_batch_changes_nothing(spark, folder):
     path = f"{folder}/table"
     keyed.upsert_latest(state(spark, ("a", "W1", 1)), path)
