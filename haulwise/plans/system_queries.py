@@ -137,14 +137,15 @@ def a10(v):
 
 @query("b3_append_or_fallback", check_sql("telemetry", body="SELECT event_id, speed_kmh FROM telemetry UNION ALL SELECT event_id, speed_kmh FROM telemetry"))
 def b3(v):
-    """Two appends: one creates the table, one does not fit and falls back to a folder."""
+    """Two batches: one creates the table, one does not fit, falls back to its folder and is replayed."""
     table, fallback = f"appended_{uuid.uuid4().hex[:12]}", scratch(v)
     rows = v("telemetry").select("event_id", "speed_kmh")
-    tables.append_or_fallback(rows, table, fallback)
-    tables.append_or_fallback(rows.withColumnRenamed("speed_kmh", "speed"), table, fallback)
+    tables.append_or_fallback(rows, table, fallback, 0)
+    for _ in range(2):
+        tables.append_or_fallback(rows.withColumnRenamed("speed_kmh", "speed"), table, fallback, 1)
     stored = cut_lineage(v.spark.table(table))
     tables.reset_stream_state(v.spark, [table], [])
-    return stored.unionByName(v.spark.read.parquet(fallback).withColumnRenamed("speed", "speed_kmh"))
+    return stored.unionByName(v.spark.read.parquet(fallback).drop("batch").withColumnRenamed("speed", "speed_kmh"))
 
 
 @query("b7_reload_weather", check_sql("weather", body="""

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from haulwise import schemas
+from haulwise.session import cut_lineage
 from haulwise.sources.files import read_master_csv
 
 log = logging.getLogger(__name__)
@@ -22,23 +23,59 @@ def save_table(df: DataFrame, name: str) -> None:
     df.write.mode("overwrite").saveAsTable(name)
 
 
-def append_or_fallback(df: DataFrame, table: str, fallback: str) -> str:
-    """Append to a table, created from the frame's schema if missing; on failure append to a folder instead.
+def append_or_fallback(df: DataFrame, table: str, fallback: str, batch_id: int | None = None) -> str:
+    """Append to a table, created from the frame's schema if missing; on failure write to a folder instead.
 
-    Returns where the rows went: "table", "fallback" or "empty".
+    With a ``batch_id`` that folder is the batch's own, so a replay replaces what it diverted before, and one that reaches
+    the table removes it. Returns where the rows went: "table", "fallback" or "empty".
     """
     if df.isEmpty():
         return "empty"
-    spark = df.sparkSession
+    spark, folder = df.sparkSession, fallback if batch_id is None else f"{fallback}/batch={batch_id}"
     try:
         if not spark.catalog.tableExists(table):
             df.limit(0).write.mode("ignore").saveAsTable(table)
         df.select(*spark.table(table).columns).write.insertInto(table)
-        return "table"
     except Exception as error:  # the stream must go on: keep the rows and say so
-        log.warning("append to %s failed, rows go to %s: %s", table, fallback, error)
-        df.write.mode("append").parquet(fallback)
+        log.warning("append to %s failed, rows go to %s: %s", table, folder, error)
+        df.write.mode("append" if batch_id is None else "overwrite").parquet(folder)
         return "fallback"
+    if batch_id is not None and path_exists(spark, folder):
+        remove_path(spark, folder)
+    return "table"
+
+
+def _diverted(spark: SparkSession, fallback: str) -> DataFrame | None:
+    if not path_exists(spark, fallback):
+        return None
+    rows = spark.read.option("mergeSchema", True).parquet(fallback)
+    return rows.drop("batch")
+
+
+def read_appended(spark: SparkSession, table: str, fallback: str) -> DataFrame:
+    """The rows of a table together with those that were diverted; a column that one side lacks is NULL there."""
+    rows, diverted = spark.table(table), _diverted(spark, fallback)
+    return rows if diverted is None else rows.unionByName(diverted, allowMissingColumns=True)
+
+
+def restore_diverted(spark: SparkSession, table: str, fallback: str, key: str) -> int:
+    """Bring diverted rows into their table, then delete the folder; returns how many came in.
+
+    Rows are fitted by column name: missing columns are NULL, further ones are left out, values that do not fit a column's type are
+    NULL. Keys that the table holds already are passed over, so a restore that was interrupted after its insert adds nothing.
+    """
+    diverted = _diverted(spark, fallback)
+    if diverted is None:
+        return 0
+    stored, names = spark.table(table), {name.lower() for name in diverted.columns}
+    fitted = diverted.select(*[
+        (F.col(f.name).try_cast(f.dataType) if f.name.lower() in names else F.lit(None).cast(f.dataType)).alias(f.name) for f in stored.schema
+    ])
+    # Written first: the insert must not read the table that it changes.
+    rows = cut_lineage(fitted.join(stored.select(key), key, "left_anti").select(*stored.columns))
+    rows.write.insertInto(table)
+    remove_path(spark, fallback)
+    return rows.count()
 
 
 def without_stored(batch: DataFrame, table: str, key: str, ts: str) -> DataFrame:

@@ -76,15 +76,15 @@ def _start(df: DataFrame, cfg: FlowConfig, name: str, mode: str, write) -> Strea
         return writer.start()
 
 
-def _append_once(table: str, fallback: str, key: str, ts: str) -> Callable[[DataFrame], None]:
+def _append_once(table: str, fallback: str, key: str, ts: str) -> Callable[[DataFrame, int], None]:
     """An append that a restart cannot double. Only the first batch after a start can be a replay of one that was already
-    written, so only that one is compared with the table."""
+    written, so only that one is compared with the table; what it diverted before is replaced."""
     started = False
 
-    def append(batch: DataFrame) -> None:
+    def append(batch: DataFrame, batch_id: int) -> None:
         nonlocal started
         rows = batch if started else without_stored(batch, table, key, ts).select(*batch.columns)
-        append_or_fallback(rows, table, fallback)
+        append_or_fallback(rows, table, fallback, batch_id)
         started = True
 
     return append
@@ -101,10 +101,10 @@ def run_state_stream(spark: SparkSession, cfg: FlowConfig, warehouses: DataFrame
     enriched = enrich_events(clean_event_stream(read_event_stream(spark, cfg.events)), warehouses, vehicles)
     append = _append_once(cfg.events_table, cfg.store("fallback/events"), "event_id", "event_timestamp")
 
-    def fan_out(batch: DataFrame, _: int) -> None:
+    def fan_out(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            append(batch)
+            append(batch, batch_id)
             keyed.upsert_latest(latest_state(batch), cfg.store("latest_state"))
         finally:
             batch.unpersist()
@@ -115,10 +115,10 @@ def run_state_stream(spark: SparkSession, cfg: FlowConfig, warehouses: DataFrame
 def run_weather_stream(spark: SparkSession, cfg: FlowConfig) -> StreamingQuery:
     append = _append_once(cfg.weather_table, cfg.store("fallback/weather"), "weather_event_id", "weather_timestamp")
 
-    def fan_out(batch: DataFrame, _: int) -> None:
+    def fan_out(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            append(batch)
+            append(batch, batch_id)
             keyed.upsert_weather(batch, cfg.store("weather_recent"))
         finally:
             batch.unpersist()

@@ -134,6 +134,25 @@ def test_table_sinks(spark, folder):
     assert not spark.catalog.tableExists("sink_t") and not os.path.exists(f"{folder}/fb")
 
 
+def test_diverted_batches_are_replayed_read_and_restored(spark, folder):
+    table, fallback = "diverted_t", f"{folder}/fb"
+    rows_of = lambda *ids: spark.createDataFrame([(i, f"s{i}") for i in ids], "id long, s string")
+    assert tables.append_or_fallback(rows_of(1, 2), table, fallback, 0) == "table"
+    for _ in range(2):  # the second is a replay
+        assert tables.append_or_fallback(rows_of(3, 4).withColumnRenamed("s", "t"), table, fallback, 1) == "fallback"
+    assert tables.append_or_fallback(rows_of(5).withColumnRenamed("s", "t"), table, fallback, 2) == "fallback"
+    assert tables.append_or_fallback(rows_of(5), table, fallback, 2) == "table"  # now it fits: its folder goes
+    seen = tables.read_appended(spark, table, fallback)
+    assert rows(seen, "id", "s", "t") == rows(spark.createDataFrame(
+        [(1, "s1", None), (2, "s2", None), (3, None, "s3"), (4, None, "s4"), (5, "s5", None)], "id long, s string, t string"), "id", "s", "t")
+    spark.createDataFrame([(4, "s4")], "id long, s string").write.insertInto(table)  # as an interrupted restore leaves it
+    assert tables.restore_diverted(spark, table, fallback, "id") == 1
+    assert rows(spark.table(table), "id") == [(1,), (2,), (3,), (4,), (5,)]
+    assert tables.restore_diverted(spark, table, fallback, "id") == 0 and tables.read_appended(spark, table, fallback).count() == 5
+    tables.reset_stream_state(spark, [table], [])
+
+
+
 def test_weather_reload_and_local_views(spark, folder):
     tables.ensure_schema(spark, "views_db")
     tables.ensure_schema(spark, "views_db")
