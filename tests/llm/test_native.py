@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -116,3 +117,21 @@ def test_account_numbers_before_words_and_long_secrets(spark):
     assert len(found) == 17
     for row in found:
         assert [row.text[one["start"] : one["end"]] for one in row.spans if one["kind"] in ("iban", "secret")] == [row.expected]
+
+
+def test_logs_hold_all_kinds_and_long_texts_take_linear_time(spark):
+    texts = [f"answer {n} " * 90 for n in range(40)] + ["", None, "é" * 401]
+    turns = spark.createDataFrame([(1, n, "assistant", t) for n, t in enumerate(texts)] + [(1, 0, None, texts[0]), (1, 0, "", texts[0])], "conv_id long, turn long, role string, text string")
+    log = log_of(turns)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"delta", "edit", "regenerate"}
+    assert log.agg({"text": "max"}).count() == 1 and max(len(r.text) for r in log.collect()) == 400
+    folded = fold_events(log).select("message.turn", "role", "text").collect()
+    assert sorted((r.turn, r.role, r.text) for r in folded) == sorted([(n, "assistant", t or "") for n, t in enumerate(texts)] + [(0, "", texts[0])] * 2)
+    times = []
+    for size in (1, 4):
+        one = spark.createDataFrame([(1, 1, "user", "word über " * (size * 100_000))], turns.schema).persist()
+        one.count()
+        started = time.perf_counter()
+        assert [r.n for r in fold_events(log_of(one)).selectExpr("length(text) AS n").collect()] == [size * 1_000_000]
+        times.append(time.perf_counter() - started)
+    assert times[1] < 5 + 4 * times[0]
