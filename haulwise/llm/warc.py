@@ -43,18 +43,27 @@ def _head(lines: list[tuple[str, str | None]], first: str) -> bytes:
     return "\r\n".join([first, *[f"{name}: {value}" for name, value in lines if value is not None], "", ""]).encode()
 
 
+def _plain(quoted: str | None) -> str | None:
+    return None if quoted is None else urllib.parse.unquote(quoted)
+
+
+def _quoted(page_id: str | None) -> str | None:
+    """An id as one header value, whatever characters it has."""
+    return None if page_id is None else urllib.parse.quote(page_id, safe="")
+
+
 def to_record(page_id: str | None, url: str | None, payload: bytes, payload_digest: str, refers_to: str | None, revisit: bool, date: str) -> bytes:
     """One record as a gzip member. A revisit holds the HTTP head only; its Content-Length tells the size of the payload it leaves out."""
     http = _head([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))], "HTTP/1.1 200 OK")
     block = http if revisit else http + payload
-    target = urllib.parse.quote(url, safe="".join(map(chr, range(0x21, 0x7F)))) if url else f"urn:page:{page_id}"
+    target = urllib.parse.quote(url, safe="".join(map(chr, range(0x21, 0x7F)))) if url else f"urn:page:{_quoted(page_id)}"
     head = _head(
         [
             ("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", _record_id(page_id, payload_digest)), ("WARC-Date", date),
             ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{payload_digest}"),
             ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None),
-            ("WARC-Refers-To", _record_id(refers_to, payload_digest) if revisit else None), ("Page-ID", page_id),
-            ("Refers-To-Page-ID", refers_to if revisit else None), ("Content-Type", "application/http; msgtype=response"),
+            ("WARC-Refers-To", _record_id(refers_to, payload_digest) if revisit else None), ("Page-ID", _quoted(page_id)),
+            ("Refers-To-Page-ID", _quoted(refers_to) if revisit else None), ("Content-Type", "application/http; msgtype=response"),
             ("Content-Length", str(len(block))),
         ],
         "WARC/1.1",
@@ -79,8 +88,8 @@ def parse_record(member: bytes) -> dict:
     if kind == "response" and (len(payload) != length or digest(payload) != told):
         raise ValueError(f"record {fields['WARC-Record-ID']} is damaged")
     return {
-        "page_id": fields.get("Page-ID"), "url": fields["WARC-Target-URI"], "record_type": kind, "payload_digest": told, "payload_bytes": length,
-        "refers_to": fields.get("Refers-To-Page-ID"), "payload": payload if kind == "response" else None,
+        "page_id": _plain(fields.get("Page-ID")), "url": fields["WARC-Target-URI"], "record_type": kind, "payload_digest": told, "payload_bytes": length,
+        "refers_to": _plain(fields.get("Refers-To-Page-ID")), "payload": payload if kind == "response" else None,
     }
 
 
@@ -159,7 +168,10 @@ def read_records(selected: DataFrame, path: str, with_payload: bool = True, id_t
     A selection with gaps costs one range read per run of near neighbours. Sizes and digests of responses are those of the
     payload read; a revisit carries those of the payload it refers to and has a NULL payload.
     """
-    places = selected.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / STRETCH_BYTES)).sortWithinPartitions("file", "offset")
+    # As many tasks as the archives have stretches: the index rows that are dealt out say nothing about the bytes behind them.
+    total = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    stretches = max(1, -(-total // STRETCH_BYTES))
+    places = selected.select("file", "offset", "length").repartition(stretches, "file", F.floor(F.col("offset") / STRETCH_BYTES)).sortWithinPartitions("file", "offset")
     columns = {
         "page_id": pa.string(), "url": pa.string(), "record_type": pa.string(), "payload_digest": pa.string(), "payload_bytes": pa.int64(),
         "refers_to": pa.string(), "payload": pa.binary(),

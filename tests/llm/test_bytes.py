@@ -112,3 +112,14 @@ def test_awkward_texts_as_streams(spark):
     assert read_streams(to_streams(nothing(spark))).count() == 0
     with pytest.raises(Exception, match="index does not belong"):
         read_streams(to_streams(docs).withColumn("stamps", F.array(F.lit(7).cast("long")))).count()
+
+
+def test_ids_of_any_characters_and_enough_readers(spark, folder):
+    ids = ["a\r\nWARC-Type: revisit", "a", "é: %0A", "", "x y", None]
+    pages = spark.createDataFrame([(i, "http://x/", f"page {n % 4}" * 50) for n, i in enumerate(ids)], "page_id string, url string, html string")
+    index = warc.write_archives(pages, f"{folder}/warc")
+    got = warc.read_records(index, f"{folder}/warc", id_type="string").collect()
+    assert sorted((r.page_id for r in got), key=repr) == sorted(ids, key=repr)
+    assert {r.page_id: (r.record_type, r.refers_to) for r in got} == {r.page_id: (r.record_type, r.refers_to) for r in index.collect()}
+    large = index.withColumn("length", F.lit(3 * warc.STRETCH_BYTES).cast("long"))
+    assert warc.read_records(large, f"{folder}/warc").rdd.getNumPartitions() >= 3 * len(ids)
