@@ -71,9 +71,9 @@ def windows(items: Iterable[tuple[object, str | None]], length: int = WINDOW) ->
     return found
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str | None, str]]]:
     """Items in blocks of at most ``block_bytes`` of text (or one item), streamed through the driver a partition at a time. The last one may be empty."""
-    rows = benchmark.filter(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string"), text)
+    rows = benchmark.select(F.col(item_id).cast("string"), text)
     block, held = [], 0
     for item, item_text in rows.toLocalIterator():
         size = len((item_text or "").encode())
@@ -86,7 +86,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) ->
 
 
 def _with_hits(docs: DataFrame, block: list[tuple[str, str]], text: str, window: int) -> DataFrame:
-    """``docs`` with n_words, and the hits of one block added to ``_hits`` (flat starts and ends) and ``_items``."""
+    """``docs`` with n_words, and the hits of one block added to ``_llm_hits`` (flat starts and ends) and ``_llm_items``."""
     sent = docs.sparkSession.sparkContext.broadcast(block)
 
     def start():
@@ -102,13 +102,13 @@ def _with_hits(docs: DataFrame, block: list[tuple[str, str]], text: str, window:
                         names |= of
                 sizes.append(len(split))
                 all_hits.append([*itertools.chain.from_iterable(merged(spans))])
-                all_items.append(sorted(names))
+                all_items.append(sorted(name for name in names if name is not None))
             return [pa.array(sizes, pa.int64()), pa.array(all_hits, pa.list_(pa.int64())), pa.array(all_items, pa.list_(pa.string()))]
 
         return search
 
-    inputs = [F.col(text), F.col("_hits"), F.col("_items")]
-    return append_columns(docs, inputs, "n_words long, _hits array<long>, _items array<string>", start)
+    inputs = [F.col(text), F.col("_llm_hits"), F.col("_llm_items")]
+    return append_columns(docs, inputs, "n_words long, _llm_hits array<long>, _llm_items array<string>", start)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -130,21 +130,21 @@ def find_contamination(
 
     A document's word is hit if it lies in any occurrence of a window: ``window`` consecutive words of an item, or all words of
     a shorter item. NULL and empty texts have no words and are never contaminated, and NULL or empty items have no windows.
-    Items without an id cannot be reported and are left out; repeated items count once by id. Repeated rows of ``docs`` are
+    Items without an id are searched like others, but not reported among the items; repeated items count once by id. Repeated rows of ``docs`` are
     each searched; an empty table on either side is fine. Input columns named like a result are replaced.
     """
     fields = ["n_words", "n_hit", "n_items", "items", "hit_spans", "contaminated"]
-    found = without(docs, [*fields, "_hits", "_items"]).withColumns({
-        "_hits": F.expr("CAST(array() AS ARRAY<BIGINT>)"), "_items": F.expr("CAST(array() AS ARRAY<STRING>)"),
+    found = without(docs, [*fields, "_llm_hits", "_llm_items"]).withColumns({
+        "_llm_hits": F.expr("CAST(array() AS ARRAY<BIGINT>)"), "_llm_items": F.expr("CAST(array() AS ARRAY<STRING>)"),
     })
     for block in _blocks(benchmark, item_id, item_text, block_bytes):
         found = _with_hits(found, block, text, window)
 
-    spans = F.expr("transform(sequence(0, size(_hits) DIV 2 - 1), i -> named_struct('first', _hits[2 * i], 'after', _hits[2 * i + 1]))")
+    spans = F.expr("transform(sequence(0, size(_llm_hits) DIV 2 - 1), i -> named_struct('first', _llm_hits[2 * i], 'after', _llm_hits[2 * i + 1]))")
     n_hit = F.expr("aggregate(hit_spans, CAST(0 AS BIGINT), (n, s) -> n + s.after - s.first)")
     return (
-        found.withColumn("hit_spans", F.when(F.size("_hits") > 0, spans).otherwise(F.expr("CAST(array() AS ARRAY<STRUCT<first: BIGINT, after: BIGINT>>)")))
-        .withColumns({"n_hit": n_hit, "n_items": F.size("_items").cast("long"), "items": F.col("_items")})
+        found.withColumn("hit_spans", F.when(F.size("_llm_hits") > 0, spans).otherwise(F.expr("CAST(array() AS ARRAY<STRUCT<first: BIGINT, after: BIGINT>>)")))
+        .withColumns({"n_hit": n_hit, "n_items": F.size("_llm_items").cast("long"), "items": F.col("_llm_items")})
         .withColumn("contaminated", (F.col("n_hit") > 0) & (HIT_WORDS_IN * F.col("n_hit") >= F.col("n_words")))
-        .drop("_hits", "_items")
+        .drop("_llm_hits", "_llm_items")
     )

@@ -28,11 +28,12 @@ def by_hand(text, items):
     for item, item_text in items:
         theirs = plain_words(item_text)
         size = min(13, len(theirs))
-        wins = {tuple(theirs[i : i + size]) for i in range(len(theirs) - size + 1)} if size and item is not None else set()
+        wins = {tuple(theirs[i : i + size]) for i in range(len(theirs) - size + 1)} if size else set()
         for at in range(len(split) - size + 1):
             if tuple(split[at : at + size]) in wins:
                 hit.update(range(at, at + size))
-                found.add(str(item))
+                if item is not None:
+                    found.add(str(item))
     return len(split), len(hit), sorted(found)
 
 
