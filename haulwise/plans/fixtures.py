@@ -121,6 +121,10 @@ SELECT DISTINCT concat('C', CAST(o_custkey AS STRING)) AS src, concat('S', CAST(
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey
 WHERE c_nationkey = s_nationkey""",
+    # Every customer with every supplier it has bought from; supply_links keeps those of one nation, which fall apart by nation.
+    "all_links": """
+SELECT DISTINCT concat('C', CAST(o_custkey AS STRING)) AS src, concat('S', CAST(l_suppkey AS STRING)) AS dst
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
 }
 
 _FIELD = re.compile(r"\{(\w+)\}")

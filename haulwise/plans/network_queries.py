@@ -505,13 +505,14 @@ def e15(v):
 
 # Graph analytics ---------------------------------------------------------------------------------------------------
 
-COMPONENTS = """two_way AS MATERIALIZED (SELECT src, dst FROM supply_links UNION SELECT dst, src FROM supply_links),
+def _components(links: str = "supply_links") -> str:
+    return f"""two_way AS MATERIALIZED (SELECT src, dst FROM {links} UNION SELECT dst, src FROM {links}),
 reach(root, id) AS (SELECT id, id FROM supply_nodes UNION SELECT root, dst FROM reach JOIN two_way ON src = id),
 components AS (SELECT id, min(root) AS component FROM reach GROUP BY id)"""
 
 
-def _rank_rounds() -> str:
-    steps = ["arcs AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS out_degree FROM supply_links)",
+def _rank_rounds(links: str = "supply_links") -> str:
+    steps = [f"arcs AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS out_degree FROM {links})",
              "rank0 AS (SELECT id, 1.0::DOUBLE AS r FROM supply_nodes)"]
     for i in range(1, 11):
         steps.append(
@@ -522,7 +523,7 @@ def _rank_rounds() -> str:
     return ",\n".join(steps)
 
 
-@query("j1_connected_components", check_sql("supply_nodes", "supply_links", extra=COMPONENTS, recursive=True, body="SELECT * FROM components"))
+@query("j1_connected_components", check_sql("supply_nodes", "supply_links", extra=_components(), recursive=True, body="SELECT * FROM components"))
 def j1(v):
     return graph.connected_components(v("supply_nodes"), v("supply_links"))
 
@@ -532,7 +533,7 @@ def j2(v):
     return rounded(graph.pagerank(v("supply_nodes"), v("supply_links")), "pagerank", digits=7)
 
 
-@query("j3_graph_metrics", check_sql("supply_nodes", "supply_links", extra=f"{COMPONENTS},\n{_rank_rounds()}", recursive=True, body="""
+@query("j3_graph_metrics", check_sql("supply_nodes", "supply_links", extra=f"{_components()},\n{_rank_rounds()}", recursive=True, body="""
 SELECT id, criticality, component AS community_id, round(pagerank, 7) AS pagerank
 FROM supply_nodes JOIN components USING (id) JOIN ranks USING (id) ORDER BY round(pagerank, 9) DESC, id"""))
 def j3(v):
@@ -556,6 +557,27 @@ def j4_two_way(v):
     return graph.hop_distances(v("supply_links"), graph.landmarks(v("supply_nodes")), directed=False)
 
 
+@query("j1_components_all_links", check_sql("supply_nodes", "all_links", extra=_components("all_links"), recursive=True, body="SELECT * FROM components"))
+def j1_all(v):
+    return graph.connected_components(v("supply_nodes"), v("all_links"))
+
+
+@query("j3_graph_metrics_all_links", check_sql("supply_nodes", "all_links", extra=f"{_components('all_links')},\n{_rank_rounds('all_links')}", recursive=True, body="""
+SELECT id, criticality, component AS community_id, round(pagerank, 7) AS pagerank
+FROM supply_nodes JOIN components USING (id) JOIN ranks USING (id)"""))
+def j3_all(v):
+    return rounded(graph.graph_metrics(v("supply_nodes"), v("all_links")), "pagerank", digits=7)
+
+
+@query("j4_hop_distances_all_links", check_sql("supply_nodes", "all_links", recursive=True, extra="""
+two_way AS MATERIALIZED (SELECT src, dst FROM all_links UNION SELECT dst, src FROM all_links),
+steps(id, target, hops) AS (SELECT id, id, 0 FROM supply_nodes WHERE criticality = 'high'
+  UNION SELECT dst, target, hops + 1 FROM steps JOIN two_way ON src = id WHERE hops < 6)""", body="""
+SELECT id AS source_id, target AS target_id, min(hops) AS hop_distance FROM steps GROUP BY id, target"""))
+def j4_all(v):
+    return graph.hop_distances(v("all_links"), graph.landmarks(v("supply_nodes")), directed=False)
+
+
 @query("j11_is_connected", check_sql("roads", "vertices", recursive=True, extra="""
 arcs AS (SELECT src, dst FROM roads UNION SELECT dst, src FROM roads),
 reach(id) AS (SELECT min(id) FROM vertices UNION SELECT dst FROM reach JOIN arcs ON src = id)""", body="""
