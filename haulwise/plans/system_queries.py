@@ -302,37 +302,78 @@ def stream_of(v: Views, df: DataFrame) -> DataFrame:
     return v.spark.readStream.schema(df.schema).parquet(path)
 
 
-@query("k10_stabilize_eta")
+# Vehicles and routes of the tables report some three times a day.
+SLOT_SECONDS = 7 * 86_400
+
+WALK = """ordered AS MATERIALIZED (SELECT *, epoch_us(event_timestamp) / 1e6::DOUBLE AS sec,
+  row_number() OVER (PARTITION BY vehicle_id ORDER BY event_timestamp, event_id) AS rn FROM telemetry)"""
+
+
+@query("k10_stabilize_eta", check_sql("telemetry", recursive=True, extra=f"""{WALK},
+steps AS MATERIALIZED (SELECT vehicle_id, rn, event_id, sec, speed_kmh + delay_minutes * 0.35::DOUBLE AS raw, warehouse_id AS place FROM ordered),
+walk(vehicle_id, rn, event_id, shown, minutes, place, updated) AS (
+  SELECT vehicle_id, rn, event_id, raw, raw, place, sec FROM steps WHERE rn = 1
+  UNION ALL SELECT vehicle_id, rn, event_id, CASE WHEN anew THEN raw WHEN held THEN minutes ELSE smooth END,
+    CASE WHEN anew THEN raw WHEN held THEN minutes ELSE smooth END, place, CASE WHEN held AND NOT anew THEN updated ELSE sec END
+  FROM (SELECT s.*, w.minutes, w.updated, w.place <> s.place OR s.sec - w.updated > 86400 OR abs(s.raw - w.minutes) > greatest(45::DOUBLE, s.raw * 0.5::DOUBLE) AS anew,
+    s.sec - w.updated < 2 AS held, w.minutes * 0.65::DOUBLE + 0.35::DOUBLE * (w.minutes + greatest(-bound, least(bound, s.raw - w.minutes))) AS smooth
+    FROM walk w JOIN steps s ON s.vehicle_id = w.vehicle_id AND s.rn = w.rn + 1,
+    LATERAL (SELECT greatest(7::DOUBLE, 18 * greatest(0.2::DOUBLE, (s.sec - w.updated) / 60)) AS bound)))""", body="""
+SELECT vehicle_id, event_id, round(shown, 6) AS eta_minutes FROM walk"""))
 def k10(v):
-    """Sequential smoothing per vehicle; compared with a plain loop in the tests."""
+    """Sequential smoothing per vehicle, which starts anew after a day of silence."""
     raw = v("telemetry").select(
         "vehicle_id", "event_id", F.col("event_timestamp").cast("timestamp").alias("event_timestamp"),
         (F.col("speed_kmh") + F.col("delay_minutes") * 0.35).alias("raw_minutes"), F.col("warehouse_id").alias("destination"),
     )
-    return run_to_parquet(v, stateful.stabilize_eta(stream_of(v, raw)))
-
-
-@query("k11_limit_jumps")
+    stable = run_to_parquet(v, stateful.stabilize_eta(stream_of(v, raw), "0 seconds", SLOT_SECONDS, idle_seconds=86_400))
+    return rounded(stable.select("vehicle_id", "event_id", "eta_minutes"), "eta_minutes")
+
+
+@query("k11_limit_jumps", check_sql("telemetry", recursive=True, extra=f"""{WALK},
+walk(vehicle_id, rn, event_id, lat, lon) AS (
+  SELECT vehicle_id, rn, event_id, latitude, longitude FROM ordered WHERE rn = 1
+  UNION ALL SELECT vehicle_id, rn, event_id, CASE WHEN jump <= cap THEN latitude ELSE lat + (latitude - lat) * (cap / jump) END,
+    CASE WHEN jump <= cap THEN longitude ELSE lon + (longitude - lon) * (cap / jump) END
+  FROM (SELECT o.*, w.lat, w.lon, {parts.km('w.lat', 'w.lon', 'o.latitude', 'o.longitude')} AS jump,
+    greatest(2::DOUBLE, least(8::DOUBLE, o.speed_kmh / 16 + 1.6::DOUBLE)) AS cap
+    FROM walk w JOIN ordered o ON o.vehicle_id = w.vehicle_id AND o.rn = w.rn + 1))""", body="""
+SELECT vehicle_id, event_id, round(lat, 6) AS latitude, round(lon, 6) AS longitude FROM walk"""))
 def k11(v):
-    """Sequential position limiter per vehicle; compared with a plain loop in the tests."""
+    """Sequential position limiter per vehicle."""
     points = v("telemetry").select(
         "vehicle_id", "event_id", F.col("event_timestamp").cast("timestamp").alias("event_timestamp"), "latitude", "longitude", "speed_kmh"
     )
-    return run_to_parquet(v, stateful.limit_jumps(stream_of(v, points)))
+    shown = run_to_parquet(v, stateful.limit_jumps(stream_of(v, points), "0 seconds", SLOT_SECONDS))
+    return rounded(shown.drop("event_timestamp"), "latitude", "longitude")
 
 
-@query("k12_throttle_snapshots", check_sql("telemetry", recursive=True, extra="""
+THROTTLED = check_sql("telemetry", recursive=True, extra="""
 times AS MATERIALIZED (SELECT DISTINCT route_id, event_timestamp AS t FROM telemetry),
 following AS MATERIALIZED (SELECT a.route_id, a.t, min(b.t) AS nxt FROM times a LEFT JOIN times b
   ON b.route_id = a.route_id AND b.t >= a.t + INTERVAL 6 HOUR GROUP BY a.route_id, a.t),
 picks(route_id, t) AS (SELECT route_id, min(t) FROM times GROUP BY route_id
   UNION ALL SELECT p.route_id, f.nxt FROM picks p JOIN following f ON f.route_id = p.route_id AND f.t = p.t WHERE f.nxt IS NOT NULL)""", body="""
-SELECT route_id, t AS event_timestamp FROM picks"""))
+SELECT {columns} FROM picks{more}""")
+
+
+@query("k12_throttle_snapshots", THROTTLED.format(columns="route_id, t AS event_timestamp", more=""))
 def k12(v):
     rows = v("telemetry").select("route_id", "event_timestamp").distinct()
     return stateful.throttle_snapshots(rows, ["route_id"], "event_timestamp", seconds=6 * 3600)
 
 
+@query("k12_throttle_stream", THROTTLED.format(
+    columns="e.route_id, e.event_timestamp, e.event_id, e.delay_minutes", more=" p JOIN telemetry e ON e.route_id = p.route_id AND e.event_timestamp = p.t"
+))
+def k12_stream(v):
+    """The same choice made while the events stream in, a week's slot at a time."""
+    at = F.col("event_timestamp").cast("timestamp").alias("event_timestamp")
+    events = v("telemetry").select("route_id", at, "event_id", "delay_minutes")
+    kept = run_to_parquet(v, stateful.throttle_stream(stream_of(v, events), ["route_id"], "event_timestamp", 6 * 3600, "0 seconds", SLOT_SECONDS))
+    return kept.withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp_ntz"))
+
+
 # Models ------------------------------------------------------------------------------------------------------------
 
 def events_in_context(v: Views) -> DataFrame:

@@ -1,21 +1,20 @@
 """Per-key sequential operators: arrival-time stabiliser, jump limiter, snapshot throttle.
 
-Each keeps one small value per key in the state store (RocksDB on a cluster) that expires with the watermark clock.
-Event time stands in for the wall clock, so a replay gives the same rows. Rows of a key arrive in batches and are
-worked off in event order; only the last value stays in memory.
+The streaming forms hold rows back in the state store (RocksDB) until the watermark has passed them and then work them off in
+event order, so the order in which files or batches arrive does not change a result. Event time stands in for the wall clock.
 """
 
 from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # The functions below travel to the Python workers by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,7 +26,6 @@ MIN_ELAPSED_MINUTES, STEP_PER_MINUTE, MIN_STEP = 0.2, 18.0, 7.0
 SMOOTHING = 0.35
 # Fixed values of the jump limiter: cap in km by speed, and its bounds.
 CAP_SPEED, CAP_BASE, CAP_LOW, CAP_HIGH = 16.0, 1.6, 2.0, 8.0
-IDLE_MS = 6 * 3600 * 1000
 
 
 def next_eta(previous: tuple[float, str, float] | None, raw: float | None, destination: str, at: float) -> tuple[float | None, bool]:
@@ -49,51 +47,120 @@ def next_eta(previous: tuple[float, str, float] | None, raw: float | None, desti
     return minutes * (1 - SMOOTHING) + bounded * SMOOTHING, True
 
 
-def _expire_when_idle(state: GroupState, newest_ms: int) -> None:
-    state.setTimeoutTimestamp(max(newest_ms, state.getCurrentWatermarkMs()) + IDLE_MS)
+class InTimeOrder(StatefulProcessor):
+    """Calls ``fold(rows, memory) -> (output, memory)`` with the rows of a key in order of (time, tie).
 
+    Rows wait in slots of ``slot_ms`` of event time. A slot is due when the watermark reaches its newest row; a timer then hands
+    it to ``fold`` as one pandas frame, so a worker holds one slot of one key, however long the key's history or its micro-batch is.
+    ``memory`` is a tuple whose last value is a time in seconds; with ``idle_seconds`` it is deleted once that time is so far behind
+    the watermark that ``fold`` would not use it any more. Rows without a time are handed over at once, without memory.
+    """
 
-def _in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The rows of one key in one micro-batch; the trigger cap bounds their number."""
-    return pd.concat(list(parts)).sort_values(["event_timestamp", "event_id"], kind="stable")
+    def __init__(self, columns: dict[str, str], tie: str, memory: str, fold: Callable, slot_ms: int, idle_seconds: float | None) -> None:
+        self.columns, self.tie, self.memory_type, self.fold = {"at": "bigint", **columns}, tie, memory, fold
+        self.slot_ms, self.idle_seconds = slot_ms, idle_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        arrays = ", ".join(f"{name} array<{kind}>" for name, kind in self.columns.items())
+        self.waiting = handle.getMapState("waiting", "slot bigint", f"due bigint, {arrays}")
+        self.memory = handle.getValueState("memory", self.memory_type)
+
+    def _frame(self, key: tuple, out: pd.DataFrame) -> pd.DataFrame:
+        out.insert(0, "key", key[0])
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            timed = part["at"].notna()
+            if not timed.all():
+                for i in np.flatnonzero(~timed):
+                    yield self._frame(key, self.fold(part.iloc[[i]][list(self.columns)], None)[0])
+            part = part[timed].astype({"at": "int64"})
+            for slot, fresh in part.groupby(part["at"] // 1000 // self.slot_ms):
+                self._wait(int(slot), fresh)
+
+    def _wait(self, slot: int, fresh: pd.DataFrame) -> None:
+        due, lists = int(fresh["at"].max()) // 1000, [fresh[name].tolist() for name in self.columns]
+        if self.waiting.containsKey((slot,)):
+            before, *held = self.waiting.getValue((slot,))
+            lists = [[*old, *new] for old, new in zip(held, lists)]
+            if due <= before:
+                due = before
+            else:
+                self.handle.deleteTimer(before)
+        self.waiting.updateValue((slot,), (due, *lists))
+        self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        slot = (now // self.slot_ms,)
+        memory = tuple(self.memory.get()) if self.memory.exists() else None
+        if self.waiting.containsKey(slot) and self.waiting.getValue(slot)[0] == now:
+            _, *held = self.waiting.getValue(slot)
+            self.waiting.removeKey(slot)
+            rows = pd.DataFrame(dict(zip(self.columns, held))).sort_values(["at", self.tie], kind="stable")
+            out, memory = self.fold(rows, memory)
+            if memory is not None:
+                self.memory.update(memory)
+                if self.idle_seconds is not None:
+                    self.handle.registerTimer(self._forgotten_at(memory))
+            yield self._frame(key, out)
+        elif memory is not None and self.idle_seconds is not None and self._forgotten_at(memory) <= now:
+            self.memory.clear()
+
+    def _forgotten_at(self, memory: tuple) -> int:
+        return math.ceil((memory[-1] + self.idle_seconds) * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def _in_time_order(
+    stream: DataFrame, key: str, ts: str, columns: dict[str, str], tie: str, memory: str, fold: Callable, output: str, delay: str,
+    slot_seconds: int, idle_seconds: float | None,
+) -> DataFrame:
+    """``InTimeOrder`` over a stream; times travel as microseconds, whatever the session's time zone."""
+    processor = InTimeOrder(columns, tie, memory, fold, slot_seconds * 1000, idle_seconds)
+    return (
+        stream.withWatermark(ts, delay)
+        .select(F.col(key).alias("key"), ts, F.unix_micros(ts).alias("at"), *columns)
+        .groupBy("key").transformWithStateInPandas(processor, f"key string, at bigint, {output}", "append", "eventTime")
+        .withColumns({"at": F.timestamp_micros("at")}).withColumnsRenamed({"key": key, "at": ts})
+    )
 
 
-def _epoch(times: pd.Series) -> np.ndarray:
-    return times.to_numpy("datetime64[us]").astype("int64") / 1e6
+def _known(memory: tuple | None, at: float, idle_seconds: float | None) -> tuple | None:
+    """What is remembered, unless the key has been silent for too long."""
+    return None if memory is None or (idle_seconds is not None and at - memory[-1] > idle_seconds) else memory
 
 
-def _stabilize(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = _in_order(parts)
-    previous = tuple(state.get) if state.exists else None
-    out = []
-    for raw, where, at in zip(rows["raw_minutes"], rows["destination"], _epoch(rows["event_timestamp"])):
-        stable, moved = next_eta(previous, raw, where, at)
-        if moved:
-            previous = (stable, where, at)
-        out.append(stable)
-    if previous is not None:
-        state.update(previous)
-        _expire_when_idle(state, int(previous[2] * 1000))
-    yield pd.DataFrame({
-        "vehicle_id": key[0], "event_id": rows["event_id"], "event_timestamp": rows["event_timestamp"],
-        "eta_minutes": pd.array(out, dtype="Float64"),
-    })
+def stabilize_eta(stream: DataFrame, delay: str = "20 minutes", slot_seconds: int = 3600, idle_seconds: float | None = None) -> DataFrame:
+    """Smooth raw arrival minutes per vehicle. Needs vehicle_id, event_id, event_timestamp, raw_minutes, destination.
 
+    A row comes out when the watermark (``delay`` behind the newest event) has passed it; later ones than that are dropped by the
+    watermark. A vehicle that moved its estimate last more than ``idle_seconds`` ago starts anew (None: never). Without an estimate
+    or a time a row has no stable one and changes nothing; a missing destination is one of its own.
+    """
 
-def stabilize_eta(stream: DataFrame, delay: str = "20 minutes") -> DataFrame:
-    """Smooth raw arrival minutes per vehicle. Needs vehicle_id, event_id, event_timestamp, raw_minutes, destination."""
-    return (
-        stream.withWatermark("event_timestamp", delay)
-        .select("vehicle_id", "event_id", "event_timestamp", "raw_minutes", "destination")
-        .groupBy("vehicle_id")
-        .applyInPandasWithState(
-            _stabilize, "vehicle_id string, event_id string, event_timestamp timestamp, eta_minutes double",
-            "minutes double, destination string, updated_at double", "append", GroupStateTimeout.EventTimeTimeout,
-        )
-    )
+    def fold(rows: pd.DataFrame, memory: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+        out = []
+        for raw, where, at in zip(rows["raw_minutes"], rows["destination"], rows["at"] / 1e6):
+            if math.isnan(at):
+                out.append(None)
+                continue
+            stable, moved = next_eta(_known(memory, at, idle_seconds), raw, where, at)
+            if moved:
+                memory = (float(stable), where, float(at))
+            out.append(stable)
+        return pd.DataFrame({
+            "at": rows["at"].array, "event_id": rows["event_id"].array, "eta_minutes": pd.array(out, dtype="Float64"),
+        }), memory
+
+    return _in_time_order(
+        stream, "vehicle_id", "event_timestamp", {"event_id": "string", "raw_minutes": "double", "destination": "string"}, "event_id",
+        "minutes double, destination string, updated_at double", fold, "event_id string, eta_minutes double", delay, slot_seconds, idle_seconds,
+    ).select("vehicle_id", "event_id", "event_timestamp", "eta_minutes")
 
 
 def great_circle_km(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
@@ -118,38 +185,61 @@ def limited(previous: tuple[float, float] | None, lat: float, lon: float, speed:
     return previous[0] + (lat - previous[0]) * share, previous[1] + (lon - previous[1]) * share
 
 
-def _limit(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    rows = _in_order(parts)
-    shown = tuple(state.get) if state.exists else None
-    out = []
-    for lat, lon, speed in zip(rows["latitude"], rows["longitude"], rows["speed_kmh"]):
-        if _missing(lat) or _missing(lon):
-            out.append((lat, lon))  # passed through as it is; the next position is measured from the last known one
-            continue
-        shown = limited(shown, lat, lon, speed)
-        out.append(shown)
-    if shown is not None:
-        state.update(shown)
-        _expire_when_idle(state, int(_epoch(rows["event_timestamp"])[-1] * 1000))
-    yield pd.DataFrame({
-        "vehicle_id": key[0], "event_id": rows["event_id"], "event_timestamp": rows["event_timestamp"],
-        **{name: pd.array([None if _missing(p[i]) else p[i] for p in out], dtype="Float64") for i, name in enumerate(("latitude", "longitude"))},
-    })
+def limit_jumps(stream: DataFrame, delay: str = "20 minutes", slot_seconds: int = 3600, idle_seconds: float | None = None) -> DataFrame:
+    """Cap how far a vehicle may move from one row to the next. Needs vehicle_id, event_id, event_timestamp, latitude, longitude, speed_kmh.
 
+    Rows come out as in ``stabilize_eta``. A row without a position or a time is passed through as it is; the next position is
+    measured from the last known one, or taken as it is after ``idle_seconds`` without any.
+    """
 
-def limit_jumps(stream: DataFrame, delay: str = "20 minutes") -> DataFrame:
-    """Cap how far a vehicle may move from one row to the next."""
-    return (
-        stream.withWatermark("event_timestamp", delay)
-        .select("vehicle_id", "event_id", "event_timestamp", "latitude", "longitude", "speed_kmh")
-        .groupBy("vehicle_id")
-        .applyInPandasWithState(
-            _limit, "vehicle_id string, event_id string, event_timestamp timestamp, latitude double, longitude double",
-            "latitude double, longitude double", "append", GroupStateTimeout.EventTimeTimeout,
-        )
+    def fold(rows: pd.DataFrame, memory: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+        out = []
+        for lat, lon, speed, at in zip(rows["latitude"], rows["longitude"], rows["speed_kmh"], rows["at"] / 1e6):
+            if _missing(lat) or _missing(lon) or math.isnan(at):
+                out.append((lat, lon))
+                continue
+            known = _known(memory, at, idle_seconds)
+            shown = limited(None if known is None else known[:2], lat, lon, speed)
+            memory = (float(shown[0]), float(shown[1]), float(at))
+            out.append(shown)
+        places = {name: pd.array([None if _missing(p[i]) else p[i] for p in out], dtype="Float64") for i, name in enumerate(("latitude", "longitude"))}
+        return pd.DataFrame({"at": rows["at"].array, "event_id": rows["event_id"].array, **places}), memory
+
+    return _in_time_order(
+        stream, "vehicle_id", "event_timestamp", {"event_id": "string", "latitude": "double", "longitude": "double", "speed_kmh": "double"},
+        "event_id", "latitude double, longitude double, updated_at double", fold, "event_id string, latitude double, longitude double", delay,
+        slot_seconds, idle_seconds,
+    ).select("vehicle_id", "event_id", "event_timestamp", "latitude", "longitude")
+
+
+def throttle_stream(
+    stream: DataFrame, keys: list[str], ts: str, seconds: int = 60, delay: str = "20 minutes", slot_seconds: int = 3600
+) -> DataFrame:
+    """``throttle_snapshots`` over a stream: all rows of a kept time, with all their columns, once the watermark has passed it.
+
+    Rows of one time arrive together with their slot, so all of them are kept or none. Rows without a time are dropped.
+    """
+    interval = float(seconds)
+    kept_type = T.StructType([f for f in stream.schema if f.name != ts])
+
+    def fold(rows: pd.DataFrame, memory: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+        last, kept = -math.inf if memory is None else memory[0], []
+        for at in rows["at"] / 1e6:
+            fits = at == last or at >= last + interval
+            kept.append(fits)
+            if fits:
+                last = float(at)
+        chosen = rows[np.array(kept, dtype=bool)]
+        return pd.DataFrame({"at": chosen["at"].array, "row": chosen["row"].array}), None if last == -math.inf else (last,)
+
+    packed = stream.filter(F.col(ts).isNotNull()).select(
+        ts, F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key"), F.to_json(F.struct(*kept_type.names)).alias("row")
+    )
+    kept = _in_time_order(
+        packed, "_key", ts, {"row": "string"}, "row", "last double", fold, "row string", delay, slot_seconds, interval
+    )
+    return kept.select(F.from_json("row", kept_type).alias("row"), ts).select(
+        *[ts if name == ts else F.col(f"row.`{name}`") for name in stream.columns]
     )
 
 

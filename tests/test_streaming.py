@@ -141,7 +141,7 @@ def test_eta_stabiliser_equals_a_loop(spark, folder):
     rng = random.Random(4)
     data = [(f"v{i % 3}", f"e{i:03d}", START + timedelta(seconds=7 * i + (i % 2)), rng.choice((20.0, 30.0, 25.0, 200.0)) + rng.random(),
              rng.choice("AAAB")) for i in range(120)]
-    emitted = run_files(spark, folder, stateful.stabilize_eta,
+    emitted = run_files(spark, folder, lambda stream: stateful.stabilize_eta(stream, "0 seconds"),
                         "vehicle_id string, event_id string, event_timestamp timestamp, raw_minutes double, destination string", data, 4)
     expected, last = [], {}
     for vehicle, event, at, raw, where in data:
@@ -165,7 +165,7 @@ def test_jump_limiter_caps_every_step(spark, folder):
     data = [(f"v{i % 3}", f"e{i:03d}", START + timedelta(seconds=5 * i), 40 + rng.random() * 0.3, -3 + rng.random() * 0.3, rng.choice((0.0, 60.0, 300.0)))
             for i in range(90)]
     emitted = {r["event_id"]: (r["latitude"], r["longitude"]) for r in run_files(
-        spark, folder, stateful.limit_jumps,
+        spark, folder, lambda stream: stateful.limit_jumps(stream, "0 seconds", slot_seconds=60),
         "vehicle_id string, event_id string, event_timestamp timestamp, latitude double, longitude double, speed_kmh double", data, 3).collect()}
     shown = {}
     for vehicle, event, _, lat, lon, speed in data:
@@ -178,6 +178,56 @@ def test_jump_limiter_caps_every_step(spark, folder):
         assert abs(emitted[event][0] - lat) < 1e-9 and abs(emitted[event][1] - lon) < 1e-9
 
 
+STABLE = "vehicle_id string, event_id string, event_timestamp timestamp, raw_minutes double, destination string"
+
+
+def test_order_of_arrival_changes_nothing(spark, folder):
+    rng = random.Random(12)
+    data = [("v", f"e{i:03d}", START + timedelta(seconds=40 * i), 20 + 5 * rng.random(), "A") for i in range(90)]
+    mixed = [row for at in range(0, 90, 12) for row in rng.sample(data[at:at + 12], len(data[at:at + 12]))]  # eight minutes of disorder
+    kept = run_files(spark, f"{folder}/a", lambda s: stateful.stabilize_eta(s, "0 seconds", 60), STABLE, data, 1)
+    late = run_files(spark, f"{folder}/b", lambda s: stateful.stabilize_eta(s, "20 minutes", 60), STABLE, mixed, 30)
+    edge = data[-1][2] - timedelta(minutes=20)
+    found = rows(late, "event_id", "eta_minutes")
+    assert found == rows(kept.filter(F.col("event_timestamp") <= F.lit(edge)), "event_id", "eta_minutes") and len(found) == 60
+
+
+def test_silent_vehicles_start_anew_in_one_batch_or_many(spark, folder):
+    minutes = (0, 1, 2, 40, 41, 120, 121)
+    data = [("v", f"e{i}", START + timedelta(minutes=m), 20.0 + i, "A") for i, m in enumerate(minutes)] + [
+        ("w", f"f{i}", START + timedelta(minutes=m), 30.0, None) for i, m in enumerate(range(0, 130, 10))]
+    data.sort(key=lambda row: row[2])
+    found = [rows(run_files(spark, f"{folder}/{n}", lambda s: stateful.stabilize_eta(s, "0 seconds", 60, idle_seconds=1800), STABLE, data, n),
+                  "event_id", "eta_minutes") for n in (1, 7)]
+    assert found[0] == found[1] and len(found[0]) == len(data)
+    assert {("e0", 20.0), ("e3", 23.0), ("e5", 25.0)} <= set(found[0]) and ("e1", 21.0) not in found[0]
+
+
+def test_rows_without_time_or_values_pass_and_change_nothing(spark, folder):
+    data = [("v", "e0", START, 20.0, "A"), ("v", "e1", None, 99.0, "A"), ("v", "e2", START + timedelta(minutes=1), None, "A"),
+            ("v", "e3", START + timedelta(minutes=2), 22.0, "A"), (None, "e4", START + timedelta(minutes=2), 5.0, None)]
+    found = rows(run_files(spark, folder, lambda s: stateful.stabilize_eta(s, "0 seconds"), STABLE, data, 1), "event_id", "eta_minutes")
+    assert found == [("e0", 20.0), ("e1", None), ("e2", None), ("e3", 20.7), ("e4", 5.0)]
+
+
+def test_stream_throttle_equals_the_batch_with_all_rows_of_a_time(spark, folder):
+    rng = random.Random(21)
+    data, at = [], START
+    for i in range(200):
+        data.append((rng.choice(("eco", None)), "all", i, at))
+        at += timedelta(seconds=rng.choice((0, 0, 7, 30, 61, 4000)))
+    columns = "profile string, min_congestion string, n int, snapshot_time timestamp"
+    keys = ["profile", "min_congestion"]
+    streamed = run_files(spark, folder, lambda s: stateful.throttle_stream(s, keys, "snapshot_time", 60, "0 seconds"), columns, data, 5)
+    kept, last = [], {}
+    for profile, least, i, at in data:
+        if profile not in last or at == last[profile] or (at - last[profile]).total_seconds() >= 60:
+            last[profile] = at
+            kept.append(i)
+    assert sorted(r["n"] for r in streamed.collect()) == kept
+    assert streamed.columns == ["profile", "min_congestion", "n", "snapshot_time"]
+
+
 def test_throttle_equals_a_loop(spark):
     rng = random.Random(6)
     data = []
