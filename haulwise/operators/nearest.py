@@ -2,22 +2,28 @@
 
 A round joins every open query to the points in its own and the eight adjoining cells. Any point within one cell width
 is then known, which gives a radius inside which nothing can be missing: a query whose k-th answer lies inside it is
-final, the rest go to the next, coarser round. The coarsest cell is the whole globe, so every query ends.
+final. The k-th answer of any other is a bound on its score, hence on the distance of better ones: it goes on towards the finest
+cells that cover this distance, by at most two levels a round, since each round may lower the bound. Queries without k answers take
+larger steps.
+The coarsest cell is the whole globe, so every query ends.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from haulwise.functions.geo import EARTH_RADIUS_KM, angle_diff, bearing_deg, haversine_km
 from haulwise.operators.hotkeys import first_per_key
 from haulwise.session import cut_and_measure, cut_lineage
 
+log = logging.getLogger(__name__)
+
 FINEST_LEVEL = 18
-LEVEL_STEP = 3
+LEVEL_STEP, BOUNDED_STEP = 3, 2
 CODE_BASE = 1 << 20
 GLOBE_SALTS = 16
 TURN_LIMIT_DEG = 115
@@ -33,15 +39,23 @@ def _code(row: Column, column: Column) -> Column:
     return row * CODE_BASE + column
 
 
-def _adjoining(lat: Column, lon: Column, cells: int) -> Column:
-    row, column = _cell(lat, lon, F.lit(cells))
-    codes = [_code(row + i, F.pmod(column + j, F.lit(cells))) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+def _cells(level: Column) -> Column:
+    return F.pow(F.lit(2.0), level).cast("bigint")
+
+
+def _salts(level: Column) -> Column:
+    return F.when(level == 0, GLOBE_SALTS).otherwise(1)
+
+
+def _adjoining(lat: Column, lon: Column, cells: Column) -> Column:
+    row, column = _cell(lat, lon, cells)
+    codes = [_code(row + i, F.pmod(column + j, cells)) for i in (-1, 0, 1) for j in (-1, 0, 1)]
     return F.array_distinct(F.array(*codes))
 
 
-def _safe_radius_km(lat: Column, level: int) -> Column:
+def _safe_radius_km(lat: Column, level: Column) -> Column:
     """Every point nearer than this is in the adjoining cells."""
-    width = F.radians(F.lit(360.0 / (1 << level)))
+    width = F.radians(F.lit(360.0) / _cells(level))
     return EARTH_RADIUS_KM * F.asin(F.sin(width) * F.cos(F.radians(lat)))
 
 
@@ -66,40 +80,53 @@ def grid_search(
     """
     per_query = Window.partitionBy(*keys)
     order = [F.asc("_class"), F.asc("_score"), F.asc("point_id")]
-    pending, figures = cut_and_measure(queries, n=F.count(F.lit(1)))
-    open_queries, found = figures["n"], []
+    lat, lon, at, bound = F.col("lat"), F.col("lon"), F.col("_level"), F.col("_bound")
+    reach = lambda level: _safe_radius_km(lat, level) * km_cost - slack
+    covering = F.array_max(F.filter(F.sequence(F.lit(0), at - 1), lambda finer: reach(finer) >= F.col("_worst")))
+    measures = {"n": F.count(F.lit(1)), "levels": F.bit_or(_cells(at))}
+    asked_first = queries.withColumns({"_level": F.lit(level), "_bound": F.lit(None).cast("double")})
+    pending, figures = cut_and_measure(asked_first, **measures)
+    found = []
     while True:
-        cells, salts = 1 << level, GLOBE_SALTS if level == 0 else 1
-        row, column = _cell(F.col("plat"), F.col("plon"), F.lit(cells))
-        placed = points.withColumns({
-            "_cell": _code(row, column), "_salt": F.pmod(F.xxhash64("point_id"), F.lit(salts)).cast("int"),
+        levels = [i for i in range(FINEST_LEVEL + 1) if (figures["levels"] or 0) >> i & 1]
+        row, column = _cell(F.col("plat"), F.col("plon"), _cells(at))
+        placed = points.withColumn("_level", F.explode(F.array(*[F.lit(i) for i in levels or [0]]))).withColumns({
+            "_cell": _code(row, column), "_salt": F.pmod(F.xxhash64("point_id"), _salts(at)).cast("int"),
         })
-        asked = pending.withColumn("_cell", F.explode(_adjoining(F.col("lat"), F.col("lon"), cells))).withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        asked = pending.withColumn("_cell", F.explode(_adjoining(lat, lon, _cells(at)))).withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), _salts(at) - 1))
+        )
+        met = Observation()
+        joined = asked.join(placed, ["_level", "_cell", "_salt"]).observe(met, F.count(F.lit(1)).alias("n"))
+        near = joined.withColumn("km", haversine_km("lat", "lon", "plat", "plon")).filter(
+            bound.isNull() | (F.col("km") * km_cost - slack <= bound)
         )
-        joined = asked.join(placed, ["_cell", "_salt"]).withColumn("km", haversine_km("lat", "lon", "plat", "plon"))
-        best = first_per_key(score(joined), keys, order, k, rank="position")
-        reach = _safe_radius_km(F.col("lat"), level) * km_cost - slack
-        final = F.lit(True) if level == 0 else (
-            (F.count(F.lit(1)).over(per_query) == k)
-            & (F.max("_class").over(per_query) == 0)
-            & (F.max("_score").over(per_query) <= reach)
+        best = first_per_key(score(near), keys, order, k, rank="position").withColumn(
+            "_worst", F.when((F.count(F.lit(1)).over(per_query) == k) & (F.max("_class").over(per_query) == 0), F.max("_score").over(per_query))
         )
-        answers = best.withColumn("_final", final).select(
-            *keys, *(extra or []), "point_id", "km", "_score", "position", "_final"
+        answers = best.select(
+            *keys, *(extra or []), "point_id", "km", "_score", "position", "_worst",
+            F.coalesce((at == 0) | (F.col("_worst") <= reach(at)), F.lit(False)).alias("_final"),
+            # Without k answers a step is taken; at the globe the sequence would run backwards.
+            F.when(at == 0, 0).when(F.col("_worst").isNull(), F.greatest(F.lit(0), at - LEVEL_STEP)).otherwise(
+                F.greatest(F.coalesce(covering, F.lit(0)), at - BOUNDED_STEP)
+            ).alias("_next"),
         )
-        if level == 0:
-            found.append(answers)
+        written, _ = cut_and_measure(answers)
+        log.info("nearest: %d queries at levels %s met %d points", figures["n"], levels, met.get["n"])
+        found.append(written.filter("_final").drop("_final", "_worst", "_next"))
+        if not any(levels):
             break
-        written, figures = cut_and_measure(answers, solved=F.count_if(F.col("_final") & (F.col("position") == 1)))
-        written = written.filter("_final")
-        found.append(written)
-        open_queries -= figures["solved"]
-        if not open_queries:
+        told = written.filter("position = 1").select(*[F.col(c).alias(f"_k_{c}") for c in keys], "_final", "_next", "_worst")
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
+        rest = pending.join(told, same, "left").filter(~F.coalesce("_final", at == 0))
+        pending, figures = cut_and_measure(
+            rest.withColumns({"_level": F.coalesce("_next", F.greatest(F.lit(0), at - LEVEL_STEP)), "_bound": F.col("_worst")}).select(*pending.columns),
+            **measures,
+        )
+        if not figures["n"]:
             break
-        pending = pending.join(written.filter("position = 1"), keys, "left_anti")
-        level = max(0, level - LEVEL_STEP)
-    return reduce(DataFrame.unionByName, found).drop("_final")
+    return reduce(DataFrame.unionByName, found)
 
 
 def knn_join(
@@ -167,7 +194,7 @@ def next_node(vehicles: DataFrame, nodes: DataFrame) -> DataFrame:
             "_score": F.round(F.when(lost, F.col("km") * KM_COST).otherwise(turn * TURN_COST + F.col("km") * KM_COST), 9),
         })
 
-    # A good answer may be some hundred kilometres ahead, so the search starts with wide cells.
-    level = min(6, start_level(spots.select(F.col("plat").alias("lat"), F.col("plon").alias("lon")), 8))
+    # What the nearest cells offer bounds the search ahead: a farther node must be straighter by as much as it costs in distance.
+    level = start_level(spots.select(F.col("plat").alias("lat"), F.col("plon").alias("lon")), 8)
     hits = grid_search(asked, spots, ["vehicle_id"], 1, score, KM_COST, 1e-6, level)
     return hits.select("vehicle_id", F.col("point_id").alias("next_id"), F.col("km").alias("next_km"))

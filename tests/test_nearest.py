@@ -70,6 +70,21 @@ def test_next_node_equals_brute_force(spark):
     assert rows(found, "vehicle_id", "next_id") == sorted(expected)
 
 
+def test_candidates_ahead_hardly_grow_with_the_nodes(spark, caplog):
+    rng = random.Random(31)
+    place = lambda: (36 + rng.random() * 7, -9 + rng.random() * 11)
+    trucks = spark.createDataFrame([(f"t{i}", *place(), None, rng.random() * 360) for i in range(40)],
+                                   "vehicle_id string, latitude double, longitude double, warehouse_id string, bearing double")
+    met = []
+    for n in (1_000, 32_000):
+        nodes = spark.createDataFrame([(f"n{i}", *place()) for i in range(n)], "id string, latitude double, longitude double")
+        caplog.clear()
+        with caplog.at_level("INFO", "haulwise.operators.nearest"):
+            assert next_node(trucks, nodes).count() == 40
+        met.append(sum(r.args[2] for r in caplog.records if r.name == "haulwise.operators.nearest"))
+    assert met[1] < 8 * met[0] and met[1] < 40 * 32_000 / 10
+
+
 def test_haversine_is_symmetric_and_zero_at_home(spark):
     df = spark.createDataFrame([(40.4, -3.7, 41.4, 2.2), (10.0, 170.0, -10.0, -170.0)], "a double, b double, c double, d double")
     assert df.filter(F.abs(haversine_km("a", "b", "c", "d") - haversine_km("c", "d", "a", "b")) > 1e-9).isEmpty()
