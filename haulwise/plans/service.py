@@ -19,7 +19,8 @@ class Service:
 
     ``telemetry`` holds cleaned events, ``stored_latest`` the serving copy of the latest state (None: derive it),
     ``weather`` cleaned observations, ``landed_weather`` the same from a second source (used where the first is older by more
-    than ``weather_margin_seconds``). The weather factor counts the readings of the last ``weather_minutes``. ``snapshots`` stored insight rows, ``retrain_state`` the model's run state.
+    than ``weather_margin_seconds``). The weather factor counts the readings of the last ``weather_minutes``. ``snapshots`` stored insight rows, ``retrain_state`` the model's stored state (one row), ``live_runs`` and
+    ``outside_runs`` what this process and others report about its runs.
     """
 
     telemetry: DataFrame
@@ -34,12 +35,15 @@ class Service:
     snapshots: DataFrame | None = None
     retrain_state: DataFrame | None = None
     landed_weather: DataFrame | None = None
+    live_runs: DataFrame | None = None
+    outside_runs: DataFrame | None = None
     weather_minutes: int = 30
     weather_margin_seconds: int = 120
     mode: str = "auto"
     zone: str = "Europe/Madrid"
     clock: tuple[bool, int] = field(init=False)
     fleet: DataFrame | None = field(init=False, default=None)
+    derived: DataFrame | None = field(init=False, default=None)
 
     def __post_init__(self) -> None:
         self.clock = local_clock(self.now, self.mode, self.zone)
@@ -62,12 +66,20 @@ class Service:
     def _fleet(self) -> DataFrame:
         """One row per vehicle, derived once per service: the event history is read a single time."""
         if self.fleet is None:
-            derived = cut_lineage(latest.latest_state(self.telemetry))
+            derived = self.derived = cut_lineage(latest.latest_state(self.telemetry))
             stored = derived if self.stored_latest is None else self.stored_latest
             rows = latest.fleet_latest(stored, derived, self.vehicles)
             self.fleet = cut_lineage(cleaning.normalize_warehouse_id(rows, self.vertices))
         return self.fleet
 
+    def _fleet_source(self) -> DataFrame:
+        """One row: which source the fleet rows come from, decided by the same rule and margin."""
+        newest = lambda rows: rows.agg(F.max("last_event_timestamp").alias("last_event_timestamp"))
+        stored = newest(cleaning.filter_fleet(self.stored_latest, self.vehicles)).filter("last_event_timestamp IS NOT NULL")
+        self._fleet()
+        derived = newest(cleaning.filter_fleet(self.derived, self.vehicles))
+        return latest.prefer_fresh(stored, derived, "last_event_timestamp", 20).select("source_used")
+
     def _planned_fleet(self) -> DataFrame:
         return enrich.attach_plans(self._fleet(), self.plans)
 
@@ -75,13 +87,20 @@ class Service:
         return telemetry.apply_live_telemetry(self.edges, self._planned_fleet())
 
     def overview(self) -> DataFrame:
-        """Fleet figures, weather factor and live coverage in one row."""
+        """Fleet figures, weather factor and live coverage in one row.
+
+        The figures come from the stored latest state where that is the fresher source, else from the event history. ``fleet_source``
+        says which.
+        """
         live = telemetry.live_summary(self._live_edges(), self._planned_fleet())
         weather = self._weather_factor()
-        return (
-            metrics.overview_latest(self._fleet())
-            .withColumns({"_w": weather.select(F.struct("*")).scalar(), "_l": live.select(F.struct("*")).scalar()})
-            .select("vehicles_active", "events_loaded", "avg_delay_minutes", "avg_speed_kmh", "latest_event_time", "_w.*", "_l.*")
+        known = metrics.overview(self.telemetry).withColumn("fleet_source", F.lit("events"))
+        if self.stored_latest is not None:
+            source = self._fleet_source().select("source_used").scalar()
+            stored = metrics.overview_latest(self._fleet()).withColumn("fleet_source", F.lit("stored"))
+            known = stored.filter(source == "primary").unionByName(known.filter(F.coalesce(source != "primary", F.lit(True))))
+        return known.withColumns({"_w": weather.select(F.struct("*")).scalar(), "_l": live.select(F.struct("*")).scalar()}).select(
+            "vehicles_active", "events_loaded", "avg_delay_minutes", "avg_speed_kmh", "latest_event_time", "fleet_source", "_w.*", "_l.*"
         )
 
     def latest_vehicles(self, limit: int = 200) -> DataFrame:
@@ -128,9 +147,17 @@ class Service:
         return found.unionByName(routing.trivial_routes(od, found, factor))
 
     def retrain_status(self) -> DataFrame:
+        """Advice, schedule, last selected model with its errors, and the run's state in one row."""
         overview = metrics.overview_latest(self._fleet())
         live = telemetry.live_summary(self._live_edges(), self._planned_fleet())
-        return drift.retrain_advice(overview, self._weather_factor(), live, self.retrain_state, self._now())
+        advice = drift.retrain_advice(overview, self._weather_factor(), live, self.retrain_state, self._now())
+        parts = {"_schedule": drift.schedule_info(self.retrain_state, self._now()), "_model": drift.model_info(self.retrain_state)}
+        if self.live_runs is not None:
+            outside = self.live_runs.limit(0) if self.outside_runs is None else self.outside_runs
+            parts["_run"] = drift.merge_run_status(self.live_runs, outside, self._now())
+        row = advice.withColumns({name: df.agg(F.first(F.struct("*")).alias("row")).scalar() for name, df in parts.items()})
+        # Names that the schedule states already are not repeated.
+        return row.select(*advice.columns, "_schedule.*", *[f"_model.{c}" for c in drift.MODEL_FIGURES], *(["_run.*"] if "_run" in parts else []))
 
     def edge_cost_table(self, profile: str = "balanced") -> DataFrame:
         day, hour = self.clock

@@ -71,6 +71,22 @@ def a3(v):
     return files.read_edges_csv(v.spark, path, infer=True)
 
 
+@query("b14_write_edges", check_sql("roads", body="""
+SELECT src, dst, distance_km, row_number() OVER (ORDER BY distance_km, src, dst) AS line FROM roads"""))
+def b14(v):
+    """Edges written in order to many files; the line of each is found again from its part and its place there."""
+    path = scratch(v)
+    tables.write_edges(v("roads").repartition(16), path)
+    parts_read = files.read_ordered_edges(v.spark, path)
+    place = F.row_number().over(Window.partitionBy("part").orderBy("distance_km", "src", "dst"))
+    sizes = parts_read.groupBy("part").count()
+    # The rows before a part: a running sum over one row per file.
+    before = sizes.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))
+    return parts_read.withColumn("place", place).join(before, "part").select(
+        "src", "dst", "distance_km", (F.col("place") + F.col("before")).alias("line")
+    )
+
+
 @query("a5_read_keyed_table", check_sql("telemetry", extra=LATEST, body="SELECT * FROM latest"))
 def a5(v):
     path = scratch(v)
@@ -93,10 +109,10 @@ SNAPSHOT_SQL = """docs AS (SELECT date_trunc('minute', weather_timestamp) AS obs
   FROM weather WHERE CAST(substr(weather_event_id, 3) AS BIGINT) % 19 <> 0)"""
 
 
-def weather_documents(v: Views) -> DataFrame:
+def weather_documents(v: Views, *more) -> DataFrame:
     """Nested snapshots; some have no time, some no code."""
     n = F.expr("CAST(substr(weather_event_id, 3) AS BIGINT)")
-    return v("weather").select(F.lit("UTC").alias("timezone"), F.struct(
+    return v("weather").select(*more, F.lit("UTC").alias("timezone"), F.struct(
         F.when(n % 19 != 0, F.date_format("weather_timestamp", "yyyy-MM-dd'T'HH:mm")).alias("time"),
         F.col("temperature_c").alias("temperature_2m"), F.col("precipitation_mm").alias("precipitation"),
         F.col("wind_kmh").alias("wind_speed_10m"), F.when(n % 5 != 0, F.col("weather_code")).alias("weather_code"),
@@ -105,7 +121,14 @@ def weather_documents(v: Views) -> DataFrame:
 
 @query("a9_read_weather_snapshots", check_sql("weather", extra=SNAPSHOT_SQL, body="SELECT * FROM docs"))
 def a9(v):
-    rows = files.flatten_weather_snapshots(weather_documents(v)).drop("source", "timezone")
+    """Files that each hold one array of some hundred documents over several lines, and a broken one."""
+    path, batch = scratch(v), F.expr("CAST(substr(weather_event_id, 3) AS BIGINT) DIV 500").alias("batch")
+    arrays = weather_documents(v, batch).groupBy("batch").agg(
+        F.to_json(F.collect_list(F.struct("timezone", "current")), {"pretty": "true"}).alias("value")
+    )
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    v.spark.range(1).select(F.lit('[{"timezone": "UTC", "current": {').alias("value")).write.mode("append").text(path)
+    rows = files.read_weather_snapshots(v.spark, path).drop("source", "timezone")
     return rows.withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))
 
 
@@ -118,21 +141,26 @@ def i39(v):
 
 
 @query("a10_explode_plans", check_sql("plans", "plan_rows", body="""
-SELECT p.vehicle_id, planned_origin, planned_destination, planned_route_origin, planned_route_destination, planned_route_label
-FROM plans p"""))
+SELECT p.vehicle_id, planned_origin, planned_destination, planned_route_origin, planned_route_destination, planned_route_label,
+  array_to_string([planned_route_origin, concat('W', CAST(d AS STRING)), planned_route_destination], ',') AS stops
+FROM plans p JOIN plan_rows USING (vehicle_id)"""))
 def a10(v):
     rows = v("plan_rows")
     node = lambda c: F.concat(F.lit("W"), F.col(c).cast("string"))
     # Every other vehicle states its ends, every third its label; the rest follows from the node list.
+    # Origins are given by alias, as are the first of the stops: WHn is the n-th of the sorted vertex ids.
+    aliases = cleaning.warehouse_aliases(v("vertices")).withColumnRenamed("canonical_id", "origin")
+    rows = rows.withColumn("origin", node("o")).join(aliases, "origin", "left")
     plan = F.struct(
-        node("o").alias("origin"), node("d").alias("destination"),
+        F.col("alias").alias("origin"), node("d").alias("destination"),
         F.when(F.col("user_id") % 2 == 0, node("o")).alias("planned_route_origin"),
         F.when(F.col("user_id") % 2 == 0, node("e")).alias("planned_route_destination"),
-        F.array(node("o"), F.lit(" "), node("d"), node("e")).alias("planned_route_nodes"),
+        F.array(F.col("alias"), F.lit(" "), node("d"), node("e")).alias("planned_route_nodes"),
         F.when(F.col("user_id") % 3 == 0, F.concat_ws(" -> ", node("o"), node("d"), node("e"))).alias("planned_route_label"),
     )
     documents = rows.select(F.to_json(F.create_map("vehicle_id", plan)).alias("value"))
-    return files.explode_plans(documents).drop("planned_route_nodes")
+    found = files.explode_plans(documents, v("vertices"))
+    return found.withColumn("stops", F.array_join("planned_route_nodes", ",")).drop("planned_route_nodes")
 
 
 @query("b3_append_or_fallback", check_sql("telemetry", body="SELECT event_id, speed_kmh FROM telemetry UNION ALL SELECT event_id, speed_kmh FROM telemetry"))
@@ -283,7 +311,7 @@ def b12(v):
         tables.archive_raw(v.spark.readStream.text(source), path, checkpoint).awaitTermination()
     cut = ~F.endswith("value", F.lit("}"))
     return v.spark.read.parquet(path).groupBy(cut.alias("cut")).agg(
-        F.count(F.lit(1)).alias("line_count"), F.bool_and(F.col("source_file").rlike("^part-.*")).alias("named")
+        F.count(F.lit(1)).alias("line_count"), F.bool_and(F.col("source_file").rlike("^file:/.*/part-[^/]*$") & F.contains("source_file", F.lit(source))).alias("named")
     )
 
 

@@ -111,9 +111,8 @@ def ensure_schema(spark: SparkSession, database: str, zone: str = "Europe/Madrid
 
 
 def archive_raw(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Bronze copy of raw lines by ingest day, each with its source file; the checkpoint makes it exactly once per source file."""
-    source = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    stamped = stream.withColumns({"source_file": source, "ingested_at": F.current_timestamp(), "ingest_date": F.current_date()})
+    """Bronze copy of raw lines by ingest day, each with the whole path of its source file; the checkpoint makes it exactly once per source file."""
+    stamped = stream.withColumns({"source_file": F.col("_metadata.file_path"), "ingested_at": F.current_timestamp(), "ingest_date": F.current_date()})
     return (
         stamped.writeStream.format("parquet").partitionBy("ingest_date").option("path", path)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -133,9 +132,10 @@ def reload_weather(source: DataFrame, target: str) -> None:
 
 
 def write_edges(edges: DataFrame, path: str) -> None:
-    """One ordered CSV file. A network file is small by nature; the sort itself is distributed."""
-    ordered = edges.select("src", "dst", "distance_km", "avg_delay_minutes").orderBy("distance_km", "src", "dst")
-    ordered.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """CSV files in order of (distance, src, dst): every part is sorted and parts follow each other by the number in their names."""
+    edges.select("src", "dst", "distance_km", "avg_delay_minutes").orderBy("distance_km", "src", "dst").write.mode("overwrite").option(
+        "header", True
+    ).csv(path)
 
 
 def write_snapshots(snapshots: DataFrame, path: str) -> None:

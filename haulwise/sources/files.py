@@ -24,6 +24,12 @@ def read_edges_csv(spark: SparkSession, path: str, infer: bool = False) -> DataF
     return (reader.option("inferSchema", True) if infer else reader.schema(schemas.EDGE)).csv(path)
 
 
+def read_ordered_edges(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_edges`` wrote, each row with the number of its part; rows of lower parts come first."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
+    return read_edges_csv(spark, path).withColumn("part", part)
+
+
 def csv_view(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A CSV export as an all-text temporary view."""
     df = spark.read.option("header", True).option("inferSchema", False).csv(path)
@@ -47,10 +53,19 @@ def read_recent_files(spark: SparkSession, path: str, max_files: int, max_rows:
     return newest.orderBy("event_timestamp", "event_id")
 
 
+def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Whole-file JSON documents, each with its file and the file's time; an unreadable one is a row with its text in ``_corrupt``.
+
+    A file may hold one document, which can span lines, or an array of them.
+    """
+    wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    raw = spark.read.schema(wide).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return raw.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_modification_time").alias("file_time"))
+
+
 def read_weather_snapshots(spark: SparkSession, path: str, source: str = "snapshot") -> DataFrame:
-    """Nested weather documents, one per file or line group, flattened; documents without a time are dropped."""
-    raw = spark.read.schema(schemas.WEATHER_SNAPSHOT).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    return flatten_weather_snapshots(raw, source)
+    """Nested weather documents, flattened; unreadable documents and those without a time are dropped."""
+    return flatten_weather_snapshots(read_documents(spark, path, schemas.WEATHER_SNAPSHOT).filter("_corrupt IS NULL"), source)
 
 
 def flatten_weather_snapshots(raw: DataFrame, source: str = "snapshot") -> DataFrame:

@@ -218,3 +218,46 @@ def test_model_log_takes_the_newest_whole_line(spark):
     frame = spark.createDataFrame(lines, "line_no int, line string")
     assert tuple(drift.parse_model_log(frame).first()) == (7.1, 7.25, 7.0, "tuned_rf", 7.0)
     assert drift.parse_model_log(frame.filter("line_no > 2")).count() == 0
+
+
+def test_documents_keep_their_file_and_unreadable_ones_show(spark, folder):
+
+    texts = {
+        "one.json": '{"timezone": "UTC",\n "current": {"time": "2024-01-01T08:00", "temperature_2m": 4.5}}',
+        "two.json": '[{"current": {"time": "2024-01-01T09:00", "weather_code": "3"}},\n {"current": {"time": null}}]',
+        "bad.json": '{"timezone": ', "none.json": "",
+    }
+    os.makedirs(f"{folder}/docs")
+    for name, text in texts.items():
+        with open(f"{folder}/docs/{name}", "w", encoding="utf-8") as handle:
+            handle.write(text)
+    found = files.read_documents(spark, f"{folder}/docs", schemas.WEATHER_SNAPSHOT).collect()
+    seen = sorted((r["source_file"].rsplit("/", 1)[1], r["_corrupt"] is None) for r in found)
+    assert seen == [("bad.json", False), ("one.json", True), ("two.json", True), ("two.json", True)]
+    assert all(r["file_time"] is not None for r in found)
+    flat = rows(files.read_weather_snapshots(spark, f"{folder}/docs"), "temperature_c", "weather_code")
+    assert flat == [(0.0, "3"), (4.5, "unknown")]
+
+
+def test_edges_come_back_in_order_from_many_files(spark, folder):
+
+    edges = [(f"a{i}", f"b{i % 7}", float((i * 37) % 50), 1.0) for i in range(300)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.write_edges(spark.createDataFrame(edges, "src string, dst string, distance_km double, avg_delay_minutes double"), f"{folder}/e")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = [p for p in sorted(os.listdir(f"{folder}/e")) if p.startswith("part-")]
+    assert len(parts) > 1
+    lines = [line for part in parts for line in open(f"{folder}/e/{part}", encoding="utf-8").read().splitlines()[1:]]
+    expected = [f"{s},{d},{km},{delay}" for km, s, d, delay in sorted((km, s, d, delay) for s, d, km, delay in edges)]
+    assert lines == expected
+    assert sorted({r["part"] for r in files.read_ordered_edges(spark, f"{folder}/e").collect()}) == [int(p[5:10]) for p in parts]
+
+
+def test_status_of_a_model_without_any_record(spark):
+
+    state = spark.createDataFrame([("m", "tuned_baseline_rf", 8.0, None, None, 6.0), ("n", None, None, None, None, None)],
+                                  "model_name string, last_selected_model string, last_baseline_rmse double, last_tuned_baseline_rmse double, "
+                                  "last_enhanced_rmse double, last_selected_rmse double")
+    assert rows(drift.model_info(state), "model_name", "selected_model", "gain_percent") == [("m", "tuned_baseline_rf", 25.0), ("n", None, None)]
