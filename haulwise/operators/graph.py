@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from haulwise.session import cut_and_measure, cut_lineage
+from haulwise.operators.hotkeys import global_index
+from haulwise.session import cut_and_measure, cut_in_buckets, cut_lineage
 
 RESET = 0.15
 ITERATIONS = 10
 PAGERANK_CUT_EVERY = 5
 SEEN_CUT_EVERY = 8
+# A bucket holds some millions of arcs; the arcs of a vertex with more than this many are dealt over several buckets.
+ARCS_PER_BUCKET = 4_000_000
+ARCS_PER_PART = 1_000_000
+LANDMARKS_PER_ROW = 64
 
 
 def _write_links(links: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
@@ -62,20 +67,53 @@ def is_connected(vertices: DataFrame, edges: DataFrame) -> bool:
     return connected_components(vertices, edges).select("component").distinct().limit(2).count() <= 1
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, reset: float = RESET, iterations: int = ITERATIONS) -> DataFrame:
+def _store_arcs(arcs: DataFrame, arcs_per_part: int = ARCS_PER_PART) -> tuple[DataFrame, DataFrame, int]:
+    """Arcs (src, dst) in buckets of (src, part), the vertices they leave (src, out_degree, parts), and the number of buckets.
+
+    A vertex with many arcs has several parts, so none fills a bucket. What a round sends goes to ``parts`` copies of such a
+    vertex; the arcs themselves are never moved again.
+    """
+    parts = F.ceil(F.col("out_degree") / arcs_per_part).cast("int").alias("parts")
+    leaving, figures = cut_and_measure(
+        arcs.groupBy("src").agg(F.count(F.lit(1)).alias("out_degree")).select("src", "out_degree", parts),
+        total=F.coalesce(F.sum("out_degree"), F.lit(0)),
+    )
+    buckets = max(arcs.sparkSession.sparkContext.defaultParallelism, -(-figures["total"] // ARCS_PER_BUCKET))
+    hubs = leaving.filter("parts > 1").select("src", "parts")
+    part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")).cast("int"), F.lit(0)).alias("part")
+    stored = cut_in_buckets(arcs.select("src", "dst").join(hubs, "src", "left").select("src", part, "dst"), buckets, "src", "part")
+    return stored, leaving, buckets
+
+
+def _along(arcs: DataFrame, sent: DataFrame) -> DataFrame:
+    """Rows at the vertices ``id`` with their number of ``parts`` (NULL for one), carried along the stored arcs to ``dst``."""
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("copy")
+    dealt = sent.select(*[c for c in sent.columns if c != "parts"], copies)
+    return arcs.join(dealt, (F.col("src") == F.col("id")) & (F.col("part") == F.col("copy"))).drop("src", "part", "id", "copy")
+
+
+def _rank_round(arcs: DataFrame, base: DataFrame, ranks: DataFrame, reset: float) -> DataFrame:
+    """One round over (id, out_degree, parts, rank)."""
+    sent = ranks.filter("out_degree IS NOT NULL").select("id", "parts", (F.col("rank") / F.col("out_degree")).alias("share"))
+    received = _along(arcs, sent).groupBy("dst").agg(F.sum("share").alias("got"))
+    rank = reset + (1 - reset) * F.coalesce("got", F.lit(0.0))
+    return base.join(received, F.col("id") == F.col("dst"), "left").select("id", "out_degree", "parts", rank.alias("rank"))
+
+
+def pagerank(
+    vertices: DataFrame, edges: DataFrame, reset: float = RESET, iterations: int = ITERATIONS, arcs_per_part: int = ARCS_PER_PART
+) -> DataFrame:
     """Static PageRank: start 1.0, a fixed number of rounds, dangling mass not redistributed, sum scaled to the number of
-    vertices."""
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out_degree"))
-    arcs = cut_lineage(edges.select("src", "dst").join(degree, "src"))
-    base = cut_lineage(vertices.select("id").distinct())
-    ranks = base.select("id", F.lit(1.0).alias("rank"))
+    vertices. Ends of edges that are no vertices receive nothing and pass nothing on.
+
+    Arcs and vertices are stored in buckets once; a round moves the ranks and the partial sums of what is received.
+    """
+    arcs, leaving, buckets = _store_arcs(edges, arcs_per_part)
+    known = vertices.select("id").distinct().join(leaving.withColumnRenamed("src", "id"), "id", "left")
+    base = cut_in_buckets(known, buckets, "id")
+    ranks = base.withColumn("rank", F.lit(1.0))
     for round_no in range(1, iterations + 1):
-        sent = arcs.join(ranks, F.col("src") == F.col("id")).select(
-            F.col("dst").alias("id"), (F.col("rank") / F.col("out_degree")).alias("part")
-        )
-        # A zero part per vertex keeps vertices without incoming arcs, with no further join.
-        received = sent.unionByName(base.select("id", F.lit(0.0).alias("part"))).groupBy("id").agg(F.sum("part").alias("got"))
-        ranks = received.select("id", (reset + (1 - reset) * F.col("got")).alias("rank"))
+        ranks = _rank_round(arcs, base, ranks, reset)
         if round_no % PAGERANK_CUT_EVERY == 0 or round_no == iterations:
             ranks = cut_lineage(ranks)
     total = ranks.agg((F.sum("rank") / F.count(F.lit(1))).alias("mean")).scalar()
@@ -95,30 +133,57 @@ def landmarks(vertices: DataFrame) -> DataFrame:
     return vertices.select("id").orderBy("id").limit(1) if chosen.isEmpty() else chosen
 
 
-def hop_distances(edges: DataFrame, targets: DataFrame, directed: bool = True, max_hops: int | None = None) -> DataFrame:
-    """(source_id, target_id, hop_distance): fewest edges from every vertex to every target it can reach, 0 to itself.
+def hop_bitmaps(
+    edges: DataFrame, targets: DataFrame, directed: bool = True, max_hops: int | None = None, arcs_per_part: int = ARCS_PER_PART
+) -> tuple[DataFrame, DataFrame]:
+    """(id, hops, block, bits): the targets that a vertex reaches in ``hops`` edges and no fewer, 64 to a row; and (block,
+    names), the targets in the order of their bits.
 
-    A breadth-first search from all targets at once over reversed edges; only the frontier moves from round to round.
+    A breadth-first search from all targets at once over reversed edges. A round moves one bitmap per vertex of the frontier
+    and block of targets, joined by a bitwise OR, and clears the bits the vertex had before. NULL ids are no vertices.
     """
-    steps = edges.select(F.col("dst").alias("at"), F.col("src").alias("before"))
+    steps = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     if not directed:
-        steps = steps.unionByName(edges.select(F.col("src").alias("at"), F.col("dst").alias("before")))
-    steps = cut_lineage(steps.distinct())
-    frontier = cut_lineage(targets.select(F.col("id").alias("source_id"), F.col("id").alias("target_id")).distinct())
-    reached, hops = frontier.withColumn("hop_distance", F.lit(0)), 0
-    seen = frontier
+        steps = steps.unionByName(edges.select("src", "dst"))
+    arcs, leaving, _ = _store_arcs(steps.filter("src IS NOT NULL AND dst IS NOT NULL").distinct(), arcs_per_part)
+    hubs = leaving.filter("parts > 1").select(F.col("src").alias("id"), "parts")
+    slot = F.col("position") - 1
+    numbered = global_index(targets.filter("id IS NOT NULL").select("id").distinct(), [F.col("id")]).select(
+        "id", F.floor(slot / LANDMARKS_PER_ROW).alias("block"), F.pmod(slot, F.lit(LANDMARKS_PER_ROW)).cast("int").alias("bit")
+    )
+    numbered = cut_lineage(numbered)
+    names = numbered.groupBy("block").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("bit", "id"))), lambda entry: entry["id"]).alias("names")
+    )
+    frontier = cut_lineage(numbered.select("id", "block", F.expr("shiftleft(1L, bit)").alias("bits")))
+    reached, seen, hops = frontier.withColumn("hops", F.lit(0)), frontier, 0
     while max_hops is None or hops < max_hops:
         hops += 1
-        stepped = frontier.join(steps, F.col("source_id") == F.col("at")).select(F.col("before").alias("source_id"), "target_id")
-        fresh = stepped.distinct().join(seen, ["source_id", "target_id"], "left_anti")
-        frontier, figures = cut_and_measure(fresh, n=F.count(F.lit(1)))
+        arrived = _along(arcs, frontier.join(hubs, "id", "left")).groupBy(F.col("dst").alias("id"), "block").agg(F.bit_or("bits").alias("bits"))
+        before = seen.groupBy("id", "block").agg(F.bit_or("bits").alias("before"))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("before", F.lit(0).cast("long"))))
+        frontier, figures = cut_and_measure(
+            arrived.join(before, ["id", "block"], "left").select("id", "block", fresh.alias("bits")).filter("bits <> 0"), n=F.count(F.lit(1))
+        )
         if not figures["n"]:
             break
-        reached = reached.unionByName(frontier.withColumn("hop_distance", F.lit(hops)))
+        reached = reached.unionByName(frontier.withColumn("hops", F.lit(hops)))
         seen = seen.unionByName(frontier)
         if hops % SEEN_CUT_EVERY == 0:
-            seen = cut_lineage(seen)
-    return reached
+            seen = cut_lineage(seen.groupBy("id", "block").agg(F.bit_or("bits").alias("bits")))
+    return reached, cut_lineage(names)
+
+
+def hop_distances(
+    edges: DataFrame, targets: DataFrame, directed: bool = True, max_hops: int | None = None, arcs_per_part: int = ARCS_PER_PART
+) -> DataFrame:
+    """(source_id, target_id, hop_distance): fewest edges from every vertex to every target it can reach, 0 to itself.
+
+    The bitmaps of ``hop_bitmaps``, spelt out: one row per vertex and target it reaches.
+    """
+    reached, names = hop_bitmaps(edges, targets, directed, max_hops, arcs_per_part)
+    named = F.expr("explode(filter(transform(names, (name, i) -> IF(getbit(bits, i) = 1, name, NULL)), name -> name IS NOT NULL)) AS target_id")
+    return reached.join(names, "block").select(F.col("id").alias("source_id"), named, F.col("hops").alias("hop_distance"))
 
 
 def hop_maps(distances: DataFrame) -> DataFrame:

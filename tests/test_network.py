@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haulwise.operators import graph, network, routing
+from haulwise.session import cut_in_buckets
 from tests.conftest import rows
 
 # Positions of the fifteen warehouses and the network they must give.
@@ -208,3 +209,59 @@ def test_costs_are_positive_and_symmetric(edges):
 def test_avoided_nodes_are_gone(edges):
     arcs = routing.weighted_edges(edges, avoid=["MAD", "VLL"])
     assert arcs.filter("src IN ('MAD', 'VLL') OR dst IN ('MAD', 'VLL')").isEmpty()
+
+
+def random_graph(spark, seed, vertices, arcs):
+    rng = random.Random(seed)
+    # A third of all arcs leave one vertex.
+    pairs = [(0 if rng.random() < 1 / 3 else rng.randrange(vertices), rng.randrange(vertices)) for _ in range(arcs)]
+    return pairs, spark.createDataFrame(pairs, "src long, dst long"), spark.range(vertices)
+
+
+@pytest.mark.parametrize("arcs_per_part", [3, 1_000_000])
+def test_pagerank_of_a_hub_equals_a_loop(spark, arcs_per_part):
+    pairs, edges, nodes = random_graph(spark, 5, 40, 200)
+    ranks = dict.fromkeys(range(40), 1.0)
+    for _ in range(10):
+        got = dict.fromkeys(ranks, 0.0)
+        for src, dst in pairs:
+            got[dst] += ranks[src] / sum(1 for s, _ in pairs if s == src)
+        ranks = {v: 0.15 + 0.85 * g for v, g in got.items()}
+    mean = sum(ranks.values()) / 40
+    found = {r["id"]: r["pagerank"] for r in graph.pagerank(nodes, edges, arcs_per_part=arcs_per_part).collect()}
+    assert found == pytest.approx({v: r / mean for v, r in ranks.items()}, rel=1e-9)
+
+
+def test_a_rank_round_does_not_move_the_arcs(spark):
+    _, edges, nodes = random_graph(spark, 6, 40, 200)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        arcs, leaving, buckets = graph._store_arcs(edges)
+        base = cut_in_buckets(nodes.join(leaving.withColumnRenamed("src", "id"), "id", "left"), buckets, "id")
+        text = graph._rank_round(arcs, base, base.withColumn("rank", F.lit(1.0)), 0.15)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # One exchange for the shares, one for the partial sums; both scans keep their buckets.
+    assert text.count("Exchange hashpartitioning") == 2 and text.count("Bucketed: true") >= 2
+
+
+@pytest.mark.parametrize("arcs_per_part,directed", [(3, True), (1_000_000, False)])
+def test_hops_to_more_targets_than_bits_equal_a_search(spark, arcs_per_part, directed):
+    pairs, edges, _ = random_graph(spark, 7, 150, 220)
+    targets = spark.range(0, 150, 2)
+    ways = set(pairs) | (set() if directed else {(b, a) for a, b in pairs})
+    before = {v: {a for a, b in ways if b == v} for v in range(150)}
+    expected = set()
+    for target in range(0, 150, 2):
+        level, seen, hops = {target}, set(), 0
+        while level:
+            expected |= {(v, target, hops) for v in level}
+            seen |= level
+            level, hops = {a for v in level for a in before[v]} - seen, hops + 1
+    found = rows(graph.hop_distances(edges, targets, directed, arcs_per_part=arcs_per_part))
+    assert found == sorted(expected, key=repr)
+    reached, names = graph.hop_bitmaps(edges, targets, directed)
+    assert names.count() == 2 and reached.count() == reached.select("id", "hops", "block").distinct().count()
+    assert rows(graph.hop_distances(edges, targets, directed, max_hops=1)) == sorted([e for e in expected if e[2] <= 1], key=repr)
+    assert graph.hop_distances(edges, targets.filter("id < 0"), directed).isEmpty()
