@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulwise.plans import cleaning_queries, metric_queries, network_queries, service_queries, system_queries  # noqa: F401 - registration
+from haulwise.plans import (  # noqa: F401 - registration
+    cleaning_queries, landing_queries, metric_queries, network_queries, service_queries, system_queries,
+)
 from haulwise.plans.registry import CHECKS, QUERIES
 
 

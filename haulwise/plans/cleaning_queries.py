@@ -11,8 +11,9 @@ from haulwise.plans.fixtures import check_sql
 from haulwise.plans.registry import NOW, Views, now, query
 
 
-def raw_lines(v: Views) -> DataFrame:
-    """Telemetry as JSON text with the faults real feeds have: other time formats, text in numbers, missing ids, cut lines."""
+def raw_lines(v: Views, where: str = "TRUE") -> DataFrame:
+    """Telemetry as JSON text with the faults real feeds have: other time formats, text in numbers, missing ids, cut lines.
+    ``where`` chooses what lands, by the number ``n`` of an event."""
     n = F.expr("CAST(substr(event_id, 9) AS BIGINT)")
     ts = F.col("event_timestamp")
     fields = F.struct(
@@ -25,7 +26,8 @@ def raw_lines(v: Views) -> DataFrame:
         F.when(n % 40 == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
         .otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("event_time"),
     )
-    return v("telemetry").select(F.when(n % 43 == 0, '{"event_id": "cut').otherwise(F.to_json(fields)).alias("value"))
+    landing = v("telemetry").withColumn("n", n).filter(where)
+    return landing.select(F.when(n % 43 == 0, '{"event_id": "cut').otherwise(F.to_json(fields)).alias("value"))
 
 
 RAW = """raw AS (

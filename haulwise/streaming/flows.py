@@ -49,8 +49,8 @@ def stream_dedup(df: DataFrame, key: str, ts: str, delay: str = WATERMARK) -> Da
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def clean_event_stream(raw: DataFrame) -> DataFrame:
-    return stream_dedup(clean_events(parse_events(raw)), "event_id", "event_timestamp")
+def clean_event_stream(raw: DataFrame, delay: str = WATERMARK) -> DataFrame:
+    return stream_dedup(clean_events(parse_events(raw)), "event_id", "event_timestamp", delay)
 
 
 def clean_weather_stream(raw: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from haulwise.operators import cleaning, latest, metrics
 from haulwise.sinks import keyed
 from haulwise.sources.streams import StreamSource, read_event_stream
 from haulwise.streaming import flows, stateful
+from haulwise.streaming.progress import FlowLog
 from tests.conftest import rows
 
 START = datetime(2024, 1, 1, 8, 0)
@@ -267,3 +268,18 @@ def test_missing_values_leave_the_state_alone():
     assert next_eta(before, None, "B", 60.0) == (None, False) and next_eta(before, float("nan"), "B", 60.0) == (None, False)
     assert next_eta(None, None, "B", 60.0) == (None, False)
     assert limited((40.0, -3.0), 40.001, -3.0, float("nan")) == (40.001, -3.0)
+
+
+def test_flow_log_counts_late_rows_and_forgets_the_oldest(spark, folder):
+    for i, lines in enumerate(FILES):
+        put(folder, i, lines)
+    with FlowLog(spark, keep=100) as log, FlowLog(spark, keep=1) as short:
+        query = flows.run_window_stream(spark, config(folder, "log"))
+        query.awaitTermination()
+        log.wait_for(query)
+        short.wait_for(query)
+    seen = log.batches().filter("flow = 'delay_windows'")
+    # e7 comes behind the watermark that e6 has set.
+    assert seen.agg(F.sum("late_rows"), F.sum("rows_read")).first() == (1, sum(map(len, FILES)))
+    assert short.batches().count() == 1
+    assert seen.orderBy(F.desc("batch_id")).first()["watermark"].startswith("2024-01-01T08:21")
