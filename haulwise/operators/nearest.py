@@ -11,6 +11,7 @@ The coarsest cell is the whole globe, so every query ends.
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Callable
 from functools import reduce
 
@@ -28,6 +29,12 @@ CODE_BASE = 1 << 20
 GLOBE_SALTS = 16
 TURN_LIMIT_DEG = 115
 TURN_COST, KM_COST = 1.6, 0.4
+# More than any score: nodes beyond the turn limit come after all others.
+BACKWARD = 1e5
+# Levels between two steps down the pyramid of cells.
+CELL_STEP = 2
+# Room for rounding: in the angle of a cell's radius, in degrees of a turn, in an offer.
+RADIUS_SLACK, TURN_SLACK, OFFER_SLACK = 1e-9, 1e-6, 1e-4
 
 
 def _cell(lat: Column, lon: Column, cells: Column) -> tuple[Column, Column]:
@@ -171,12 +178,71 @@ def nearest_node(vehicles: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def _total(score: Column, backward: Column) -> Column:
+    """One number in the order of (class, score)."""
+    return score + F.when(backward, BACKWARD).otherwise(0.0)
+
+
+def _facing(df: DataFrame, lat: str, lon: str) -> DataFrame:
+    """Add ``km`` to a place and ``turn`` towards it. Both come out of a generator: filters on what follows from them would
+    otherwise be pushed below and write out the formulas once more at each use."""
+    aim = F.struct(haversine_km("lat", "lon", lat, lon).alias("km"), bearing_deg("lat", "lon", lat, lon).alias("_towards"))
+    turn = F.coalesce(angle_diff(F.col("_bearing"), F.col("_towards")), F.lit(0.0))
+    return df.select("*", F.inline(F.array(aim))).withColumn("turn", turn).drop("_towards")
+
+
+def _offer(point: str) -> Column:
+    """The order number of a node for a vehicle that faces it; NULL for the vehicle's own node."""
+    total = _total(F.round(F.col("turn") * TURN_COST + F.col("km") * KM_COST, 9), F.col("turn") > TURN_LIMIT_DEG)
+    return F.when(F.coalesce(F.col(point) != F.col("_here"), F.lit(True)), total)
+
+
+def cell_pyramid(spots: DataFrame, levels: list[int]) -> DataFrame:
+    """(level, parent, cell, clat, clon, radius, low, high): the filled cells of each level under their cell one level up.
+
+    ``radius`` is the angle at the centre of the cell's points that covers them all; ``low`` and ``high`` are the points with the
+    smallest and the largest id.
+    """
+    above = [None, *levels[:-1]]
+    pairs = F.array(*[F.struct(F.lit(at).alias("level"), F.lit(up).cast("int").alias("up")) for at, up in zip(levels, above)])
+    placed = spots.withColumn("_at", F.explode(pairs)).select("point_id", "plat", "plon", "_at.level", "_at.up")
+    own = _code(*_cell(F.col("plat"), F.col("plon"), _cells(F.col("level"))))
+    parent = F.coalesce(_code(*_cell(F.col("plat"), F.col("plon"), _cells(F.col("up")))), F.lit(0).cast("bigint"))
+    point = F.struct("point_id", "plat", "plon")
+    boxes = placed.groupBy("level", parent.alias("parent"), own.alias("cell")).agg(
+        F.min("plat").alias("south"), F.max("plat").alias("north"), F.min("plon").alias("west"), F.max("plon").alias("east"),
+        F.min(point).alias("low"), F.max(point).alias("high"),
+    )
+    centred = boxes.withColumns({"clat": (F.col("south") + F.col("north")) / 2, "clon": (F.col("west") + F.col("east")) / 2})
+    # Up to a quarter turn to either side the farthest point of a box is a corner.
+    corner = F.greatest(*[haversine_km("clat", "clon", lat, "east") for lat in ("south", "north")]) / EARTH_RADIUS_KM
+    radius = F.when(F.col("east") - F.col("west") <= 180, F.least(corner + RADIUS_SLACK, F.lit(math.pi))).otherwise(math.pi)
+    return centred.select("level", "parent", "cell", "clat", "clon", radius.alias("radius"), "low", "high")
+
+
+def _with_least_offer(met: DataFrame) -> DataFrame:
+    """Add ``_least``: what a point in a cell can offer at best, as near as the cell's circle and as straight ahead as its rim."""
+    away, radius = F.col("_away"), F.col("radius")
+    apart = (away > radius) & (away + radius < math.pi)
+    half = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(radius) / F.sin(away))))
+    straightest = F.when(~apart, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("turn") - half - TURN_SLACK))
+    seen = _facing(met, "clat", "clon").withColumn("_away", F.col("km") / EARTH_RADIUS_KM).withColumns({
+        "turn": straightest, "km": F.greatest(F.lit(0.0), away - radius) * EARTH_RADIUS_KM,
+    })
+    least = _total(F.col("turn") * TURN_COST + F.col("km") * KM_COST, F.col("turn") > TURN_LIMIT_DEG) - OFFER_SLACK
+    return seen.withColumn("_least", least).drop("km", "turn", "_away")
+
+
 def next_node(vehicles: DataFrame, nodes: DataFrame) -> DataFrame:
     """Likely next stop: (vehicle_id, next_id, next_km).
 
     Vehicles carry their position, the node they are at (``warehouse_id``, never an answer) and a ``bearing``. Without a
     bearing the nearest node wins; with one, nodes within a 115 degree turn come first and the lowest
     1.6 * turn + 0.4 * km wins.
+
+    The search descends a pyramid of cells. A node of every cell is offered; a cell stays open for a vehicle while the nearest
+    and straightest point of its circle could be as good as the best offer so far. So a vehicle with nothing ahead of it opens a
+    few large cells instead of meeting all nodes within the reach of a wide turn.
     """
     asked = vehicles.select(
         "vehicle_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.col("warehouse_id").alias("_here"),
@@ -184,17 +250,37 @@ def next_node(vehicles: DataFrame, nodes: DataFrame) -> DataFrame:
     ).filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     spots = nodes.select(F.col("id").alias("point_id"), F.col("latitude").alias("plat"), F.col("longitude").alias("plon"))
     # On one spot only the first id can win, or the second where the first is the vehicle's own node.
-    spots = cut_lineage(first_per_key(spots, ["plat", "plon"], [F.asc("point_id")], 2))
-
-    def score(df: DataFrame) -> DataFrame:
-        turn = angle_diff(F.col("_bearing"), bearing_deg("lat", "lon", "plat", "plon"))
-        lost = F.col("_bearing").isNull()
-        return df.filter(F.coalesce(F.col("point_id") != F.col("_here"), F.lit(True))).withColumns({
-            "_class": F.when(lost | (turn <= TURN_LIMIT_DEG), 0).otherwise(1),
-            "_score": F.round(F.when(lost, F.col("km") * KM_COST).otherwise(turn * TURN_COST + F.col("km") * KM_COST), 9),
-        })
-
-    # What the nearest cells offer bounds the search ahead: a farther node must be straighter by as much as it costs in distance.
-    level = start_level(spots.select(F.col("plat").alias("lat"), F.col("plon").alias("lon")), 8)
-    hits = grid_search(asked, spots, ["vehicle_id"], 1, score, KM_COST, 1e-6, level)
-    return hits.select("vehicle_id", F.col("point_id").alias("next_id"), F.col("km").alias("next_km"))
+    spots = cut_lineage(first_per_key(spots.dropna(subset=["plat", "plon"]), ["plat", "plon"], [F.asc("point_id")], 2))
+
+    leaf = start_level(spots.select(F.col("plat").alias("lat"), F.col("plon").alias("lon")), 8)
+    levels = list(range(leaf, 0, -CELL_STEP))[::-1]
+    pyramid = cut_lineage(cell_pyramid(spots, levels).repartition("level"))
+    tasks = spots.sparkSession.sparkContext.defaultParallelism
+    per_vehicle = Window.partitionBy("vehicle_id")
+    kept = ["vehicle_id", "lat", "lon", "_here", "_bearing", "_best"]
+    open_cells = asked.repartition(tasks).withColumns({"_best": F.lit(math.inf), "_open": F.lit(0).cast("bigint")})
+
+    for level in levels:
+        cells = pyramid.filter(F.col("level") == level).drop("level")
+        if level == levels[0]:
+            cells = F.broadcast(cells)  # at most 32
+        counted = Observation()
+        met = open_cells.join(cells, F.col("_open") == F.col("parent")).observe(counted, F.count(F.lit(1)).alias("n"))
+        bounded = _with_least_offer(met).filter(F.col("_least") <= F.col("_best"))
+        shown = bounded.withColumn("_shown", F.when(F.col("low.point_id") == F.col("_here"), F.col("high")).otherwise(F.col("low")))
+        shown = shown.select(*kept, "_least", F.col("cell").alias("_open"), "_shown.*")
+        offered = _facing(shown, "plat", "plon").withColumn("_best", F.least("_best", _offer("point_id")))
+        seen = offered.select(*kept, "_least", "_open")
+        # Most cells fall at the best offer of their own row and never reach the window.
+        best = seen.filter(F.col("_least") <= F.col("_best")).withColumn("_best", F.min("_best").over(per_vehicle))
+        open_cells, figures = cut_and_measure(best.filter(F.col("_least") <= F.col("_best")).drop("_least").repartition(tasks), n=F.count(F.lit(1)))
+        log.info("next node: at level %d %d cells stay open of %d met", level, figures["n"], counted.get["n"])
+
+    placed = spots.withColumn("_cell", _code(*_cell(F.col("plat"), F.col("plon"), _cells(F.lit(leaf)))))
+    met = Observation()
+    joined = open_cells.join(placed, F.col("_open") == F.col("_cell")).observe(met, F.count(F.lit(1)).alias("n"))
+    offered = _facing(joined, "plat", "plon").withColumn("_total", _offer("point_id"))
+    first = F.min(F.struct("_total", "point_id", "km")).alias("first")
+    found = cut_lineage(offered.filter("_total IS NOT NULL AND _total <= _best + 1e-6").groupBy("vehicle_id").agg(first))
+    log.info("next node: %d levels down to %d, then %d points met", len(levels), leaf, met.get["n"])
+    return found.select("vehicle_id", F.col("first.point_id").alias("next_id"), F.col("first.km").alias("next_km"))
