@@ -355,7 +355,8 @@ def route_catalog(
     """The ``n`` most useful routes among the pairs of a demand table (all, if fewer).
 
     Cheapest path by km + 9 * delay, one per pair of ends whichever way it is asked for; ranked by demand, centrality,
-    hops and length. The best ``long_share`` * ``n`` routes of several hops come first, then direct ones, then the others.
+    hops and length. The best ``long_share`` * ``n`` routes of several hops come first, then direct ones, then the others. Each
+    carries its cruising speed, its least and longest stop in minutes, and its share of the traffic.
     """
     arcs = both_directions(edges.select("src", "dst", "distance_km", "avg_delay_minutes")).dropDuplicates(["src", "dst"])
     arcs = cut_lineage(arcs.withColumn("weight", F.col("distance_km") + F.col("avg_delay_minutes") * 9))
@@ -387,6 +388,10 @@ def route_catalog(
     kinds = first_per_key(scored.withColumn("_long", F.col("hops") >= 2), ["_long"], order, n, rank="_place")
     chosen = kinds.withColumn("_group", group).orderBy("_group", *order).limit(n)
     place = F.row_number().over(Window.orderBy("_group", *order))
+    weight = F.greatest(F.lit(0.15), F.col("score"))
+    cruise = F.least(F.lit(82.0), F.greatest(F.lit(60.0), 61 + F.least(F.lit(16.0), F.col("total_km") / F.col("hops") / 25)))
     return chosen.select(
-        F.concat(F.lit("R"), F.lpad(place.cast("string"), 2, "0")).alias("route_id"), F.array_join("path", " -> ").alias("path"), "hops", "total_km", "score"
+        F.concat(F.lit("R"), F.lpad(place.cast("string"), 2, "0")).alias("route_id"), F.array_join("path", " -> ").alias("path"), "hops", "total_km", "score",
+        F.round(cruise, 1).alias("cruise_speed_kmh"), F.lit(1).alias("dwell_min"), F.when(F.size("path") >= 4, 3).otherwise(2).alias("dwell_max"),
+        (weight / F.sum(weight).over(Window.partitionBy())).alias("weight"),
     )

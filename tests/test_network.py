@@ -265,3 +265,14 @@ def test_hops_to_more_targets_than_bits_equal_a_search(spark, arcs_per_part, dir
     assert names.count() == 2 and reached.count() == reached.select("id", "hops", "block").distinct().count()
     assert rows(graph.hop_distances(edges, targets, directed, max_hops=1)) == sorted([e for e in expected if e[2] <= 1], key=repr)
     assert graph.hop_distances(edges, targets.filter("id < 0"), directed).isEmpty()
+
+
+def test_catalogue_carries_speed_stops_and_share(spark):
+    edges = spark.createDataFrame(EDGES, "src string, dst string, distance_km double, avg_delay_minutes double")
+    od = spark.createDataFrame([("MAL", "SEV"), ("LIS", "BCN"), ("MUR", "ACO")], "source string, target string")
+    found = routing.route_catalog(edges, od).collect()
+    assert len(found) == 3 and round(sum(r["weight"] for r in found), 9) == 1
+    for r in found:
+        assert r["cruise_speed_kmh"] == round(max(60, min(82, 61 + min(16, r["total_km"] / r["hops"] / 25))), 1)
+        assert (r["dwell_min"], r["dwell_max"]) == (1, 3 if r["hops"] >= 3 else 2)
+        assert round(r["weight"], 9) == round(max(0.15, r["score"]) / sum(max(0.15, x["score"]) for x in found), 9)
