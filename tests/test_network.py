@@ -276,3 +276,20 @@ def test_catalogue_carries_speed_stops_and_share(spark):
         assert r["cruise_speed_kmh"] == round(max(60, min(82, 61 + min(16, r["total_km"] / r["hops"] / 25))), 1)
         assert (r["dwell_min"], r["dwell_max"]) == (1, 3 if r["hops"] >= 3 else 2)
         assert round(r["weight"], 9) == round(max(0.15, r["score"]) / sum(max(0.15, x["score"]) for x in found), 9)
+
+
+@pytest.mark.parametrize("analysis", [
+    lambda nodes, edges: graph.hop_distances(edges, nodes.limit(3), directed=False), lambda nodes, edges: graph.graph_metrics(nodes, edges),
+], ids=["hops", "metrics"])
+def test_edges_are_derived_once(spark, analysis):
+    derived = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            derived.add(len(batch))
+            yield batch
+
+    given = spark.createDataFrame([e[:2] for e in EDGES], "src string, dst string")
+    nodes = spark.createDataFrame([(n[0],) for n in NODES], "id string")
+    assert analysis(nodes, given.mapInPandas(counted, given.schema)).count()
+    assert derived.value == len(EDGES)
