@@ -261,3 +261,22 @@ def test_status_of_a_model_without_any_record(spark):
                                   "model_name string, last_selected_model string, last_baseline_rmse double, last_tuned_baseline_rmse double, "
                                   "last_enhanced_rmse double, last_selected_rmse double")
     assert rows(drift.model_info(state), "model_name", "selected_model", "gain_percent") == [("m", "tuned_baseline_rf", 25.0), ("n", None, None)]
+
+
+def test_forests_are_fitted_on_all_cores(spark, monkeypatch):
+    """Rows that arrive in one partition do not stay there."""
+    met = []
+
+    class Fitted(Exception):
+        pass
+
+    class Recorder:
+        def fit(self, train):
+            met.append((train.rdd.getNumPartitions(), sorted(r["event_id"] for r in train.collect())))
+            raise Fitted
+
+    monkeypatch.setattr(learning, "pipeline_for", lambda *_: Recorder())
+    features = spark.range(400).select(F.col("id").cast("string").alias("event_id"), F.lit(1.0).alias("label")).coalesce(1)
+    with pytest.raises(Fitted):
+        learning.train_delay_models(features)
+    assert met == [(spark.sparkContext.defaultParallelism, sorted(r["event_id"] for r in learning.split(features)[0].collect()))]
