@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from haulwise.functions.geo import angle_diff, bearing_deg, clamp, haversine_km, point_segment_km
 from haulwise.operators.hotkeys import join_dimension
 from haulwise.operators.nearest import nearest_node, next_node
+from haulwise.session import cut_lineage
 
 DELAY_SHARE = 0.35
 ARRIVED_KM = 1.2
@@ -23,6 +24,8 @@ def infer_route(vehicles: DataFrame, nodes: DataFrame) -> DataFrame:
 
     The label of a vehicle without any known end is its ``route_id`` where it has one, else "-". A ``nearest_id`` already on the vehicles is used, otherwise it is searched for the vehicles without a plan.
     """
+    # The plans and the searches read these rows more than once.
+    vehicles = cut_lineage(vehicles)
     known = nodes.select("id")
     planned = vehicles.select("vehicle_id", "planned_origin", "planned_destination")
     for end in ("planned_origin", "planned_destination"):
@@ -31,10 +34,10 @@ def infer_route(vehicles: DataFrame, nodes: DataFrame) -> DataFrame:
     planned = planned.select(
         "vehicle_id", F.col("planned_origin").alias("from_id"), F.col("planned_destination").alias("to_id"), nothing
     )
-    open_rows = vehicles.join(planned.select("vehicle_id"), "vehicle_id", "left_anti")
+    open_rows = cut_lineage(vehicles.join(planned.select("vehicle_id"), "vehicle_id", "left_anti"))
     if "nearest_id" not in vehicles.columns:
         open_rows = open_rows.join(nearest_node(open_rows, nodes).select("vehicle_id", "nearest_id"), "vehicle_id", "left")
-    placed = open_rows.withColumn("warehouse_id", F.coalesce("nearest_id", "warehouse_id"))
+    placed = cut_lineage(open_rows.withColumn("warehouse_id", F.coalesce("nearest_id", "warehouse_id")))
     ahead = next_node(placed, nodes).select("vehicle_id", "next_id")
     guessed = placed.join(ahead, "vehicle_id", "left").select(
         "vehicle_id", F.col("nearest_id").alias("from_id"), F.col("next_id").alias("to_id"),

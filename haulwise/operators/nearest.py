@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from haulwise.functions.geo import EARTH_RADIUS_KM, angle_diff, bearing_deg, haversine_km
-from haulwise.operators.hotkeys import first_per_key
+from haulwise.operators.hotkeys import first_per_key, join_dimension
 from haulwise.session import cut_and_measure, cut_lineage
 
 log = logging.getLogger(__name__)
@@ -255,17 +255,16 @@ def next_node(vehicles: DataFrame, nodes: DataFrame) -> DataFrame:
     leaf = start_level(spots.select(F.col("plat").alias("lat"), F.col("plon").alias("lon")), 8)
     levels = list(range(leaf, 0, -CELL_STEP))[::-1]
     pyramid = cut_lineage(cell_pyramid(spots, levels).repartition("level"))
+    # Every level is a table of its own, measured alone: a coarse cell is open for whole fleets and must not become a shuffle key.
+    layers = {level: cut_lineage(pyramid.filter(F.col("level") == level).drop("level")) for level in levels}
     tasks = spots.sparkSession.sparkContext.defaultParallelism
     per_vehicle = Window.partitionBy("vehicle_id")
     kept = ["vehicle_id", "lat", "lon", "_here", "_bearing", "_best"]
     open_cells = asked.repartition(tasks).withColumns({"_best": F.lit(math.inf), "_open": F.lit(0).cast("bigint")})
 
     for level in levels:
-        cells = pyramid.filter(F.col("level") == level).drop("level")
-        if level == levels[0]:
-            cells = F.broadcast(cells)  # at most 32
         counted = Observation()
-        met = open_cells.join(cells, F.col("_open") == F.col("parent")).observe(counted, F.count(F.lit(1)).alias("n"))
+        met = join_dimension(open_cells, layers[level].withColumnRenamed("parent", "_open"), "_open", "inner").observe(counted, F.count(F.lit(1)).alias("n"))
         bounded = _with_least_offer(met).filter(F.col("_least") <= F.col("_best"))
         shown = bounded.withColumn("_shown", F.when(F.col("low.point_id") == F.col("_here"), F.col("high")).otherwise(F.col("low")))
         shown = shown.select(*kept, "_least", F.col("cell").alias("_open"), "_shown.*")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haulwise.functions.geo import haversine_km
+from haulwise.operators.eta import infer_route
 from haulwise.operators.nearest import knn_join, next_node
 from haulwise.streaming.stateful import great_circle_km
 from tests.conftest import rows
@@ -89,3 +90,22 @@ def test_haversine_is_symmetric_and_zero_at_home(spark):
     df = spark.createDataFrame([(40.4, -3.7, 41.4, 2.2), (10.0, 170.0, -10.0, -170.0)], "a double, b double, c double, d double")
     assert df.filter(F.abs(haversine_km("a", "b", "c", "d") - haversine_km("c", "d", "a", "b")) > 1e-9).isEmpty()
     assert df.filter(haversine_km("a", "b", "a", "b") > 0).isEmpty()
+
+
+def test_infer_route_computes_its_vehicles_once(spark):
+    """The plans, the rows without one and both searches share one computation of the input."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(parts):
+        for part in parts:
+            made.add(len(part))
+            yield part
+
+    schema = "vehicle_id string, latitude double, longitude double, bearing double, warehouse_id string, planned_origin string, planned_destination string"
+    plans = [("p0", "p1"), (None, None), ("p0", "gone")]
+    fleet = [(f"v{i}", 40 + i * 0.01, -3.0, 90.0, "p0", *plans[i % 3]) for i in range(30)]
+    vehicles = spark.createDataFrame(fleet, schema).mapInPandas(count, schema)
+    nodes = spark.createDataFrame([(f"p{i}", 40 + i * 0.05, -3 + i * 0.1) for i in range(4)], "id string, latitude double, longitude double")
+    routes = infer_route(vehicles, nodes).collect()
+    assert {r["vehicle_id"] for r in routes} == {v[0] for v in fleet}
+    assert made.value == len(fleet)
