@@ -47,70 +47,113 @@ def next_eta(previous: tuple[float, str, float] | None, raw: float | None, desti
     return minutes * (1 - SMOOTHING) + bounded * SMOOTHING, True
 
 
+# Rows of one frame that leaves a worker; a frame may exceed it by one slot.
+FRAME_ROWS = 10_000
+
+
+def _sorted_rows(lists: dict[str, list], tie: str) -> dict[str, list]:
+    """The rows of a slot in order of (time, tie), rows without a tie last."""
+    times, ties = lists["at"], lists[tie]
+    order = sorted(range(len(times)), key=lambda i: (times[i], ties[i] is None, ties[i] or ""))
+    return {name: [values[i] for i in order] for name, values in lists.items()}
+
+
 class InTimeOrder(StatefulProcessor):
-    """Calls ``fold(rows, memory) -> (output, memory)`` with the rows of a key in order of (time, tie).
+    """Calls ``fold(rows, memory) -> (output, memory)`` with the rows of a key in order of (time, tie), both as lists by column name.
 
-    Rows wait in slots of ``slot_ms`` of event time. A slot is due when the watermark reaches its newest row; a timer then hands
-    it to ``fold`` as one pandas frame, so a worker holds one slot of one key, however long the key's history or its micro-batch is.
+    Rows wait in slots of ``slot_ms`` of event time. A slot is due when the watermark reaches its newest row; ``fold`` then gets
+    it alone, so a worker holds one slot of one key and a frame of output, however long the key's history or its micro-batch is.
+    The agenda of a key lists its waiting slots and the one timer it has: at its earliest due slot, which hands over all that are due.
     ``memory`` is a tuple whose last value is a time in seconds; with ``idle_seconds`` it is deleted once that time is so far behind
-    the watermark that ``fold`` would not use it any more. Rows without a time are handed over at once, without memory.
+    the watermark that ``fold`` would not use it any more, and no row waits. Rows without a time are handed over at once, without memory.
     """
 
-    def __init__(self, columns: dict[str, str], tie: str, memory: str, fold: Callable, slot_ms: int, idle_seconds: float | None) -> None:
+    def __init__(
+        self, columns: dict[str, str], tie: str, memory: str, fold: Callable, output: str, slot_ms: int, idle_seconds: float | None
+    ) -> None:
         self.columns, self.tie, self.memory_type, self.fold = {"at": "bigint", **columns}, tie, memory, fold
+        # Times stay whole numbers where some are missing.
+        self.types = {"at": "Int64", **{c.split()[0]: "Float64" for c in output.split(", ") if c.endswith(" double")}}
         self.slot_ms, self.idle_seconds = slot_ms, idle_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         arrays = ", ".join(f"{name} array<{kind}>" for name, kind in self.columns.items())
-        self.waiting = handle.getMapState("waiting", "slot bigint", f"due bigint, {arrays}")
+        self.waiting = handle.getMapState("waiting", "slot bigint", arrays)
+        self.agenda = handle.getValueState("agenda", "slots array<bigint>, dues array<bigint>, timer bigint")
         self.memory = handle.getValueState("memory", self.memory_type)
 
-    def _frame(self, key: tuple, out: pd.DataFrame) -> pd.DataFrame:
-        out.insert(0, "key", key[0])
-        return out
+    def _frame(self, key: tuple, out: dict[str, list]) -> pd.DataFrame:
+        filled = {name: pd.array(values, dtype=self.types[name]) if name in self.types else values for name, values in out.items()}
+        return pd.DataFrame({"key": [key[0]] * len(out["at"]), **filled})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        agenda = self.agenda.get()
+        dues, timer = (dict(zip(agenda[0], agenda[1])), agenda[2]) if agenda else ({}, None)
         for part in rows:
-            timed = part["at"].notna()
-            if not timed.all():
-                for i in np.flatnonzero(~timed):
-                    yield self._frame(key, self.fold(part.iloc[[i]][list(self.columns)], None)[0])
-            part = part[timed].astype({"at": "int64"})
-            for slot, fresh in part.groupby(part["at"] // 1000 // self.slot_ms):
-                self._wait(int(slot), fresh)
-
-    def _wait(self, slot: int, fresh: pd.DataFrame) -> None:
-        due, lists = int(fresh["at"].max()) // 1000, [fresh[name].tolist() for name in self.columns]
-        if self.waiting.containsKey((slot,)):
-            before, *held = self.waiting.getValue((slot,))
-            lists = [[*old, *new] for old, new in zip(held, lists)]
-            if due <= before:
-                due = before
-            else:
-                self.handle.deleteTimer(before)
-        self.waiting.updateValue((slot,), (due, *lists))
-        self.handle.registerTimer(due)
+            lists = {name: part[name].tolist() for name in self.columns}
+            slots: dict[int | None, list[int]] = {}
+            for i, at in enumerate(lists["at"]):
+                slots.setdefault(None if at is None or at != at else int(at) // 1000 // self.slot_ms, []).append(i)
+            for slot, which in slots.items():
+                chosen = {name: [values[i] for i in which] for name, values in lists.items()}
+                if slot is None:
+                    yield self._frame(key, self.fold({**chosen, "at": [None] * len(which)}, None)[0])
+                    continue
+                chosen["at"] = [int(at) for at in chosen["at"]]
+                due = max(chosen["at"]) // 1000
+                if slot in dues:
+                    due, held = max(due, dues[slot]), self.waiting.getValue((slot,))
+                    chosen = {name: [*old, *new] for old, (name, new) in zip(held, chosen.items())}
+                self.waiting.updateValue((slot,), tuple(chosen.values()))
+                dues[slot] = due
+        self._note(dues, timer, None)
+
+    def _note(self, dues: dict[int, int], timer: int | None, idle: int | None) -> None:
+        """Write the agenda and move the key's timer to its earliest due slot, else to the time its memory is deleted."""
+        if not dues and idle is None:
+            self.agenda.clear()
+            return
+        wanted = min(dues.values()) if dues else idle
+        if wanted != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(wanted)
+        self.agenda.update((list(dues), list(dues.values()), wanted))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        slot = (now // self.slot_ms,)
-        memory = tuple(self.memory.get()) if self.memory.exists() else None
-        if self.waiting.containsKey(slot) and self.waiting.getValue(slot)[0] == now:
-            _, *held = self.waiting.getValue(slot)
-            self.waiting.removeKey(slot)
-            rows = pd.DataFrame(dict(zip(self.columns, held))).sort_values(["at", self.tie], kind="stable")
-            out, memory = self.fold(rows, memory)
-            if memory is not None:
-                self.memory.update(memory)
-                if self.idle_seconds is not None:
-                    self.handle.registerTimer(self._forgotten_at(memory))
-            yield self._frame(key, out)
-        elif memory is not None and self.idle_seconds is not None and self._forgotten_at(memory) <= now:
+        agenda = self.agenda.get()
+        if agenda is None or agenda[2] != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        passed = timerValues.getCurrentWatermarkInMs()
+        dues, memory, frame = dict(zip(agenda[0], agenda[1])), self.memory.get(), None
+        ripe, waiting = sorted(slot for slot, due in dues.items() if due <= passed), len(dues)
+        for slot in ripe:
+            lists = dict(zip(self.columns, self.waiting.getValue((slot,))))
+            del dues[slot]
+            # One call drops all slots where none is left; calls to the state store are most of a worker's time.
+            if not dues:
+                self.waiting.clear()
+            elif len(ripe) < waiting:
+                self.waiting.removeKey((slot,))
+            out, memory = self.fold(_sorted_rows(lists, self.tie), memory)
+            frame = out if frame is None else {name: frame[name] + out[name] for name in out}
+            if len(frame["at"]) >= FRAME_ROWS:
+                yield self._frame(key, frame)
+                frame = None
+        idle = None
+        if memory is not None and self.idle_seconds is not None:
+            idle = math.ceil((memory[-1] + self.idle_seconds) * 1000)
+        if not dues and idle is not None and idle <= passed:
+            # Nothing waits and every later row is too far away.
             self.memory.clear()
-
-    def _forgotten_at(self, memory: tuple) -> int:
-        return math.ceil((memory[-1] + self.idle_seconds) * 1000)
+            idle = None
+        elif ripe and memory is not None:
+            self.memory.update(memory)
+        # Spark itself deletes the timer that has just expired.
+        self._note(dues, None, idle)
+        if frame is not None and frame["at"]:
+            yield self._frame(key, frame)
 
     def close(self) -> None:
         pass
@@ -121,7 +164,7 @@ def _in_time_order(
     slot_seconds: int, idle_seconds: float | None,
 ) -> DataFrame:
     """``InTimeOrder`` over a stream; times travel as microseconds, whatever the session's time zone."""
-    processor = InTimeOrder(columns, tie, memory, fold, slot_seconds * 1000, idle_seconds)
+    processor = InTimeOrder(columns, tie, memory, fold, output, slot_seconds * 1000, idle_seconds)
     return (
         stream.withWatermark(ts, delay)
         .select(F.col(key).alias("key"), ts, F.unix_micros(ts).alias("at"), *columns)
@@ -130,6 +173,10 @@ def _in_time_order(
     )
 
 
+def _seconds(rows: dict[str, list]) -> list[float | None]:
+    return [None if at is None else at / 1e6 for at in rows["at"]]
+
+
 def _known(memory: tuple | None, at: float, idle_seconds: float | None) -> tuple | None:
     """What is remembered, unless the key has been silent for too long."""
     return None if memory is None or (idle_seconds is not None and at - memory[-1] > idle_seconds) else memory
@@ -143,19 +190,17 @@ def stabilize_eta(stream: DataFrame, delay: str = "20 minutes", slot_seconds: in
     or a time a row has no stable one and changes nothing; a missing destination is one of its own.
     """
 
-    def fold(rows: pd.DataFrame, memory: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+    def fold(rows: dict[str, list], memory: tuple | None) -> tuple[dict[str, list], tuple | None]:
         out = []
-        for raw, where, at in zip(rows["raw_minutes"], rows["destination"], rows["at"] / 1e6):
-            if math.isnan(at):
+        for raw, where, at in zip(rows["raw_minutes"], rows["destination"], _seconds(rows)):
+            if at is None:
                 out.append(None)
                 continue
             stable, moved = next_eta(_known(memory, at, idle_seconds), raw, where, at)
             if moved:
                 memory = (float(stable), where, float(at))
             out.append(stable)
-        return pd.DataFrame({
-            "at": rows["at"].array, "event_id": rows["event_id"].array, "eta_minutes": pd.array(out, dtype="Float64"),
-        }), memory
+        return {"at": rows["at"], "event_id": rows["event_id"], "eta_minutes": out}, memory
 
     return _in_time_order(
         stream, "vehicle_id", "event_timestamp", {"event_id": "string", "raw_minutes": "double", "destination": "string"}, "event_id",
@@ -192,18 +237,18 @@ def limit_jumps(stream: DataFrame, delay: str = "20 minutes", slot_seconds: int
     measured from the last known one, or taken as it is after ``idle_seconds`` without any.
     """
 
-    def fold(rows: pd.DataFrame, memory: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+    def fold(rows: dict[str, list], memory: tuple | None) -> tuple[dict[str, list], tuple | None]:
         out = []
-        for lat, lon, speed, at in zip(rows["latitude"], rows["longitude"], rows["speed_kmh"], rows["at"] / 1e6):
-            if _missing(lat) or _missing(lon) or math.isnan(at):
+        for lat, lon, speed, at in zip(rows["latitude"], rows["longitude"], rows["speed_kmh"], _seconds(rows)):
+            if _missing(lat) or _missing(lon) or at is None:
                 out.append((lat, lon))
                 continue
             known = _known(memory, at, idle_seconds)
             shown = limited(None if known is None else known[:2], lat, lon, speed)
             memory = (float(shown[0]), float(shown[1]), float(at))
             out.append(shown)
-        places = {name: pd.array([None if _missing(p[i]) else p[i] for p in out], dtype="Float64") for i, name in enumerate(("latitude", "longitude"))}
-        return pd.DataFrame({"at": rows["at"].array, "event_id": rows["event_id"].array, **places}), memory
+        places = {name: [None if _missing(p[i]) else p[i] for p in out] for i, name in enumerate(("latitude", "longitude"))}
+        return {"at": rows["at"], "event_id": rows["event_id"], **places}, memory
 
     return _in_time_order(
         stream, "vehicle_id", "event_timestamp", {"event_id": "string", "latitude": "double", "longitude": "double", "speed_kmh": "double"},
@@ -222,15 +267,13 @@ def throttle_stream(
     interval = float(seconds)
     kept_type = T.StructType([f for f in stream.schema if f.name != ts])
 
-    def fold(rows: pd.DataFrame, memory: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+    def fold(rows: dict[str, list], memory: tuple | None) -> tuple[dict[str, list], tuple | None]:
         last, kept = -math.inf if memory is None else memory[0], []
-        for at in rows["at"] / 1e6:
-            fits = at == last or at >= last + interval
-            kept.append(fits)
-            if fits:
+        for i, at in enumerate(_seconds(rows)):
+            if at == last or at >= last + interval:
+                kept.append(i)
                 last = float(at)
-        chosen = rows[np.array(kept, dtype=bool)]
-        return pd.DataFrame({"at": chosen["at"].array, "row": chosen["row"].array}), None if last == -math.inf else (last,)
+        return {name: [rows[name][i] for i in kept] for name in ("at", "row")}, None if last == -math.inf else (last,)
 
     packed = stream.filter(F.col(ts).isNotNull()).select(
         ts, F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_key"), F.to_json(F.struct(*kept_type.names)).alias("row")

@@ -204,6 +204,17 @@ def test_silent_vehicles_start_anew_in_one_batch_or_many(spark, folder):
     assert {("e0", 20.0), ("e3", 23.0), ("e5", 25.0)} <= set(found[0]) and ("e1", 21.0) not in found[0]
 
 
+def test_memory_stays_while_an_earlier_row_waits(spark, folder):
+    """The watermark passes the end of the silence while a row from before it waits in a slot that is not yet due."""
+    hour = START.replace(minute=0, second=0)
+    at = lambda minutes: hour + timedelta(minutes=minutes)
+    data = [("v", "e0", at(-5), 20.0, "A"), ("w", "f0", at(16), 30.0, "A"), ("v", "e1", at(20), 21.0, "A"), ("v", "e2", at(50), 22.0, "A"),
+            ("w", "f1", at(100), 30.0, "A"), ("w", "f2", at(100), 30.0, "A")]
+    found = rows(run_files(spark, folder, lambda s: stateful.stabilize_eta(s, "20 minutes", 3600, idle_seconds=1800), STABLE, data, 3),
+                 "event_id", "eta_minutes")
+    assert [row for row in found if row[0] in ("e0", "e1", "e2")] == [("e0", 20.0), ("e1", 20.35), ("e2", 20.9275)]
+
+
 def test_rows_without_time_or_values_pass_and_change_nothing(spark, folder):
     data = [("v", "e0", START, 20.0, "A"), ("v", "e1", None, 99.0, "A"), ("v", "e2", START + timedelta(minutes=1), None, "A"),
             ("v", "e3", START + timedelta(minutes=2), 22.0, "A"), (None, "e4", START + timedelta(minutes=2), 5.0, None)]
