@@ -52,6 +52,11 @@ def _passable(avoid: list[str] | None, *ends: str) -> Column:
     return reduce(lambda a, b: a | b, [F.col("node") == F.col(end) for end in ends], ~F.col("node").isin(*avoid))
 
 
+def _moved(df: DataFrame) -> DataFrame:
+    """A side of a join in a loop. It is never broadcast: each round would collect it on the driver once more."""
+    return df.hint("merge")
+
+
 def _starts(origins: DataFrame) -> DataFrame:
     """Labels of searches (way, origin) before their first hop."""
     return origins.distinct().select(
@@ -66,14 +71,14 @@ def _relaxed(best: DataFrame, arcs: DataFrame, avoid: list[str] | None, reach: D
     ``reach`` (way, origin, most) drops labels that cost more than ``most``; NULL drops none.
     """
     grown = best.filter(F.col("fresh") & _passable(avoid, "origin")).join(
-        arcs.withColumnRenamed("way", "_way"), (F.col("way") == F.col("_way")) & (F.col("node") == F.col("arc_from"))
+        _moved(arcs.withColumnRenamed("way", "_way")), (F.col("way") == F.col("_way")) & (F.col("node") == F.col("arc_from"))
     ).filter(~F.array_contains("path", F.col("arc_to"))).select(
         "way", "origin", F.col("arc_to").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"),
         F.concat("path", F.array("arc_to")).alias("path"), F.lit(True).alias("fresh"),
     )
     merged = best.withColumn("fresh", F.lit(False)).unionByName(grown)
     if reach is not None:
-        merged = merged.join(reach, ["way", "origin"]).filter(F.col("most").isNull() | (F.col("cost") <= F.col("most") + SLACK)).drop("most")
+        merged = merged.join(_moved(reach), ["way", "origin"]).filter(F.col("most").isNull() | (F.col("cost") <= F.col("most") + SLACK)).drop("most")
     label = F.min(F.struct("cost", "path", "fresh")).alias("l")
     round_best = merged.groupBy("way", "origin", "node").agg(label).select("way", "origin", "node", "l.cost", "l.path", "l.fresh")
     best, figures = cut_and_measure(round_best, improved=F.count_if("fresh"))
@@ -127,10 +132,10 @@ def _bounds(
     """(source, target, bound): the cost of the k-th cheapest known route of each pair, or the bound it has if lower; NULL where fewer are known."""
     ahead, rest = paths.filter("way = 'ahead'").drop("way"), _rest(paths)
     # Routes that follow a cheapest path, take one arc and follow a cheapest path again.
-    first_half = pairs.drop("bound").join(ahead.withColumnRenamed("origin", "source"), "source").filter(_passable(avoid, "source"))
-    first_half = first_half.join(arcs, F.col("node") == F.col("src"))
+    first_half = pairs.drop("bound").join(_moved(ahead.withColumnRenamed("origin", "source")), "source").filter(_passable(avoid, "source"))
+    first_half = first_half.join(_moved(arcs), F.col("node") == F.col("src"))
     joined = first_half.select("source", "target", "cost", "path", F.col("dst").alias("node"), "w").filter(_passable(avoid, "target"))
-    joined = joined.join(rest, ["target", "node"])
+    joined = joined.join(_moved(rest), ["target", "node"])
     full = F.concat("path", "tail")
     known = joined.select("source", "target", full.alias("path"), (F.col("cost") + F.col("w") + F.col("rest")).alias("cost")).filter(
         F.size(F.array_distinct("path")) == F.size("path")
@@ -142,7 +147,7 @@ def _bounds(
     trimmed = known.groupBy("source", "target", "path").agg(F.min("cost").alias("cost"))
     ranked = first_per_key(trimmed, ["source", "target"], order, k, rank="n")
     bounds = ranked.groupBy("source", "target").agg(F.when(F.count(F.lit(1)) == k, F.max("cost")).alias("_new"))
-    return cut_lineage(pairs.join(bounds, ["source", "target"], "left").withColumn("bound", F.least("bound", "_new")).drop("_new"))
+    return cut_lineage(pairs.join(_moved(bounds), ["source", "target"], "left").withColumn("bound", F.least("bound", "_new")).drop("_new"))
 
 
 def _balls(
@@ -187,9 +192,9 @@ def _rests(bounds: DataFrame, arcs: DataFrame, paths: DataFrame) -> DataFrame:
     rests = cut_lineage(known)
 
     def hop(labels: DataFrame) -> DataFrame:
-        return labels.join(arcs, F.col("node") == F.col("dst")).select(
+        return labels.join(_moved(arcs), F.col("node") == F.col("dst")).select(
             "source", "target", F.col("src").alias("node"), (F.col("w") + F.col("rest")).alias("rest"), F.lit(True).alias("fresh"), F.lit(False).alias("settled")
-        ).join(near, ["source", "target", "node"]).filter(within).drop("ahead", "bound")
+        ).join(_moved(near), ["source", "target", "node"]).filter(within).drop("ahead", "bound")
 
     while True:
         grown = hop(rests.filter("fresh"))
@@ -248,13 +253,13 @@ def k_routes(
 def _one_hop(frontier: DataFrame, forward: DataFrame, rests: DataFrame, avoid: list[str] | None) -> DataFrame:
     """Partial routes one hop on; those that have arrived stay as they are."""
     arrived = F.col("node") == F.col("target")
-    on = frontier.withColumn("_from", F.when(~arrived, F.col("node"))).join(forward, F.col("_from") == F.col("arc_from"), "left")
+    on = frontier.withColumn("_from", F.when(~arrived, F.col("node"))).join(_moved(forward), F.col("_from") == F.col("arc_from"), "left")
     moved = on.filter(arrived | (F.col("arc_to").isNotNull() & ~F.array_contains("path", F.col("arc_to")))).select(
         "source", "target", "bound", F.coalesce("arc_to", "node").alias("node"),
         F.when(arrived, F.col("cost")).otherwise(F.col("cost") + F.col("w")).alias("cost"),
         F.when(arrived, F.col("path")).otherwise(F.concat("path", F.array("arc_to"))).alias("path"),
     ).filter(_passable(avoid, "target"))
-    return moved.join(rests, ["source", "target", "node"]).filter(
+    return moved.join(_moved(rests), ["source", "target", "node"]).filter(
         F.col("bound").isNull() | (F.col("cost") + F.col("rest") <= F.col("bound") + SLACK)
     ).drop("rest")
 

@@ -293,3 +293,19 @@ def test_edges_are_derived_once(spark, analysis):
     nodes = spark.createDataFrame([(n[0],) for n in NODES], "id string")
     assert analysis(nodes, given.mapInPandas(counted, given.schema)).count()
     assert derived.value == len(EDGES)
+
+
+def test_route_rounds_collect_nothing_on_the_driver(spark, monkeypatch):
+    """Sides of joins that every round repeats are moved between tasks, never broadcast through the driver."""
+    plans, write = [], routing.cut_and_measure
+
+    def watched(df, **figures):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, **figures)
+
+    monkeypatch.setattr(routing, "cut_and_measure", watched)
+    arcs = spark.createDataFrame([(a, b, 1.0 + i) for i, (a, b) in enumerate([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d")])], "src string, dst string, w double")
+    od = spark.createDataFrame([("a", "d")], "source string, target string")
+    found = routing.k_routes(arcs, od, 2, weight="w")
+    assert [(r["cost"], r["path"]) for r in found.orderBy("rank").collect()] == [(7.0, ["a", "b", "c", "d"]), (7.0, ["a", "c", "d"])]
+    assert plans and not [plan for plan in plans if "BroadcastHashJoin" in plan]
