@@ -267,6 +267,37 @@ def test_hops_to_more_targets_than_bits_equal_a_search(spark, arcs_per_part, dir
     assert graph.hop_distances(edges, targets.filter("id < 0"), directed).isEmpty()
 
 
+@pytest.mark.parametrize("directed,words", [(True, 1), (False, 3)])
+def test_hops_dealt_by_targets_equal_a_search_and_move_nothing(spark, monkeypatch, directed, words):
+    """A ring with chords whose targets fill a block for every core: the rounds neither shuffle nor lose a pair."""
+    n = 64 * spark.sparkContext.defaultParallelism + 40
+    monkeypatch.setattr(graph, "_words", lambda *_: words)
+    pairs = [(i, (i + 1) % n) for i in range(n)] + [(i, (i * 3 + 7) % n) for i in range(n)] + [(0, 1), (5, 5)]
+    ways = set(pairs) | (set() if directed else {(b, a) for a, b in pairs})
+    before = {v: [] for v in range(n)}
+    for a, b in ways:
+        before[b].append(a)
+    expected = [0, 0]
+    for target in range(n):
+        level, seen, hops = {target}, set(), 0
+        while level:
+            expected = [expected[0] + len(level), expected[1] + hops * sum((v + 1) * (target + 3) for v in level)]
+            seen |= level
+            level, hops = {a for v in level for a in before[v]} - seen, hops + 1
+    plans, round_of = [], graph._span_round
+
+    def watched(*given):
+        found = round_of(*given)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(graph, "_span_round", watched)
+    distances = graph.hop_distances(spark.createDataFrame(pairs, "src long, dst long"), spark.range(n), directed)
+    found = distances.selectExpr("count(*)", "sum(hop_distance * (source_id + 1) * (target_id + 3))", "count(DISTINCT source_id, target_id)").first()
+    assert list(found[:2]) == expected and found[2] == expected[0]
+    assert len(plans) > 3 and not any("Exchange" in plan for plan in plans)
+
+
 def test_catalogue_carries_speed_stops_and_share(spark):
     edges = spark.createDataFrame(EDGES, "src string, dst string, distance_km double, avg_delay_minutes double")
     od = spark.createDataFrame([("MAL", "SEV"), ("LIS", "BCN"), ("MUR", "ACO")], "source string, target string")
