@@ -126,6 +126,17 @@ def test_start_all(spark, folder):
     assert keyed.read(spark, cfg.store("latest_state")).count() == 2
 
 
+def test_a_batch_commits_the_state_it_changed(spark, folder):
+    """No batch uploads a snapshot of the whole state, and a restart goes on from what was committed."""
+    cfg = config(folder, "changes")
+    for i in range(2):
+        put(folder, i, [line(f"e{n}", "a", n % 10) for n in range(300 * i + 300)])
+        flows.run_window_stream(spark, cfg).awaitTermination()
+    committed = [name for _, _, names in os.walk(f"{cfg.checkpoint('delay_windows')}/state") for name in names]
+    assert any(name.endswith(".changelog") for name in committed) and not any(name.endswith(".zip") for name in committed)
+    assert rows(keyed.read(spark, cfg.store("delay_windows")), "event_count") == [(600,)]
+
+
 def run_files(spark, folder, operator, columns, data, batches):
     """Feed ``data`` in several files and collect the emitted rows."""
     step = -(-len(data) // batches)
