@@ -7,6 +7,7 @@ import os
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from haulwise import schemas
@@ -280,3 +281,20 @@ def test_forests_are_fitted_on_all_cores(spark, monkeypatch):
     with pytest.raises(Fitted):
         learning.train_delay_models(features)
     assert met == [(spark.sparkContext.defaultParallelism, sorted(r["event_id"] for r in learning.split(features)[0].collect()))]
+
+
+def test_trees_are_fitted_in_groups_and_averaged(spark, folder):
+    """Few rows are not dealt over all cores for one tree after the other: groups of trees share the cores, and all trees count alike."""
+    rows_ = spark.range(200).select(
+        F.concat(F.lit("W"), F.col("id") % 4).alias("warehouse_id"), F.lit("van").alias("vehicle_type"),
+        (F.col("id") % 50).cast("double").alias("speed_kmh"), (F.col("id") % 4 * 3).cast("double").alias("label"),
+    )
+    groups = min(spark.sparkContext.defaultParallelism, learning.MAX_GROUPS, 7)
+    model = learning.pipeline_for(learning.Candidate("c", 7, 3)).fit(rows_)
+    *forests, _ = model.stages[-1].stages
+    assert len(forests) == groups and sum(f.getNumTrees for f in forests) == 7
+    model.write().overwrite().save(f"{folder}/model")
+    for scored in (model.transform(rows_), PipelineModel.load(f"{folder}/model").transform(rows_)):
+        for r in scored.limit(20).collect():
+            mean = sum(f.getNumTrees * r[f"prediction_{i}"] for i, f in enumerate(forests)) / 7
+            assert abs(r["prediction"] - mean) < 1e-9
