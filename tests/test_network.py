@@ -340,3 +340,36 @@ def test_route_rounds_collect_nothing_on_the_driver(spark, monkeypatch):
     found = routing.k_routes(arcs, od, 2, weight="w")
     assert [(r["cost"], r["path"]) for r in found.orderBy("rank").collect()] == [(7.0, ["a", "b", "c", "d"]), (7.0, ["a", "c", "d"])]
     assert plans and not [plan for plan in plans if "BroadcastHashJoin" in plan]
+
+
+def test_hops_over_many_links_are_not_copied_for_each_span(spark, monkeypatch):
+    """Links of few vertices with many: only what the few vertices have is moved, and no link is copied for blocks of targets."""
+    few, many = 64 * spark.sparkContext.defaultParallelism + 8, 700
+    monkeypatch.setattr(graph, "_bitmaps_by_span", None)
+    pairs = sorted({(f"C{c}", f"S{(c * 37 + j * j * 11) % few}") for c in range(many) for j in range(14)})
+    beside = {}
+    for a, b in pairs:
+        beside.setdefault(a, set()).add(b)
+        beside.setdefault(b, set()).add(a)
+    targets = [f"S{i}" for i in range(few)]
+    expected = [0, 0]
+    for target in targets:
+        level, seen, hops = {target}, set(), 0
+        while level:
+            expected = [expected[0] + len(level), expected[1] + hops * len(level)]
+            seen |= level
+            level, hops = {a for v in level for a in beside.get(v, ())} - seen, hops + 1
+    plans, round_of = [], graph._home_round
+
+    def watched(*given):
+        found = round_of(*given)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(graph, "_home_round", watched)
+    distances = graph.hop_distances(
+        spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([(t,) for t in targets], "id string"), directed=False
+    )
+    assert list(distances.selectExpr("count(*)", "sum(hop_distance)").first()) == expected
+    # One exchange to the homes of the many, one from them; links and known bits keep their buckets.
+    assert plans and all(plan.count("Exchange") == 2 for plan in plans)
