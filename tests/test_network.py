@@ -373,3 +373,31 @@ def test_hops_over_many_links_are_not_copied_for_each_span(spark, monkeypatch):
     assert list(distances.selectExpr("count(*)", "sum(hop_distance)").first()) == expected
     # One exchange to the homes of the many, one from them; links and known bits keep their buckets.
     assert plans and all(plan.count("Exchange") == 2 for plan in plans)
+
+
+def test_two_way_hops_with_hubs_at_both_ends(spark, monkeypatch):
+    """Links between vertices that all have too many for one bucket lie at the other end; none is lost, and known bits are never dealt anew."""
+    pairs = [(a, 100 + b) for a in range(6) for b in range(40) if (a * b) % 3 != 1] + [(7, 8), (8, 9), (100, 7)]
+    plans, round_of = [], graph._home_round
+
+    def watched(*given):
+        found = round_of(*given)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(graph, "_home_round", watched)
+    beside = {}
+    for a, b in pairs:
+        beside.setdefault(a, set()).add(b)
+        beside.setdefault(b, set()).add(a)
+    expected = set()
+    for target in (0, 5, 9, 120):
+        level, seen, hops = {target}, set(), 0
+        while level:
+            expected |= {(v, target, hops) for v in level}
+            seen |= level
+            level, hops = {a for v in level for a in beside[v]} - seen, hops + 1
+    targets = spark.createDataFrame([(0,), (5,), (9,), (120,)], "id long")
+    edges = spark.createDataFrame(pairs + pairs[:5], "src long, dst long")
+    assert rows(graph.hop_distances(edges, targets, directed=False, arcs_per_part=3)) == sorted(expected, key=repr)
+    assert len(plans) > 3 and all(plan.count("Exchange") == 2 for plan in plans)
